@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from cinemill.llm.decontaminate import op9_decontaminate
+from cinemill.llm.htmlcrf import op8_html
 from cinemill.llm.packing import op2_packing
+from cinemill.llm.pii import op4_pii
+from cinemill.llm.quality import op10_quality
 from cinemill.llm.rans import op7_rans
+from cinemill.llm.secrets import op1_secrets
+from cinemill.llm.simhash import op5_simhash
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
+    "op4_pii": op4_pii,
+    "op5_simhash": op5_simhash,
+    "op8_html": op8_html,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_quality": op10_quality,
     "op7_rans": op7_rans,
 }
 
