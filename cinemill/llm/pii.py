@@ -78,13 +78,21 @@ def _valid(kind: int, value: Column) -> Column:
     return (n >= 9) & (n <= 15) if kind == 3 else F.lit(True)
 
 
+def _checked(kind: int):
+    return lambda x: _valid(kind, x["value"])
+
+
+def _tagged(kind: int):
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value"))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with spans array<struct<start, kind, end, value>> by start, then kind."""
     for k, pattern in enumerate(PATTERNS):
         docs = docs.withColumn(f"_m{k}", located(F.col("text"), pattern, NEEDS[k]))
     for k, pattern in enumerate(PATTERNS):
-        found = F.filter(_placed(F.col("text"), F.col(f"_m{k}"), pattern), lambda x, k=k: _valid(k, x["value"]))
-        docs = docs.withColumn(f"_s{k}", F.transform(found, lambda x, k=k: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"))))
+        found = F.filter(_placed(F.col("text"), F.col(f"_m{k}"), pattern), _checked(k))
+        docs = docs.withColumn(f"_s{k}", F.transform(found, _tagged(k)))
     spans = F.array_sort(F.concat(*(F.col(f"_s{k}") for k in range(len(PATTERNS)))))
     return docs.select("doc_id", "text", spans.alias("spans"))
 

@@ -10,10 +10,12 @@ from cinemill.llm.quality import op10_quality
 from cinemill.llm.rans import op7_rans
 from cinemill.llm.secrets import op1_secrets
 from cinemill.llm.simhash import op5_simhash
+from cinemill.llm.substrings import op3_substrings
 
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
+    "op3_substrings": op3_substrings,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op8_html": op8_html,

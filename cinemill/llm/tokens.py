@@ -9,11 +9,16 @@ the ids always equal those of ``Tokenizer.encode(text, add_special_tokens=False)
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
+import regex
 
-#: Words a worker keeps; at more the cache starts afresh. It bounds memory and does not change ids.
-CACHE_WORDS = 800_000
+#: Words and word pieces a worker keeps, in two generations each. It bounds memory and does not change ids.
+CACHE_WORDS, CACHE_PIECES = 250_000, 450_000
+#: What the vocabularies' own splitters find within a word (fixed values of the two files).
+KEEPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+DROPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _ENCODERS: dict[str, "WordCachedEncoder"] = {}
 
@@ -31,6 +36,26 @@ def encoder(path: str) -> "WordCachedEncoder":
     return _ENCODERS[path]
 
 
+class _Kept:
+    """Values by key; at ``most`` keys the map becomes the old generation, whose keys return on use."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys) -> list[str]:
+        """The keys without a value, those of the old generation brought back."""
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        out, new, old = [], self.new, self.old
+        for k in set(keys):
+            if k not in new:
+                if (v := old.get(k)) is None:
+                    out.append(k)
+                else:
+                    new[k] = v
+        return out
+
+
 class WordCachedEncoder:
     """encode(text) -> little-endian bytes of the ids, of type ``dtype``."""
 
@@ -43,54 +68,66 @@ class WordCachedEncoder:
         self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         # With a normalizer that joins white space and a splitter that drops it, words are all there is.
         self.drops_space = bool(self.lib.normalizer)
-        self.newline = b"" if self.drops_space else self._ids(["\n"])[0]
-        # Between words of one call stands a mark whose single id no other text yields.
-        self.mark = " \x01 " if self.drops_space else "\n"
-        mark = np.frombuffer(self._ids([self.mark])[0], dtype=self.dtype)
+        self.split = regex.compile(DROPS_SPACE if self.drops_space else KEEPS_SPACE).findall
+        self.newline = b"" if self.drops_space else self._ids("\n")
+        # Between the pieces of one call stands a mark whose single id no piece yields.
+        self.mark, self.lone = (" \x01 ", "\x01") if self.drops_space else ("\n", "\n")
+        mark = np.frombuffer(self._ids(self.mark), dtype=self.dtype)
         self.mark_id = int(mark[0]) if len(mark) == 1 else None
-        self.after_space: dict[str, bytes] = {}
-        self.line_start: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
-
-    def _fill(self, cache: dict[str, bytes], words, lead: str) -> None:
-        fresh = list({w for w in words if w not in cache})
-        if len(cache) + len(fresh) > CACHE_WORDS:
-            cache.clear()
-            fresh = list(set(words))
-        clear = [w for w in fresh if self.mark_id is not None and self.mark.strip(" ") not in w]
+        self.after_space, self.line_start, self.pieces = _Kept(CACHE_WORDS), _Kept(CACHE_WORDS), _Kept(CACHE_PIECES)
+
+    def _ids(self, text: str) -> bytes:
+        found = self.lib.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, dtype=self.dtype).tobytes()
+
+    def _parts(self, word: str) -> list[str]:
+        """Pieces of a word that the library encodes one by one as it does together."""
+        if not self.drops_space:
+            return self.split(word)
+        if word.isascii():
+            return self.split(word.lower())
+        if "'" in word or len(word.lower()) != len(word) or not unicodedata.is_normalized("NFC", word):
+            return [word]
+        return self.split(word)
+
+    def _fill_pieces(self, pieces) -> dict[str, bytes]:
+        fresh = self.pieces.missing(pieces)
+        cache = self.pieces.new
+        clear = [p for p in fresh if self.mark_id is not None and self.lone not in p]
         if len(clear) < len(fresh):
-            alone = [w for w in fresh if self.mark_id is None or self.mark.strip(" ") in w]
-            cache.update(zip(alone, self._ids([lead + w for w in alone])))
-        for at in range(0, len(clear), 4096):
-            some = clear[at : at + 4096]
-            ids = np.frombuffer(self._ids([self.mark.join(lead + w for w in some)])[0], dtype=self.dtype)
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            ends = [*(np.nonzero(ids == self.mark_id)[0] * width).tolist(), len(raw)]
-            cache.update(zip(some, (raw[a:b] for a, b in zip([0, *(e + width for e in ends)], ends))))
+            cache.update((p, self._ids(p)) for p in fresh if self.mark_id is None or self.lone in p)
+        if clear:
+            raw, width = self._ids(self.mark.join(clear)), self.dtype.itemsize
+            ends = (np.nonzero(np.frombuffer(raw, dtype=self.dtype) == self.mark_id)[0] * width).tolist()
+            cache.update((p, raw[a:b]) for p, a, b in zip(clear, [0, *(e + width for e in ends)], [*ends, len(raw)]))
+        return cache
+
+    def _fill(self, cache: _Kept, words: list[str], lead: str) -> None:
+        fresh = cache.missing(words)
+        parts = [self._parts(lead + w) for w in fresh]
+        ids = self._fill_pieces([p for ps in parts for p in ps])
+        cache.new.update((w, b"".join([ids[p] for p in ps])) for w, ps in zip(fresh, parts))
 
     def encode(self, text: str) -> bytes:
         words = text.split()
         gaps = len(text) - len("".join(words))
         if self.drops_space:
             plain = gaps == sum(map(text.count, " \n\t\r"))
-            return self._look_up(self.after_space, words, "") if plain else self._ids([text])[0]
+            return self._look_up(self.after_space, words, "") if plain else self._ids(text)
         if not words or gaps != len(words) - 1 or text.count(" ") + text.count("\n") != gaps:
-            return self._ids([text])[0] if text else b""
+            return self._ids(text) if text else b""
         out = []
         for line in text.split("\n"):
             first, *rest = line.split(" ")
             out.append(self._look_up(self.line_start, [first], "") + self._look_up(self.after_space, rest, " "))
         return self.newline.join(out)
 
-    def _look_up(self, cache: dict[str, bytes], words: list[str], lead: str) -> bytes:
+    def _look_up(self, cache: _Kept, words: list[str], lead: str) -> bytes:
         try:
-            return b"".join(map(cache.__getitem__, words))
+            return b"".join(map(cache.new.__getitem__, words))
         except KeyError:
             self._fill(cache, words, lead)
-            return b"".join(map(cache.__getitem__, words))
+            return b"".join(map(cache.new.__getitem__, words))
 
     def encode_ids(self, text: str, end_id: int | None = None) -> np.ndarray:
         ids = np.frombuffer(self.encode(text), dtype=self.dtype)
