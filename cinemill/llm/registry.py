@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cinemill.llm.decontaminate import op9_decontaminate
 from cinemill.llm.htmlcrf import op8_html
+from cinemill.llm.media import op6_media
 from cinemill.llm.packing import op2_packing
 from cinemill.llm.pii import op4_pii
 from cinemill.llm.quality import op10_quality
@@ -21,6 +22,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op6_media": op6_media,
     "op7_rans": op7_rans,
 }
 
