@@ -140,9 +140,9 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
         for batch in batches:
-            for doc, text, prompt in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            bodies = enc.encode_many((x.as_py() for x in batch.column(1)), end_id)
+            for doc, prompt, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), bodies):
                 head = enc.encode_ids(prompt) if prompt else None
-                body = enc.encode_ids(text, end_id)
                 docs.append(doc)
                 prompts.append(0 if head is None else len(head))
                 ids.append(body if head is None else np.concatenate([head, body]))

@@ -199,7 +199,7 @@ def tokenised(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            ids = [enc.encode_ids(x.as_py(), end_id) for x in batch.column(1)]
+            ids = list(enc.encode_many((x.as_py() for x in batch.column(1)), end_id))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"]
             )

@@ -1,24 +1,30 @@
-"""Token ids of whole texts with the tokenizers library, at a word cache's speed.
-
-Both vocabularies used here split a text into words before any merge, and a word's ids do not
-depend on its neighbours. So each distinct word goes through the library once per Python worker and
-is then looked up. Texts whose white space is not the plain kind go through the library whole, so
-the ids always equal those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+"""Token ids of whole texts with the tokenizers library, at a cache's speed.
+
+Both vocabularies used here cut a text into pieces before any merge, and a piece's ids do not depend
+on its neighbours. So each distinct piece goes through the library once per Python worker; words
+(what stands between spaces) are then looked up, and words not met before are put together from
+pieces. Texts for which the cut here could differ from the library's (rare white space, letters
+whose lower case depends on context, words not in normal form) go through the library whole, so the
+ids always equal those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 import os
 import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
 
-#: Words and word pieces a worker keeps, in two generations each. It bounds memory and does not change ids.
-CACHE_WORDS, CACHE_PIECES = 250_000, 450_000
-#: What the vocabularies' own splitters find within a word (fixed values of the two files).
-KEEPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+#: Words and pieces a worker keeps in each of two generations. It bounds memory and does not change ids.
+WORDS, PIECES = 350_000, 450_000
+#: The two vocabularies' own splitters (fixed values of their files).
+KEEPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DROPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: White space other than the plain kinds, and letters whose lower case is no plain one.
+RARE_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD_CASE = "\u0130\u03a3"
 
 _ENCODERS: dict[str, "WordCachedEncoder"] = {}
 
@@ -42,22 +48,19 @@ class _Kept:
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def missing(self, keys) -> list[str]:
+    def missing(self, keys: set[str]) -> list[str]:
         """The keys without a value, those of the old generation brought back."""
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
-        out, new, old = [], self.new, self.old
-        for k in set(keys):
-            if k not in new:
-                if (v := old.get(k)) is None:
-                    out.append(k)
-                else:
-                    new[k] = v
-        return out
+        fresh = keys.difference(self.new)
+        back = fresh.intersection(self.old)
+        old = self.old
+        self.new.update((k, old[k]) for k in back)
+        return list(fresh.difference(back))
 
 
 class WordCachedEncoder:
-    """encode(text) -> little-endian bytes of the ids, of type ``dtype``."""
+    """Texts to ids of type ``dtype``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,69 +69,76 @@ class WordCachedEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        # With a normalizer that joins white space and a splitter that drops it, words are all there is.
+        # With a normalizer that lowers case and a splitter that drops white space, words are all there is.
         self.drops_space = bool(self.lib.normalizer)
         self.split = regex.compile(DROPS_SPACE if self.drops_space else KEEPS_SPACE).findall
-        self.newline = b"" if self.drops_space else self._ids("\n")
         # Between the pieces of one call stands a mark whose single id no piece yields.
         self.mark, self.lone = (" \x01 ", "\x01") if self.drops_space else ("\n", "\n")
         mark = np.frombuffer(self._ids(self.mark), dtype=self.dtype)
         self.mark_id = int(mark[0]) if len(mark) == 1 else None
-        self.after_space, self.line_start, self.pieces = _Kept(CACHE_WORDS), _Kept(CACHE_WORDS), _Kept(CACHE_PIECES)
+        self.words, self.pieces = _Kept(WORDS), _Kept(PIECES)
 
     def _ids(self, text: str) -> bytes:
         found = self.lib.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(found.ids, dtype=self.dtype).tobytes()
 
+    def _words(self, text: str) -> list[str] | None:
+        """A text cut at its spaces, or None where the library's pieces could span a cut."""
+        if any(c in text for c in RARE_SPACE):
+            return None
+        if self.drops_space:
+            return text.split()
+        return None if "  " in text or "\t" in text or "\r" in text or "\n \n" in text else text.split(" ")
+
     def _parts(self, word: str) -> list[str]:
         """Pieces of a word that the library encodes one by one as it does together."""
         if not self.drops_space:
             return self.split(word)
-        if word.isascii():
-            return self.split(word.lower())
-        if "'" in word or len(word.lower()) != len(word) or not unicodedata.is_normalized("NFC", word):
-            return [word]
-        return self.split(word)
+        if not word.isascii():
+            if any(c in word for c in ODD_CASE) or not unicodedata.is_normalized("NFC", word):
+                return [word]
+        return self.split(word.lower())
 
-    def _fill_pieces(self, pieces) -> dict[str, bytes]:
+    def _fill_pieces(self, pieces: set[str]) -> dict[str, bytes]:
         fresh = self.pieces.missing(pieces)
-        cache = self.pieces.new
-        clear = [p for p in fresh if self.mark_id is not None and self.lone not in p]
+        cache, width = self.pieces.new, self.dtype.itemsize
+        clear = [p for p in fresh if self.mark_id is not None and self.lone not in p and not p.isspace()]
         if len(clear) < len(fresh):
-            cache.update((p, self._ids(p)) for p in fresh if self.mark_id is None or self.lone in p)
-        if clear:
-            raw, width = self._ids(self.mark.join(clear)), self.dtype.itemsize
+            done = set(clear)
+            cache.update((p, self._ids(p)) for p in fresh if p not in done)
+        for at in range(0, len(clear), 8192):
+            some = clear[at : at + 8192]
+            raw = self._ids(self.mark.join(some))
             ends = (np.nonzero(np.frombuffer(raw, dtype=self.dtype) == self.mark_id)[0] * width).tolist()
-            cache.update((p, raw[a:b]) for p, a, b in zip(clear, [0, *(e + width for e in ends)], [*ends, len(raw)]))
+            cache.update((p, raw[a:b]) for p, a, b in zip(some, [0, *(e + width for e in ends)], [*ends, len(raw)]))
         return cache
 
-    def _fill(self, cache: _Kept, words: list[str], lead: str) -> None:
-        fresh = cache.missing(words)
+    def encode_many(self, texts: Iterable[str], end_id: int | None = None, chars: int = 1_000_000) -> Iterator[np.ndarray]:
+        """Ids of each text in order, with end_id after them if given; works on about ``chars`` characters at once."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= chars:
+                yield from self._encode(held, end_id)
+                held, size = [], 0
+        yield from self._encode(held, end_id)
+
+    def _encode(self, texts: list[str], end_id: int | None) -> Iterator[np.ndarray]:
+        lists = [self._words(t) for t in texts]
+        lead = "" if self.drops_space else " "
+        # a text's first word has no space before it
+        first = [self._parts(x[0]) if x and lead else [] for x in lists]
+        if lead:
+            lists = [None if x is None else x[1:] for x in lists]
+        fresh = self.words.missing(set().union(*(x for x in lists if x)))
         parts = [self._parts(lead + w) for w in fresh]
-        ids = self._fill_pieces([p for ps in parts for p in ps])
-        cache.new.update((w, b"".join([ids[p] for p in ps])) for w, ps in zip(fresh, parts))
-
-    def encode(self, text: str) -> bytes:
-        words = text.split()
-        gaps = len(text) - len("".join(words))
-        if self.drops_space:
-            plain = gaps == sum(map(text.count, " \n\t\r"))
-            return self._look_up(self.after_space, words, "") if plain else self._ids(text)
-        if not words or gaps != len(words) - 1 or text.count(" ") + text.count("\n") != gaps:
-            return self._ids(text) if text else b""
-        out = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(self._look_up(self.line_start, [first], "") + self._look_up(self.after_space, rest, " "))
-        return self.newline.join(out)
-
-    def _look_up(self, cache: _Kept, words: list[str], lead: str) -> bytes:
-        try:
-            return b"".join(map(cache.new.__getitem__, words))
-        except KeyError:
-            self._fill(cache, words, lead)
-            return b"".join(map(cache.new.__getitem__, words))
+        ids = self._fill_pieces(set().union(*parts, *first))
+        self.words.new.update((w, b"".join([ids[p] for p in ps])) for w, ps in zip(fresh, parts))
+        get, end = self.words.new.__getitem__, b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
+        for text, head, words in zip(texts, first, lists):
+            raw = self._ids(text) if words is None else b"".join([*(ids[p] for p in head), *map(get, words)])
+            yield np.frombuffer(raw + end, dtype=self.dtype)
 
     def encode_ids(self, text: str, end_id: int | None = None) -> np.ndarray:
-        ids = np.frombuffer(self.encode(text), dtype=self.dtype)
-        return ids if end_id is None else np.append(ids, self.dtype.type(end_id))
+        return next(self.encode_many([text], end_id))
