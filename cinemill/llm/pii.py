@@ -133,7 +133,8 @@ def disclosing(terms: DataFrame, docs: DataFrame, share: float = SHARE) -> DataF
     pairs = stage(pairs.select("entity", "term", "together"), "pairs")
     entity = terms.select("doc_id", "th", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    word = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
+    # an inner join: a semi-join would move below the count and shuffle every word
+    word = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(pairs.select("term").distinct(), "term")
     total = F.lit(docs.count()).cast("double")
     scored = pairs.join(entity, "entity").join(word, "term")
     tells = F.log2(F.col("together") * total / (F.col("n_entity") * F.col("n_term")))
