@@ -59,33 +59,44 @@ def fingerprints(df: DataFrame, words: int = 3, keep: tuple[str, ...] = ()) -> D
     return doc_text(df).mapInArrow(run, "doc_id long, fp long")
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = np.bitwise_count(a ^ b)
+    return (d.sum(1) if d.ndim == 2 else d).astype(np.int64)
+
+
 class BKTree:
-    """Fingerprints in a tree whose edges carry the Hamming distance of child and parent."""
+    """Fingerprints in a tree whose edges carry the Hamming distance of child and parent.
+
+    fps: one number each, or one row of numbers each for longer fingerprints. With roots, the number
+    of each fingerprint's root, it holds a tree for every root; all are built and searched together.
+    """
 
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps
-        pending, parent = np.arange(1, len(fps)), np.zeros(max(0, len(fps) - 1), dtype=np.int64)
+    def __init__(self, fps: np.ndarray, roots: np.ndarray | None = None):
+        self.fps, n = fps, len(fps)
+        self.roots = np.zeros(n, dtype=np.int64) if roots is None else roots
+        pending = np.nonzero(self.roots != np.arange(n))[0]
+        parent = self.roots[pending]
         parents, kids, far = [], [], []
         while len(pending):
-            d = np.bitwise_count(fps[pending] ^ fps[parent]).astype(np.int64)
-            edge, first, which = np.unique(parent * 65 + d, return_index=True, return_inverse=True)
-            parents.append(edge // 65)
+            d = _distance(fps[pending], fps[parent])
+            edge, first, which = np.unique(parent * 4096 + d, return_index=True, return_inverse=True)
+            parents.append(edge // 4096)
             kids.append(pending[first])
-            far.append(edge % 65)
+            far.append(edge % 4096)
             stay = np.ones(len(pending), dtype=bool)
             stay[first] = False
             pending, parent = pending[stay], pending[first][which][stay]
         parents, kids, far = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (parents, kids, far))
         order = np.argsort(parents, kind="stable")
         self.kids, self.far = kids[order], far[order]
-        self.first = np.searchsorted(parents[order], np.arange(len(fps) + 1))
+        self.first = np.searchsorted(parents[order], np.arange(n + 1))
 
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query number, node) at distance radius or less."""
-        q, node = np.arange(len(queries)), np.zeros(len(queries), dtype=np.int64)
+    def within(self, queries: np.ndarray, radius: int, roots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query number, node) at distance radius or less, each query from its root."""
+        q, node = np.arange(len(queries)), np.zeros(len(queries), dtype=np.int64) if roots is None else roots
         hits_q, hits_n = [], []
         while len(q):
-            d = np.bitwise_count(queries[q] ^ self.fps[node]).astype(np.int64)
+            d = _distance(queries[q], self.fps[node])
             near = d <= radius
             hits_q.append(q[near])
             hits_n.append(node[near])
@@ -97,11 +108,13 @@ class BKTree:
         return np.concatenate(hits_q), np.concatenate(hits_n)
 
 
-def local_roots(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For each of the ascending distinct fingerprints, the number of the smallest it reaches."""
-    label, tree = np.arange(len(fps)), BKTree(fps)
-    for at in range(0, len(fps), 256):
-        q, node = tree.within(fps[at : at + 256], radius)
+def local_roots(fps: np.ndarray, radius: int, roots: np.ndarray | None = None) -> np.ndarray:
+    """For each of the distinct fingerprints, the number of the first it reaches within its tree."""
+    label, tree = np.arange(len(fps)), BKTree(fps, roots)
+    size = np.bincount(tree.roots, minlength=len(fps))[tree.roots]
+    part = np.cumsum(size) // 1_000_000  # pairs in memory at once
+    for at, to in zip((cuts := np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1])), np.append(cuts[1:], len(fps))):
+        q, node = tree.within(fps[at:to], radius, tree.roots[at:to])
         a, b = q + at, node
         while True:
             low = np.minimum(label[a], label[b])
@@ -185,6 +198,75 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, hot: int = H
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Longer fingerprints for a lower similarity: at 0.8 shared shingles (Jaccard) about 78 of 512 bits
+#: differ, too many for whole blocks to agree for certain; 32 bands of 16 bits, one of which two texts
+#: must share, meet with probability 0.91 at 0.8 and 0.998 at 0.9.
+WIDE_BITS, BANDS, WIDE_RADIUS = 512, 32, 80
+_SEEDS = np.random.default_rng(2024).integers(1, 1 << 63, WIDE_BITS // 64, dtype=np.uint64) | np.uint64(1)
+
+
+def wide_fingerprint(text: str, words: int = 5) -> bytes:
+    """A fingerprint of WIDE_BITS bits: each shingle's hash is mixed anew for every 64 of them."""
+    w = text.encode().lower().split()
+    if not w:
+        return bytes(WIDE_BITS // 8)
+    shingles = [b" ".join(w)] if len(w) <= words else map(b" ".join, zip(*(w[i:] for i in range(words))))
+    h = np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in shingles]), dtype=np.uint64)
+    votes = np.zeros((len(_SEEDS), 64), dtype=np.int64)
+    for at in range(0, len(h), 4096):
+        for k, seed in enumerate(_SEEDS):
+            x = h[at : at + 4096] * seed
+            x ^= x >> np.uint64(31)
+            x *= _SEEDS[k - 1]
+            x ^= x >> np.uint64(29)
+            votes[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(votes.reshape(-1) * 2 > len(h)).tobytes()
+
+
+def _band(band, key=None):
+    part = F.substring("fp", band * 2 + 1, F.lit(2))
+    return F.xxhash64(band, part) if key is None else F.xxhash64(key, band, part)
+
+
+def near_copies(df: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, hot: int = HOT) -> DataFrame:
+    """(doc_id, component_id) by longer fingerprints, for texts that share 0.8 of their shingles or more.
+
+    A band shared by more than hot fingerprints is dealt out again by eight other bands.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(x.as_py(), words) for x in batch.column(1)], pa.binary())], names=["doc_id", "fp"])
+
+    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "node"])
+        key, node = pdf["key"].to_numpy(), pdf["node"].to_numpy()
+        fps = np.frombuffer(b"".join(pdf["fp"]), dtype=np.uint64).reshape(len(pdf), -1)
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        roots = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+        to = local_roots(fps, radius, roots)
+        moved = to != np.arange(len(key))
+        return pd.DataFrame({"a": node[moved], "b": node[to[moved]]})
+
+    def linked(keyed: DataFrame, rows: int) -> DataFrame:
+        shards = parts_for(rows, 20_000, 64)
+        return keyed.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInPandas(shard, "a long, b long")
+
+    docs = stage(doc_text(df).mapInArrow(prints, "doc_id long, fp binary"), "prints")
+    nodes = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp")), "nodes")
+    keyed = nodes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn("key", _band(F.col("band")))
+    many = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "many")
+    n_hot = many.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    links = linked(keyed.join(many.select("key"), "key", "left_anti").select("node", "fp", "key"), nodes.count() * BANDS)
+    if n_hot:
+        again = keyed.join(many.select("key"), "key").withColumn("other", F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: (F.col("band") + k * 3) % BANDS)))
+        links = links.unionByName(linked(again.select("node", "fp", _band(F.col("other"), F.col("key")).alias("key")), n_hot * 8))
+    roots = components(links)
+    rooted = nodes.select("node", "fp", "least").join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return docs.join(named, "fp").select("doc_id", "component_id")
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

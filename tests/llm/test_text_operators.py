@@ -187,6 +187,27 @@ def test_bk_tree_finds_what_a_scan_finds():
     assert set(zip(q.tolist(), n.tolist())) == {(i, j) for i in range(len(fps)) for j in range(len(fps)) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 2}
 
 
+@pytest.mark.parametrize("hot", [4096, 5])
+def test_near_copies_share_most_shingles(spark, hot):
+    import random
+
+    r = random.Random(6)
+    rows, base = [], []
+    for k in range(20):
+        w = ["w%d" % r.randrange(5000) for _ in range(300)]
+        base.append(w)
+        rows.append((k, " ".join(w)))
+        close, apart = list(w), list(w)
+        for i in r.sample(range(300), 4):
+            close[i] = "changed"
+        for i in r.sample(range(300), 90):
+            apart[i] = "x%d" % r.randrange(5000)
+        rows += [(100 + k, " ".join(close)), (200 + k, " ".join(apart)), (300 + k, " ".join(w).upper())]
+    found = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+    assert all(found[k] == found[100 + k] == found[300 + k] == k and found[200 + k] == 200 + k for k in range(20))
+    assert simhash.near_copies(empty(spark)).collect() == []
+
+
 # repeated substrings
 
 
