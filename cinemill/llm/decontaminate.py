@@ -33,7 +33,7 @@ WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 K1, B, BLOCK = 1.2, 0.75, 32
 THRESHOLD, NGRAM, QUESTION, ANSWER = 0.5, 5, 0.8, 0.5
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 250_000
 
 
 def words_of(text: str) -> list[str]:

@@ -17,8 +17,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import regex
 
-#: Words and pieces a worker keeps in each of two generations. It bounds memory and does not change ids.
-WORDS, PIECES = 350_000, 450_000
+#: Words and pieces a worker keeps; a full map starts afresh. It bounds memory and does not change ids.
+WORDS, PIECES = 800_000, 700_000
 #: The two vocabularies' own splitters (fixed values of their files).
 KEEPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DROPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -42,21 +42,17 @@ def encoder(path: str) -> "WordCachedEncoder":
     return _ENCODERS[path]
 
 
-class _Kept:
-    """Values by key; at ``most`` keys the map becomes the old generation, whose keys return on use."""
+class _Kept(dict):
+    """Values by key, of which there are at most about ``most``."""
 
     def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+        self.most = most
 
     def missing(self, keys: set[str]) -> list[str]:
-        """The keys without a value, those of the old generation brought back."""
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        fresh = keys.difference(self.new)
-        back = fresh.intersection(self.old)
-        old = self.old
-        self.new.update((k, old[k]) for k in back)
-        return list(fresh.difference(back))
+        """The keys without a value."""
+        if len(self) >= self.most:
+            self.clear()
+        return list(keys.difference(self))
 
 
 class WordCachedEncoder:
@@ -101,7 +97,7 @@ class WordCachedEncoder:
 
     def _fill_pieces(self, pieces: set[str]) -> dict[str, bytes]:
         fresh = self.pieces.missing(pieces)
-        cache, width = self.pieces.new, self.dtype.itemsize
+        cache, width = self.pieces, self.dtype.itemsize
         clear = [p for p in fresh if self.mark_id is not None and self.lone not in p and not p.isspace()]
         if len(clear) < len(fresh):
             done = set(clear)
@@ -134,8 +130,8 @@ class WordCachedEncoder:
         fresh = self.words.missing(set().union(*(x for x in lists if x)))
         parts = [self._parts(lead + w) for w in fresh]
         ids = self._fill_pieces(set().union(*parts, *first))
-        self.words.new.update((w, b"".join([ids[p] for p in ps])) for w, ps in zip(fresh, parts))
-        get, end = self.words.new.__getitem__, b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
+        self.words.update((w, b"".join([ids[p] for p in ps])) for w, ps in zip(fresh, parts))
+        get, end = self.words.__getitem__, b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
         for text, head, words in zip(texts, first, lists):
             raw = self._ids(text) if words is None else b"".join([*(ids[p] for p in head), *map(get, words)])
             yield np.frombuffer(raw + end, dtype=self.dtype)
