@@ -105,7 +105,8 @@ def selected(kind: str, spec: dict | None = None) -> Column:
 
 
 def field(path: str) -> Column:
-    """video.*, audio.* (the first such track), file.*, tag.*, plugin.<name>.<path> and system.* values."""
+    """video.*, audio.* (the first such track), file.*, tag.*, plugin.<name>.<path>, system.<key> (of a map column) and
+    phase.<name>.outcome|completed|modified (of a phase evaluated before)."""
     root, _, rest = path.partition(".")
     if root in ("video", "audio"):
         return F.try_element_at(of(F.col("tracks"), root), F.lit(1))[rest]
@@ -116,6 +117,12 @@ def field(path: str) -> Column:
     if root == "plugin":
         name, _, inner = rest.partition(".")
         return F.expr(f"try_variant_get(plugin_metadata['{name}'], '$.{inner}', 'string')")
+    if root == "system":
+        return F.try_element_at(F.col("system"), F.lit(rest))
+    if root == "phase":
+        name, _, what = rest.partition(".")
+        state = F.col(f"_st_{name}")
+        return {"outcome": state, "completed": state != "skipped", "modified": state == "pending"}[what]
     raise ValueError(f"no such field: {path}")
 
 
@@ -271,6 +278,17 @@ def unfit(target: Column, actions: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(left, lambda t: ~F.coalesce(holds(target, t["codec"]), F.lit(True))), lambda t: t["codec"])))
 
 
+def capability_hints(actions: Column, encoders: dict[str, list[str]]) -> Column:
+    """Warnings about transcodes: no executor has the encoder, or one only. encoders: codec -> executors."""
+    wanted = F.filter(actions, lambda a: a["op"].startswith("transcode_"))
+    codec = lambda a: F.get_json_object(a["value"], "$.codec")
+    known = F.create_map(*(x for k, v in encoders.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
+    def text(a: Column) -> Column:
+        who = F.coalesce(F.try_element_at(known, codec(a)), F.array().cast("array<string>"))
+        return F.when(F.size(who) == 0, F.concat(F.lit("no encoder for "), codec(a))).when(F.size(who) == 1, F.concat(F.lit("only "), who[0], F.lit(" encodes "), codec(a)))
+    return F.array_distinct(F.array_compact(F.transform(wanted, text)))
+
+
 def evaluate(df: DataFrame, policy: dict) -> DataFrame:
     """(id, phase, status, reason, actions): a policy's phases over every file, in dependency order.
 
@@ -282,13 +300,13 @@ def evaluate(df: DataFrame, policy: dict) -> DataFrame:
     keep = df
     for p in phases:
         n = p["name"]
-        reason = F.when(condition(p["skip_when"], df), "skip_when") if "skip_when" in p else F.lit(None).cast("string")
+        reason = F.when(condition(p["skip_when"], keep), "skip_when") if "skip_when" in p else F.lit(None).cast("string")
         if "run_if" in p:
             other, state = p["run_if"]
             met = F.col(f"_st_{other}") == "pending" if state == "modified" else F.col(f"_st_{other}") != "skipped"
             reason = F.coalesce(reason, F.when(~met, "run_if"))
         keep = keep.withColumn(f"_why_{n}", reason)
-        raw = F.when(F.col(f"_why_{n}").isNull(), halted(sequence(p["operations"], df), p.get("on_error", "abort"))).otherwise(none())
+        raw = F.when(F.col(f"_why_{n}").isNull(), halted(sequence(p["operations"], keep), p.get("on_error", "abort"))).otherwise(none())
         keep = keep.withColumn(f"_raw_{n}", raw)
         keep = keep.withColumn(f"_why_{n}", F.coalesce(f"_why_{n}", F.try_element_at(F.filter(f"_raw_{n}", lambda a: a["op"] == "skip"), F.lit(1))["value"]))
         keep = keep.withColumn(f"_act_{n}", F.filter(F.when(F.col(f"_why_{n}").isNotNull(), F.col(f"_raw_{n}")).otherwise(safeguarded(F.col(f"_raw_{n}"))), lambda a: ~a["op"].isin("skip", "warn")))

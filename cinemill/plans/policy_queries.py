@@ -172,6 +172,33 @@ def container_safeguard(spark, d):
     return df.select("id", F.array_join(P.unfit(F.lit("mp4"), P.none()), ",").alias("unfit")).where("unfit <> ''")
 
 
+@query("c12_system_fields", "SELECT id FROM files WHERE id % 2 = 0")
+def system_fields(spark, d):
+    df = _library(spark, d).withColumn("system", F.when(F.col("id") % 2 == 0, F.create_map(F.lit("hwaccel"), F.lit("nvenc"))).otherwise(F.create_map(F.lit("cpu"), F.lit("x"))))
+    return df.where(P.condition({"field": "system.hwaccel", "is": ["==", "nvenc"]}, df)).select("id")
+
+
+@query("c13_o24_phase_fields", "SELECT id, 'a' AS phase, CASE WHEN container = 'mkv' THEN 'completed' ELSE 'pending' END AS status FROM files UNION ALL SELECT id, 'b', CASE WHEN container = 'mkv' THEN 'skipped' ELSE 'pending' END FROM files")
+def phase_fields(spark, d):
+    phases = [{"name": "a", "operations": [{"container": "mkv"}]}, {"name": "b", "skip_when": {"not": {"field": "phase.a.modified", "is": ["==", True]}}, "operations": [{"verify": "quick"}]}]
+    return P.evaluate(_library(spark, d), {"phases": phases}).select("id", "phase", "status")
+
+
+@query("o22_capability_hints", "SELECT f.id, CASE f.id % 2 WHEN 0 THEN 'only ffmpeg encodes hevc' ELSE 'no encoder for vp9' END AS hint FROM files f WHERE EXISTS (SELECT 1 FROM tracks t WHERE t.file_id = f.id AND t.track_type = 'video' AND t.codec <> CASE f.id % 2 WHEN 0 THEN 'hevc' ELSE 'vp9' END)")
+def hints(spark, d):
+    df = _library(spark, d)
+    even, odd = ({"transcode": c, "of": "video"} for c in ("hevc", "vp9"))
+    actions = F.when(F.col("id") % 2 == 0, P.operation(even, df)).otherwise(P.operation(odd, df))
+    return df.select("id", F.explode(P.capability_hints(actions, {"hevc": ["ffmpeg"], "h264": ["ffmpeg", "handbrake"]})).alias("hint"))
+
+
+@query("o25_orchestration", "SELECT id, CASE WHEN container = 'webm' THEN 'skipped' ELSE 'pending' END AS last, container <> 'webm' AS modified FROM files")
+def orchestration(spark, d):
+    phases = [{"name": "a", "skip_when": {"field": "file.container", "is": ["==", "webm"]}, "operations": [{"verify": "quick"}]}]
+    out = P.evaluate(_library(spark, d), {"phases": phases})
+    return out.groupBy("id").agg(F.max("status").alias("last"), F.bool_or(F.col("status") == "pending").alias("modified"))
+
+
 @query("o26_dry_run_text", "SELECT f.id, f.id || ': ' || count(t.file_id) || ' to remove' AS text FROM files f LEFT JOIN tracks t ON t.file_id = f.id AND t.track_type LIKE 'subtitle%' GROUP BY f.id")
 def dry_run(spark, d):
     df = _library(spark, d)
