@@ -30,7 +30,7 @@ WIDTH, HEIGHT, RESTART, FRAME_MS = 64, 64, 8, 40
 SIGMAS, WINDOW, FLOOR = 3.0, 8, 0.1
 #: Code lengths of the difference categories 0 to 8 in the Huffman table that every frame carries.
 LENGTHS = (5, 5, 4, 3, 3, 3, 2, 3, 4)
-GROUP = 4 << 20
+GROUP = 2 << 20
 
 
 class CorruptMedia(ValueError):
