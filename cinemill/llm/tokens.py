@@ -1,9 +1,10 @@
 """Token ids of whole texts with the tokenizers library, at a cache's speed.
 
 Both vocabularies used here cut a text into pieces before any merge, and a piece's ids do not depend
-on its neighbours. So each distinct piece goes through the library once per Python worker; words
-(what stands between spaces) are then looked up, and words not met before are put together from
-pieces. Texts for which the cut here could differ from the library's (rare white space, letters
+on its neighbours. So each distinct piece goes through the library's model once per Python worker,
+and words (what stands between spaces) are put together from pieces. Texts are cut, their words
+coded as a dictionary and the ids laid out in text order by Arrow, so Python touches each distinct
+word of a few million characters once instead of every word. Texts for which the cut here could differ from the library's (rare white space, letters
 whose lower case depends on context, words not in normal form) go through the library whole, so the
 ids always equal those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
@@ -12,9 +13,12 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Words and pieces a worker keeps; a full map starts afresh. It bounds memory and does not change ids.
@@ -26,6 +30,17 @@ DROPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 RARE_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD_CASE = "\u0130\u03a3"
 
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 bytes stand
+    for themselves, the others for the letters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = sorted(set(range(256)).difference(plain))
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+LETTERS = _byte_letters()
 _ENCODERS: dict[str, "WordCachedEncoder"] = {}
 
 
@@ -64,52 +79,51 @@ class WordCachedEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.model = self.lib.model
         self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         # With a normalizer that lowers case and a splitter that drops white space, words are all there is.
         self.drops_space = bool(self.lib.normalizer)
         self.split = regex.compile(DROPS_SPACE if self.drops_space else KEEPS_SPACE).findall
-        # Between the pieces of one call stands a mark whose single id no piece yields.
-        self.mark, self.lone = (" \x01 ", "\x01") if self.drops_space else ("\n", "\n")
-        mark = np.frombuffer(self._ids(self.mark), dtype=self.dtype)
-        self.mark_id = int(mark[0]) if len(mark) == 1 else None
         self.words, self.pieces = _Kept(WORDS), _Kept(PIECES)
 
     def _ids(self, text: str) -> bytes:
         found = self.lib.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(found.ids, dtype=self.dtype).tobytes()
 
-    def _words(self, text: str) -> list[str] | None:
-        """A text cut at its spaces, or None where the library's pieces could span a cut."""
-        if any(c in text for c in RARE_SPACE):
-            return None
-        if self.drops_space:
-            return text.split()
-        return None if "  " in text or "\t" in text or "\r" in text or "\n \n" in text else text.split(" ")
+    def _piece_ids(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))
+        return array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in found]).tobytes()
+
+    def _can_cut(self, text: str) -> bool:
+        """Whether no piece of the library's spans one of the cuts made here."""
+        if not text.isascii() and any(c in text for c in RARE_SPACE):
+            return False
+        if any(c in text for c in RARE_SPACE[:6]):
+            return False
+        return self.drops_space or not ("  " in text or "\t" in text or "\r" in text or "\n \n" in text)
 
-    def _parts(self, word: str) -> list[str]:
-        """Pieces of a word that the library encodes one by one as it does together."""
+    def _parts(self, word: str) -> list[str] | None:
+        """Pieces of a word, or None where only the library's normalizer tells them."""
         if not self.drops_space:
-            return self.split(word)
-        if not word.isascii():
-            if any(c in word for c in ODD_CASE) or not unicodedata.is_normalized("NFC", word):
-                return [word]
-        return self.split(word.lower())
-
-    def _fill_pieces(self, pieces: set[str]) -> dict[str, bytes]:
-        fresh = self.pieces.missing(pieces)
-        cache, width = self.pieces, self.dtype.itemsize
-        clear = [p for p in fresh if self.mark_id is not None and self.lone not in p and not p.isspace()]
-        if len(clear) < len(fresh):
-            done = set(clear)
-            cache.update((p, self._ids(p)) for p in fresh if p not in done)
-        for at in range(0, len(clear), 8192):
-            some = clear[at : at + 8192]
-            raw = self._ids(self.mark.join(some))
-            ends = (np.nonzero(np.frombuffer(raw, dtype=self.dtype) == self.mark_id)[0] * width).tolist()
-            cache.update((p, raw[a:b]) for p, a, b in zip(some, [0, *(e + width for e in ends)], [*ends, len(raw)]))
-        return cache
-
-    def encode_many(self, texts: Iterable[str], end_id: int | None = None, chars: int = 1_000_000) -> Iterator[np.ndarray]:
+            return [word] if word[1:].isalpha() and word[0] == " " else self.split(word)
+        if not word.isascii() and (any(c in word for c in ODD_CASE) or not unicodedata.is_normalized("NFC", word)):
+            return None
+        word = word.lower()
+        return [word] if word.isalpha() else self.split(word)
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        known = self.words
+        fresh = known.missing(set(words))
+        parts = [self._parts(w) for w in fresh]
+        pieces = self.pieces
+        for p in pieces.missing(set().union(*(x for x in parts if x))):
+            pieces[p] = self._piece_ids(p)
+        for w, ps in zip(fresh, parts):
+            known[w] = self._ids(w) if ps is None else b"".join([pieces[p] for p in ps])
+        return [known[w] for w in words]
+
+    def encode_many(self, texts: Iterable[str], end_id: int | None = None, chars: int = 8_000_000) -> Iterator[np.ndarray]:
         """Ids of each text in order, with end_id after them if given; works on about ``chars`` characters at once."""
         held, size = [], 0
         for text in texts:
@@ -121,20 +135,30 @@ class WordCachedEncoder:
         yield from self._encode(held, end_id)
 
     def _encode(self, texts: list[str], end_id: int | None) -> Iterator[np.ndarray]:
-        lists = [self._words(t) for t in texts]
-        lead = "" if self.drops_space else " "
-        # a text's first word has no space before it
-        first = [self._parts(x[0]) if x and lead else [] for x in lists]
-        if lead:
-            lists = [None if x is None else x[1:] for x in lists]
-        fresh = self.words.missing(set().union(*(x for x in lists if x)))
-        parts = [self._parts(lead + w) for w in fresh]
-        ids = self._fill_pieces(set().union(*parts, *first))
-        self.words.update((w, b"".join([ids[p] for p in ps])) for w, ps in zip(fresh, parts))
-        get, end = self.words.__getitem__, b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
-        for text, head, words in zip(texts, first, lists):
-            raw = self._ids(text) if words is None else b"".join([*(ids[p] for p in head), *map(get, words)])
-            yield np.frombuffer(raw + end, dtype=self.dtype)
+        if not texts:
+            return
+        cut = [self._can_cut(t) for t in texts]
+        lists = pa.array([t if c else "" for t, c in zip(texts, cut)], pa.large_string())
+        lists = pc.ascii_split_whitespace(lists) if self.drops_space else pc.split_pattern(lists, " ")
+        starts = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if self.drops_space:
+            heads = [b""] * len(texts)
+            skip = 0
+        else:  # a text's first word has no space before it
+            firsts = pc.list_element(lists, 0).to_pylist()
+            distinct = list(set(firsts))
+            heads = [*map(dict(zip(distinct, self._word_ids(distinct))).__getitem__, firsts)]
+            words = [" " + w for w in words]
+            skip = 1
+        laid = pa.array(self._word_ids(words), pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(laid.buffers()[1], dtype=np.int64)[laid.offset : laid.offset + len(laid) + 1]
+        raw = memoryview(laid.buffers()[2]) if laid.buffers()[2] else memoryview(b"")
+        end = b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
+        for i, text in enumerate(texts):
+            lo, hi = at[min(starts[i] + skip, starts[i + 1])], at[starts[i + 1]]
+            yield np.frombuffer(heads[i] + bytes(raw[lo:hi]) + end if cut[i] else self._ids(text) + end, dtype=self.dtype)
 
     def encode_ids(self, text: str, end_id: int | None = None) -> np.ndarray:
         return next(self.encode_many([text], end_id))
