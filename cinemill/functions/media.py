@@ -229,3 +229,42 @@ def since(text: str, now: dt.datetime) -> dt.datetime:
         except ValueError:
             pass
     raise ValueError(f"no age, date or date and time: {text}")
+
+
+# Codecs of still pictures, pixel formats with few colours.
+STILL_CODECS = ("mjpeg", "png", "bmp", "gif", "webp")
+FEW_COLOURS = ("pal8", "rgb4", "rgb8", "bgr4", "bgr8")
+
+
+def metadata_value_ok(value: Column) -> Column:
+    """No control characters but tab, line feed and carriage return."""
+    return ~value.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+
+
+def metadata_key_ok(key: Column) -> Column:
+    return (key != "") & ~key.contains("=") & metadata_value_ok(key)
+
+
+def cover_art(codec: Column, frames: Column, duration: Column) -> Column:
+    """Whether a video stream is an embedded picture; frames and duration are probe texts."""
+    count = F.when(frames.rlike("^[0-9]+$"), frames.try_cast("decimal(20,0)"))
+    one = F.when(count.isNotNull(), count <= 1).otherwise(F.coalesce(duration.try_cast("double"), F.lit(0.0)) <= 0)
+    return F.coalesce(codec.isin(*STILL_CODECS) & one, F.lit(False))
+
+
+def animation(tags: list[Column], hdr: Column, color_space: Column, pixel_format: Column, frames: Column, duration: Column, heuristic: bool = True) -> Column:
+    """The first tag that tells animation from live action; else, if asked for, what the picture suggests (null: unknown)."""
+    text = [F.lower(t) for t in tags]
+    told = [F.when(t.rlike("animation|anime"), True).when(t.rlike("live[ -]action"), False) for t in text]
+    space = F.coalesce(color_space, F.lit(""))
+    flat = pixel_format.isin(*FEW_COLOURS) & space.isin("", "bt709") & (duration > 0) & (frames >= 20 * duration)
+    guess = F.when(hdr | space.contains("bt2020"), False).when(flat, True)
+    return F.coalesce(*told, *([guess] if heuristic else []))
+
+
+def mastering_display(side: Column) -> Column:
+    """Mastering display text of a side-data map of strings; ratios keep their numerator."""
+    at = lambda key: F.split_part(F.try_element_at(side, F.lit(key)), F.lit("/"), F.lit(1))
+    pair = lambda label, x, y: F.concat(F.lit(label + "("), at(x), F.lit(","), at(y), F.lit(")"))
+    points = [pair(label, name + "_x", name + "_y") for label, name in (("G", "green"), ("B", "blue"), ("R", "red"), ("WP", "white_point"))]
+    return F.coalesce(F.concat(*points, pair("L", "max_luminance", "min_luminance")), F.try_element_at(side, F.lit("master_display")))

@@ -235,3 +235,51 @@ def changes(spark, d):
     df = L.events(spark, d).withColumn("prev", F.lag("event_type").over(w)).withColumn("grp", F.sum(F.when(F.col("prev") == F.col("event_type"), 0).otherwise(1)).over(w))
     runs = df.groupBy("user_id", "grp").agg(F.count(F.lit(1)).alias("streak"), F.count_if(F.col("prev").isNotNull() & (F.col("prev") != F.col("event_type"))).alias("changes"))
     return runs.groupBy("user_id").agg(F.sum("changes").alias("changes"), F.max("streak").alias("longest"))
+
+
+@query(
+    "x07_metadata_text",
+    r"""SELECT doc_id, k <> '' AND NOT contains(k, '=') AND NOT regexp_matches(k, '[\x01-\x08\x0B\x0C\x0E-\x1F]') AS key_ok, NOT regexp_matches(k, '[\x01-\x08\x0B\x0C\x0E-\x1F]') AS value_ok
+    FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'title' WHEN 1 THEN '' WHEN 2 THEN 'a=b' WHEN 3 THEN 'a' || chr(9) || 'b' ELSE 'a' || chr(1) END AS k FROM documents)""",
+)
+def metadata_text(spark, d):
+    m = F.col("doc_id") % 5
+    k = F.when(m == 0, "title").when(m == 1, "").when(m == 2, "a=b").when(m == 3, "a\tb").otherwise("a\x01")
+    return L.read(spark, d, "documents").select("doc_id", M.metadata_key_ok(k).alias("key_ok"), M.metadata_value_ok(k).alias("value_ok"))
+
+
+@query(
+    "x10_cover_art",
+    """SELECT file_id, stream_index, codec IN ('mjpeg', 'png', 'bmp', 'gif', 'webp') AND CASE WHEN regexp_full_match(f, '[0-9]+') THEN TRY_CAST(f AS BIGINT) <= 1 ELSE coalesce(TRY_CAST(t AS DOUBLE), 0) <= 0 END AS cover
+    FROM (SELECT *, CASE stream_index % 4 WHEN 0 THEN '1' WHEN 1 THEN '24' WHEN 2 THEN 'N/A' END AS f, CASE WHEN is_default THEN 'N/A' WHEN is_forced THEN '0.000' ELSE '12.5' END AS t FROM tracks)""",
+)
+def cover_art(spark, d):
+    m = F.col("stream_index") % 4
+    frames = F.when(m == 0, "1").when(m == 1, "24").when(m == 2, "N/A")
+    duration = F.when(F.col("is_default"), "N/A").when(F.col("is_forced"), "0.000").otherwise("12.5")
+    return L.tracks(spark, d).select("file_id", "stream_index", M.cover_art(F.col("codec"), frames, duration).alias("cover"))
+
+
+@query(
+    "x12_animation",
+    """SELECT file_id, stream_index, CASE WHEN g = 'Anime Series' THEN true WHEN g = 'Live-Action' THEN false WHEN is_default THEN true WHEN stream_index % 3 = 0 THEN false WHEN is_forced AND stream_index >= 2 THEN true END AS animated
+    FROM (SELECT *, CASE stream_index % 4 WHEN 0 THEN 'Anime Series' WHEN 1 THEN 'Live-Action' WHEN 2 THEN 'Drama' END AS g FROM tracks)""",
+)
+def animated(spark, d):
+    i = F.col("stream_index")
+    tags = [F.when(i % 4 == 0, "Anime Series").when(i % 4 == 1, "Live-Action").when(i % 4 == 2, "Drama"), F.when(F.col("is_default"), "ANIMATION")]
+    pixels = F.when(F.col("is_forced"), "pal8").otherwise("yuv420p")
+    found = M.animation(tags, i % 3 == 0, F.lit("bt709"), pixels, i * 100.0, F.lit(10.0))
+    return L.tracks(spark, d).select("file_id", "stream_index", found.alias("animated"))
+
+
+@query(
+    "x13_mastering_display",
+    """SELECT file_id, stream_index, CASE WHEN is_default THEN 'G(' || stream_index || ',2)B(3,4)R(5,6)WP(7,8)L(1000,1)' WHEN is_forced THEN 'as given' END AS display FROM tracks""",
+)
+def mastering(spark, d):
+    values = {"green_y": "2/50000", "blue_x": "3", "blue_y": "4", "red_x": "5/50000", "red_y": "6", "white_point_x": "7", "white_point_y": "8", "max_luminance": "1000/1", "min_luminance": "1/10000"}
+    pairs = [F.lit(x) for pair in values.items() for x in pair]
+    whole = F.create_map(F.lit("green_x"), F.concat(F.col("stream_index").cast("string"), F.lit("/50000")), *pairs)
+    side = F.when(F.col("is_default"), whole).when(F.col("is_forced"), F.create_map(F.lit("master_display"), F.lit("as given"))).otherwise(F.create_map(F.lit("red_x"), F.lit("1")))
+    return L.tracks(spark, d).select("file_id", "stream_index", M.mastering_display(side).alias("display"))
