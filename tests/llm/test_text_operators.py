@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on awkward rows and on the small table."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -270,6 +271,15 @@ def test_token_ids_equal_the_library(spark, name):
         assert enc.encode_ids(t).tolist() == enc.lib.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_odd_texts_equal_the_librarys(name):
+    enc, r = encoder(tokenizer_path(name)), random.Random(7)
+    letters = " \n\t'sabtß\u03a3\u00c0\u0301\u0130中1.,!\x1c\x0b\u00a0\U0001f600\ufb01"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    for text, ids in zip(texts, enc.encode_many(texts, chars=500), strict=True):
+        assert ids.tolist() == enc.lib.encode(text, add_special_tokens=False).ids, text
+
+
 def check_pieces(rows, found, max_tokens, max_segments, max_loss):
     enc = encoder(tokenizer_path("word_bpe_49k.json"))
     docs = Counter()
