@@ -198,73 +198,146 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, hot: int = H
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Longer fingerprints for a lower similarity: at 0.8 shared shingles (Jaccard) about 78 of 512 bits
-#: differ, too many for whole blocks to agree for certain; 32 bands of 16 bits, one of which two texts
-#: must share, meet with probability 0.91 at 0.8 and 0.998 at 0.9.
-WIDE_BITS, BANDS, WIDE_RADIUS = 512, 32, 80
-_SEEDS = np.random.default_rng(2024).integers(1, 1 << 63, WIDE_BITS // 64, dtype=np.uint64) | np.uint64(1)
+#: For the pipeline: texts that share SHARE of their shingles or more (exact Jaccard). SAMPLE texts tell
+#: which shingles are common; they only set the order in which shingles become keys, never a result.
+SHARE_NUM, SHARE_DEN = 4, 5
+SAMPLE, COMMON, CELLS = 8192, 100_000, 128
 
 
-def wide_fingerprint(text: str, words: int = 5) -> bytes:
-    """A fingerprint of WIDE_BITS bits: each shingle's hash is mixed anew for every 64 of them."""
+def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
+    """The distinct shingles' hashes, in order; a text of fewer words is one shingle."""
     w = text.encode().lower().split()
-    if not w:
-        return bytes(WIDE_BITS // 8)
     shingles = [b" ".join(w)] if len(w) <= words else map(b" ".join, zip(*(w[i:] for i in range(words))))
-    h = np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in shingles]), dtype=np.uint64)
-    votes = np.zeros((len(_SEEDS), 64), dtype=np.int64)
-    for at in range(0, len(h), 4096):
-        for k, seed in enumerate(_SEEDS):
-            x = h[at : at + 4096] * seed
-            x ^= x >> np.uint64(31)
-            x *= _SEEDS[k - 1]
-            x ^= x >> np.uint64(29)
-            votes[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(votes.reshape(-1) * 2 > len(h)).tobytes()
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in shingles]), dtype=np.int64))
+
+
+def _node(grams: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams.tobytes(), 42) - (1 << 63)
 
 
-def _band(band, key=None):
-    part = F.substring("fp", band * 2 + 1, F.lit(2))
-    return F.xxhash64(band, part) if key is None else F.xxhash64(key, band, part)
+def _cells(grams: np.ndarray) -> bytes:
+    """Counts of shingles by cell: the sum of two texts' differences never exceeds the shingles they do not share."""
+    return np.minimum(np.bincount(grams & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-def near_copies(df: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, hot: int = HOT) -> DataFrame:
-    """(doc_id, component_id) by longer fingerprints, for texts that share 0.8 of their shingles or more.
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, in order, that several of a sample's texts hold, and in how many."""
+    rows = texts.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(x.as_py(), words))], names=["gram"])
 
-    A band shared by more than hot fingerprints is dealt out again by eight other bands.
+    sample = texts.select("text") if rows <= SAMPLE else texts.select("text").sample(SAMPLE / rows, 1)
+    found = sample.mapInArrow(run, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
+    found = found.orderBy(F.desc("n"), "gram").limit(COMMON).toPandas().sort_values("gram")
+    return found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def _prints(texts: DataFrame, words: int) -> DataFrame:
+    """(doc_id, th, node, n, keys, cells): node names the set of shingles, n counts them.
+
+    keys are the n - ceil(0.8 n) + 1 rarest shingles in one order for all texts: two sets whose Jaccard
+    is 0.8 or more have one of those in common, whatever the order.
     """
+    gram, often = _common(texts, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n, keys, cells = [], [], [], []
+            for x in batch.column(2):
+                g = shingle_hashes(x.as_py(), words)
+                node.append(_node(g))
+                n.append(len(g))
+                cells.append(_cells(g))
+                rank = np.zeros(len(g), dtype=np.int64)
+                if len(gram):
+                    at = np.minimum(np.searchsorted(gram, g), len(gram) - 1)
+                    rank = np.where(gram[at] == g, often[at], 0)
+                first = np.lexsort((g, rank))[: len(g) - -(-SHARE_NUM * len(g) // SHARE_DEN) + 1]
+                keys.append(g[first])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.binary())],
+                names=["doc_id", "th", "node", "n", "keys", "cells"],
+            )
+
+    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, node long, n long, keys array<long>, cells binary")
+
+
+def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingles' Jaccard is 0.8 or more, by the shingles themselves."""
+    ends = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"]
+    pairs = pairs.join(ends[0], "a").join(ends[1], "b")
+    pairs = stage(pairs.where(F.least("na", "nb") * SHARE_DEN >= F.greatest("na", "nb") * SHARE_NUM), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("_d"), F.col("th").alias("_h"))
+    held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left_semi")
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(x.as_py(), words) for x in batch.column(1)], pa.binary())], names=["doc_id", "fp"])
-
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "node"])
-        key, node = pdf["key"].to_numpy(), pdf["node"].to_numpy()
-        fps = np.frombuffer(b"".join(pdf["fp"]), dtype=np.uint64).reshape(len(pdf), -1)
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        roots = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-        to = local_roots(fps, radius, roots)
-        moved = to != np.arange(len(key))
-        return pd.DataFrame({"a": node[moved], "b": node[to[moved]]})
-
-    def linked(keyed: DataFrame, rows: int) -> DataFrame:
-        shards = parts_for(rows, 20_000, 64)
-        return keyed.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInPandas(shard, "a long, b long")
-
-    docs = stage(doc_text(df).mapInArrow(prints, "doc_id long, fp binary"), "prints")
-    nodes = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp")), "nodes")
-    keyed = nodes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn("key", _band(F.col("band")))
-    many = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "many")
-    n_hot = many.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    links = linked(keyed.join(many.select("key"), "key", "left_anti").select("node", "fp", "key"), nodes.count() * BANDS)
-    if n_hot:
-        again = keyed.join(many.select("key"), "key").withColumn("other", F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: (F.col("band") + k * 3) % BANDS)))
-        links = links.unionByName(linked(again.select("node", "fp", _band(F.col("other"), F.col("key")).alias("key")), n_hot * 8))
+            grams = [shingle_hashes(x.as_py(), words) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, grams), pa.int64()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
+
+    sets = stage(held.select("text").mapInArrow(run, "node long, grams array<long>"), "sets").dropDuplicates(["node"])
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return both.where(shared * SHARE_DEN >= (F.col("na") + F.col("nb") - shared) * SHARE_NUM).select("a", "b")
+
+
+def _candidates(members: DataFrame, rows: int) -> DataFrame:
+    """Pairs (a, b) of each group (part) of members (node, root, n, cells) under different roots that may be alike."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["part", "node"])
+        part, node, root, n = (pdf[c].to_numpy() for c in ("part", "node", "root", "n"))
+        cells = np.frombuffer(b"".join(pdf["cells"]), dtype=np.uint8).reshape(len(pdf), CELLS).astype(np.int16)
+        cuts = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(part)]])
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for begin, end in zip(cuts[:-1], cuts[1:]):
+            for i in range(begin, end - 1):
+                j = np.arange(i + 1, end)
+                j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * SHARE_DEN >= np.maximum(n[j], n[i]) * SHARE_NUM)]
+                # at Jaccard 0.8 a ninth of both counts together is not shared
+                j = j[np.abs(cells[j] - cells[i]).sum(1, dtype=np.int64) * (SHARE_NUM + SHARE_DEN) <= (n[j] + n[i]) * (SHARE_DEN - SHARE_NUM)]
+                found.append(np.stack([np.broadcast_to(node[i], len(j)), node[j]], axis=1))
+        found = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    shards = parts_for(rows, 20_000, 64)
+    return members.withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(shards))).groupBy("shard").applyInPandas(run, "a long, b long").distinct()
+
+
+def copy_groups(df: DataFrame, words: int = 5, hot: int = HOT) -> DataFrame:
+    """(doc_id, th, root) of every row: root is the same for texts linked by exact Jaccard of 0.8 or more.
+
+    First every text is held against one head of each of its keys, which joins nearly all of a group;
+    then, under keys that still hold several components, each text against all of other components.
+    """
+    texts = doc_text(df).withColumn("th", F.xxhash64("text"))
+    docs = stage(_prints(texts, words), "prints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("least")
+    nodes = docs.groupBy("node").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("cells").alias("cells"))
+    nodes = stage(nodes.select("node", F.col("least.doc_id").alias("least"), F.col("least.th").alias("th"), "n", "keys", "cells"), "nodes")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stage(keyed.join(heads, "key"), "shared")
+    star = stage(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    links = stage(_alike(texts, nodes, star, words), "alike")
+    rooted = shared.where("size > 2").join(components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rest = stage(rooted.join(several, "key"), "rest")
+    members = rest.join(nodes.select("node", "n", "cells"), "node").withColumn("part", F.col("key"))
+    more = _candidates(members, rest.count()).join(star, ["a", "b"], "left_anti")
+    links = links.unionByName(_alike(texts, nodes, more, words))
     roots = components(links)
-    rooted = nodes.select("node", "fp", "least").join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "component_id")
+    return docs.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+
+
+def near_copies(df: DataFrame, words: int = 5, hot: int = HOT) -> DataFrame:
+    """(doc_id, component_id) by exact links of 0.8: component_id is the smallest doc_id of the group."""
+    docs = stage(copy_groups(df, words, hot), "groups")
+    return docs.join(docs.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

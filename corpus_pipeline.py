@@ -21,10 +21,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by SimHash over five-word shingles.
+    """One document, the one with the smallest id, of each group linked by five-word shingles.
 
-    Three differing bits of 64 would only link texts that share nearly all shingles; the longer
-    fingerprints link those that share 0.8 of them or more.
+    Three differing bits of 64 would only link texts that share nearly all shingles; texts whose
+    shingles' exact Jaccard is 0.8 or more are linked here, and no others.
     """
     found = simhash.near_copies(docs)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()

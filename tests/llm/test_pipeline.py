@@ -1,7 +1,9 @@
 """The pipeline's stages against plain versions of their decisions, on the small table and awkward rows."""
 
+import random
+
 import corpus_pipeline
-from cinemill.llm import decontaminate
+from cinemill.llm import decontaminate, simhash
 from cinemill.llm.common import table
 from tests.llm.helpers import awkward, empty
 
@@ -47,3 +49,43 @@ def test_stages_on_awkward_and_empty_rows(spark, sf_dir):
             out = step(spark, docs, sf_dir)
             out.collect()
             assert k == 4 or out.columns == docs.columns
+
+
+def exact_groups(texts):
+    """Smallest id of each text's group, by all pairs."""
+    grams = {d: shingles(t or "") for d, t in texts.items()}
+    root = {d: d for d in texts}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {d: top(d) for d in texts}
+
+
+def near_threshold_texts():
+    """Texts of 300 words with 12 to 17 words apart changed, so that pairs lie close to 0.8 on both sides."""
+    r = random.Random(8)
+    rows = {}
+    for k in range(60):
+        w = ["w%d" % r.randrange(5000) for _ in range(300)]
+        copy = list(w)
+        for at in r.sample(range(3, 297, 12), 6 + k % 4):
+            copy[at] = "x%d" % r.randrange(5000)
+        rows[2 * k], rows[2 * k + 1] = " ".join(w), " ".join(copy)
+    return rows
+
+
+def test_near_copies_link_exactly_from_0_8_on(spark):
+    texts = near_threshold_texts()
+    wanted = exact_groups(texts)
+    assert 20 < len(set(wanted.values())) - 60 < 50  # pairs on both sides
+    found = simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == wanted
