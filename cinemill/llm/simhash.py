@@ -286,28 +286,46 @@ def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) ->
 
 
 def _candidates(members: DataFrame, rows: int) -> DataFrame:
-    """Pairs (a, b) of each group (part) of members (node, root, n, cells) under different roots that may be alike."""
+    """Pairs (a, b) of each group (part) of members (node, root, n, cells) under different roots that may be alike.
+
+    Where a group holds both sides 0 and 1, only pairs of one of each are compared.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "node"])
-        part, node, root, n = (pdf[c].to_numpy() for c in ("part", "node", "root", "n"))
+        pdf = pdf.sort_values(["part", "side", "node"])
+        part, node, root, n, side = (pdf[c].to_numpy() for c in ("part", "node", "root", "n", "side"))
         cells = np.frombuffer(b"".join(pdf["cells"]), dtype=np.uint8).reshape(len(pdf), CELLS).astype(np.int16)
         cuts = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(part)]])
         found = [np.zeros((0, 2), dtype=np.int64)]
         for begin, end in zip(cuts[:-1], cuts[1:]):
+            whole = side[begin] == side[end - 1]
             for i in range(begin, end - 1):
                 j = np.arange(i + 1, end)
+                if not whole:
+                    if side[i]:
+                        break
+                    j = j[side[j] == 1]
                 j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * SHARE_DEN >= np.maximum(n[j], n[i]) * SHARE_NUM)]
                 # at Jaccard 0.8 a ninth of both counts together is not shared
                 j = j[np.abs(cells[j] - cells[i]).sum(1, dtype=np.int64) * (SHARE_NUM + SHARE_DEN) <= (n[j] + n[i]) * (SHARE_DEN - SHARE_NUM)]
                 found.append(np.stack([np.broadcast_to(node[i], len(j)), node[j]], axis=1))
-        found = np.unique(np.concatenate(found), axis=0)
+        found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     shards = parts_for(rows, 20_000, 64)
     return members.withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(shards))).groupBy("shard").applyInPandas(run, "a long, b long").distinct()
 
 
+def _blocks(members: DataFrame, hot: int) -> DataFrame:
+    """The members (key, node, size and more) with part and side: a key of more than hot members is cut into
+    blocks of about hot by the node's hash, and every pair of blocks is a part of its own, so no pair is lost."""
+    blocks = F.ceil(F.col("size") / hot).cast("int")
+    cut = members.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    part = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return cut.withColumn("part", part).withColumn("side", (F.col("mine") > F.col("other")).cast("int"))
+
+
 def copy_groups(df: DataFrame, words: int = 5, hot: int = HOT) -> DataFrame:
     """(doc_id, th, root) of every row: root is the same for texts linked by exact Jaccard of 0.8 or more.
 
@@ -327,8 +345,9 @@ def copy_groups(df: DataFrame, words: int = 5, hot: int = HOT) -> DataFrame:
     rooted = shared.where("size > 2").join(components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = stage(rooted.join(several, "key"), "rest")
-    members = rest.join(nodes.select("node", "n", "cells"), "node").withColumn("part", F.col("key"))
-    more = _candidates(members, rest.count()).join(star, ["a", "b"], "left_anti")
+    members = _blocks(rest.join(nodes.select("node", "n", "cells"), "node"), hot)
+    rows = rest.agg(F.coalesce(F.sum(F.ceil(F.col("size") / hot)), F.lit(0))).first()[0]
+    more = _candidates(members, rows).join(star, ["a", "b"], "left_anti")
     links = links.unionByName(_alike(texts, nodes, more, words))
     roots = components(links)
     return docs.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))

@@ -89,3 +89,18 @@ def test_near_copies_link_exactly_from_0_8_on(spark):
     assert 20 < len(set(wanted.values())) - 60 < 50  # pairs on both sides
     found = simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in found} == wanted
+
+
+def test_hot_keys_lose_no_link(spark):
+    """A chain of near copies in which only neighbours are alike, all under the same keys, with tiny blocks."""
+    r = random.Random(9)
+    w = ["w%d" % r.randrange(5000) for _ in range(300)]
+    texts = {}
+    for k in range(24):
+        for at in r.sample(range(3, 297, 12), 6):
+            w[at] = "x%d" % r.randrange(10**6)
+        texts[k] = " ".join(w)
+    wanted = exact_groups(texts)
+    assert len(set(wanted.values())) < 20
+    found = simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), hot=3).collect()
+    assert {x.doc_id: x.component_id for x in found} == wanted
