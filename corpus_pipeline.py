@@ -21,15 +21,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by five-word shingles.
+    """One row, the one with the smallest id and then text hash, of each group linked by five-word shingles.
 
     Three differing bits of 64 would only link texts that share nearly all shingles; texts whose
-    shingles' exact Jaccard is 0.8 or more are linked here, and no others.
+    shingles' exact Jaccard is 0.8 or more are linked here, and no others. A null id comes last; rows
+    of one id, or none, stay side by side where their texts are no copies.
     """
-    found = simhash.near_copies(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = simhash.copy_groups(docs)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_first"), F.col("first.th").alias("_hash"))
+    rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")) & (F.col("_th") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_th"]).drop("_th")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,3 +104,11 @@ def test_hot_keys_lose_no_link(spark):
     assert len(set(wanted.values())) < 20
     found = simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), hot=3).collect()
     assert {x.doc_id: x.component_id for x in found} == wanted
+
+
+def test_near_dedup_keeps_texts_under_null_and_repeated_ids(spark, sf_dir):
+    one, two, three, four, five = ("%s starts a text of quite other words than those beside it %s ends" % (c, c * 3) for c in "abcde")
+    one, two, three, four, five = (" ".join(f"{c}{k}" for k in range(40)) + t for c, t in zip("abcde", (one, two, three, four, five)))
+    rows = [(None, one), (None, two), (None, one), (7, three), (7, four), (3, four), (None, five), (9, five), (9, five), (None, None)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(None, one), (None, two), (7, three), (3, four), (9, five), (None, None)]))
