@@ -37,20 +37,33 @@ def savings(transitions: DataFrame, unit: str | None = None) -> DataFrame:
 
 
 def lineage(files: DataFrame, start: DataFrame, depth: int = 50) -> DataFrame:
-    """(root, id, hop): the chain of predecessors of each start id, by successive joins; depth guards against cycles."""
-    back = files.where("superseded_by is not null").select(F.col("superseded_by").alias("from"), F.col("id").alias("to"))
-    level = start.select(F.col("id").alias("root"), "id", F.lit(0).alias("hop"))
-    levels = [level]
-    for hop in range(1, depth):
-        level = level.join(back, F.col("id") == F.col("from")).select("root", F.col("to").alias("id"), F.lit(hop).alias("hop")).where("id <> root")
-        level = level.checkpoint() if level.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else level
-        if not level.take(1):
-            break
-        levels.append(level)
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
+    """(root, id, hop): the chain of predecessors of each start id, a file having one at most.
+
+    Steps double in length from join to join. Depth guards against long chains; one that comes back
+    to its root ends before it.
+    """
+
+    def settled(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
+    step = files.where("superseded_by is not null").select(F.col("superseded_by").alias("from"), F.col("id").alias("to"))
+    reach, length = start.select(F.col("id").alias("root"), "id", F.lit(0).alias("hop")), 1
+    while length < depth:
+        more = reach.join(step, F.col("id") == F.col("from")).select("root", F.col("to").alias("id"), (F.col("hop") + length).alias("hop"))
+        reach = settled(reach.unionByName(more.where(F.col("hop") < depth)))
+        length *= 2
+        if length < depth:
+            step = settled(step.join(step.select(F.col("from").alias("to"), F.col("to").alias("next")), "to").select("from", F.col("next").alias("to")))
+            if not step.take(1):
+                break
+    back = reach.where("id = root and hop > 0").groupBy("root").agg(F.min("hop").alias("back"))
+    return reach.join(back, "root", "left").where("back is null or hop < back").select("root", "id", "hop")
+
+
+def lineage_transitions(chains: DataFrame, transitions: DataFrame) -> DataFrame:
+    """(root, hop, file_id, transition_id, created_at): the transitions of every file on each root's chain."""
+    of = transitions.select("file_id", F.col("id").alias("transition_id"), "created_at")
+    return chains.withColumnRenamed("id", "file_id").join(of, "file_id").select("root", "hop", "file_id", "transition_id", "created_at")
 
 
 def doomed(df: DataFrame, at: Column, order: list[Column], older_than=None, keep_last: int | None = None) -> DataFrame:

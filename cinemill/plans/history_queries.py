@@ -103,6 +103,16 @@ def lineage(spark, d):
     return H.lineage(files, files.where("id % 11 = 5"))
 
 
+@query(
+    "j17_d19_u06_lineage_transitions",
+    """WITH RECURSIVE chain AS (SELECT id AS root, id, 0 AS hop FROM files UNION ALL SELECT c.root, f.id, c.hop + 1 FROM chain c JOIN files f ON f.superseded_by = c.id WHERE c.hop < 49 AND f.id <> c.root)
+    SELECT c.root, c.hop, c.id AS file_id, t.id AS transition_id, t.created_at FROM chain c JOIN transitions t ON t.file_id = c.id""",
+)
+def lineage_transitions(spark, d):
+    files = L.files(spark, d)
+    return H.lineage_transitions(H.lineage(files, files), L.transitions(spark, d))
+
+
 @query("a16_k06_latency_rollup", "SELECT plugin_id, count(*) AS n, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (outcome = 'panic') AS panics, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95, quantile_disc(duration_ms, 0.99) AS p99, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM plugin_stats GROUP BY 1 ORDER BY p95 DESC, plugin_id LIMIT 5")
 def latency(spark, d):
     return H.latency_rollup(L.plugin_stats(spark, d), 5)

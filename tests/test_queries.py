@@ -53,3 +53,24 @@ def test_greedy_cover_is_greedy(spark):
     features = [(1, 10, "a"), (1, 10, "b"), (2, 5, "b"), (2, 5, "c"), (3, 5, "b"), (3, 5, "c"), (4, 1, "d"), (5, 99, "e")]
     got = greedy_cover(spark.createDataFrame(features, "item long, size long, feature string"), 5, 20).collect()
     assert [(r["item"], r["gain"]) for r in got] == [(2, 2), (4, 1), (1, 1)]
+
+
+def test_lineage_walks_chains_to_their_transitions(spark, sf_dir):
+    from cinemill.sources import library as L
+
+    files = {r.id: r.superseded_by for r in L.files(spark, sf_dir).select("id", "superseded_by").collect()}
+    before, logs = {}, {}
+    for i, by in files.items():
+        if by is not None:
+            before.setdefault(by, []).append(i)
+    for r in L.transitions(spark, sf_dir).select("id", "file_id").collect():
+        logs.setdefault(r.file_id, []).append(r.id)
+    wanted = []
+    for root in files:
+        level = [root]
+        for hop in range(50):
+            wanted += [(root, hop, i, t) for i in level for t in logs.get(i, [])]
+            level = [k for i in level for k in before.get(i, []) if k != root]
+    found = registry.QUERIES["j17_d19_u06_lineage_transitions"](spark, sf_dir).collect()
+    assert sorted((r.root, r.hop, r.file_id, r.transition_id) for r in found) == sorted(wanted)
+    assert max(r.hop for r in found) > 0
