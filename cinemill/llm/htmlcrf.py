@@ -29,7 +29,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 LETTERS = re.compile(r"[a-z]+")
-UNSEEN = frozenset("script style noscript template head title svg math iframe object".split())
+UNSEEN = frozenset("script style noscript template head title svg iframe object".split())
 RAW = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -106,6 +106,9 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         block = tag in BLOCKS
         if block:
             flush()
+            if unseen == 1 and tag != "html":  # a head left open ends here, unless another unseen element is open
+                k = next((k for k, (t, _) in enumerate(stack) if t == "head"), len(stack))
+                pop_to(k)
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), -1)
             if k >= 0 and not any(t in ("button", "table", "td") for t, _ in stack[k:]):
                 pop_to(k)
@@ -116,7 +119,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                     if stack[k][0] in CLOSES[tag]:
                         pop_to(k)
                         break
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in UNSEEN:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and (tag not in UNSEEN or tag == "svg"):
             continue
         if tag == "body":
             pop_to(next((k for k, (t, _) in enumerate(stack) if t == "head"), len(stack)))

@@ -441,6 +441,20 @@ def test_pages_training_accuracy_and_null_html(spark):
     assert htmlcrf.extract(df.limit(0), field).collect() == []
 
 
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ("<article><svg/><p>one</p><svg class='i' />two</article>", ["one", "two"]),
+        ("<article><svg><text>unseen</text></svg><p>one</p></article>", ["one"]),
+        ("<html><head><title>t</title><meta charset=utf-8><div>one</div><p>two", ["one", "two"]),
+        ("<head><noscript><div>unseen</div></noscript><title>t</title></head><p>one", ["one"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<p><math/>end", ["so x=2 holds", "end"]),
+    ],
+)
+def test_odd_pages_keep_their_text(page, wanted):
+    assert [b[0] for b in htmlcrf.leaf_blocks(page)] == wanted
+
+
 def test_viterbi_is_the_best_labelling():
     from itertools import product
 
