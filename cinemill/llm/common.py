@@ -17,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (local tests) a temporary folder stands in for it.
+    Where that setting is absent, a temporary folder stands in for it in local mode (tests); on a
+    cluster, whose machines would not see it, that is an error.
     """
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         kept = sc._jsc.sc().getCheckpointDir()
+        if not kept.isDefined() and not sc.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="cinemill-")
         if not kept.isDefined():
             sc.setCheckpointDir(at)
@@ -38,6 +41,15 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(*staged: DataFrame) -> None:
+    """Delete the files of tables made by stage() that no later action reads."""
+    for df in staged:
+        at = df.inputFiles()[0].rpartition("/")[0]
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(at))
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def doc_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) of a table; null text counts as empty, other columns are left out."""
     return df.select(

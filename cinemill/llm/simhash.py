@@ -25,23 +25,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinemill.llm.common import doc_text, parts_for, stage, table
+from cinemill.llm.common import discard, doc_text, parts_for, stage, table
 from cinemill.llm.graph import components
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 HOT = 4096
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """The 64-bit fingerprint of one text, unsigned."""
+def shingle_digests(text: str, words: int) -> bytes:
+    """XXH64 of each shingle in turn, eight bytes each; a text of fewer words is one shingle, no words are none."""
     w = text.encode().lower().split()
     if not w:
-        return 0
-    if len(w) <= words:
-        shingles = [b" ".join(w)]
-    else:
-        shingles = map(b" ".join, zip(*(w[i:] for i in range(words))))
-    hashes = b"".join([xxhash.xxh64_digest(x, 42) for x in shingles])
+        return b""
+    shingles = [b" ".join(w)] if len(w) <= words else map(b" ".join, zip(*(w[i:] for i in range(words))))
+    return b"".join([xxhash.xxh64_digest(x, 42) for x in shingles])
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """The 64-bit fingerprint of one text, unsigned; zero without words."""
+    return fingerprint_of(shingle_digests(text, words))
+
+
+def fingerprint_of(hashes: bytes) -> int:
     votes, n = np.zeros(64, dtype=np.int64), len(hashes) // 8
     for at in range(0, len(hashes), 8 * 8192):
         votes += np.unpackbits(np.frombuffer(hashes[at : at + 8 * 8192], dtype=np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -198,17 +203,19 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, hot: int = H
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For the pipeline: texts that share SHARE of their shingles or more (exact Jaccard). SAMPLE texts tell
+#: For the pipeline: texts that share 4 of 5 shingles or more (exact Jaccard). SAMPLE texts tell
 #: which shingles are common; they only set the order in which shingles become keys, never a result.
 SHARE_NUM, SHARE_DEN = 4, 5
 SAMPLE, COMMON, CELLS = 8192, 100_000, 128
 
 
 def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
-    """The distinct shingles' hashes, in order; a text of fewer words is one shingle."""
-    w = text.encode().lower().split()
-    shingles = [b" ".join(w)] if len(w) <= words else map(b" ".join, zip(*(w[i:] for i in range(words))))
-    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in shingles]), dtype=np.int64))
+    """The distinct shingles' hashes, in order; zero alone stands for a text without words."""
+    return _distinct(shingle_digests(text, words))
+
+
+def _distinct(digests: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(digests or bytes(8), dtype=np.int64))
 
 
 def _node(grams: np.ndarray) -> int:
@@ -236,7 +243,7 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(texts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, th, node, n, keys, cells): node names the set of shingles, n counts them.
+    """(doc_id, th, fp, node, n, keys, cells): fp is the SimHash, node names the set of shingles, n counts them.
 
     keys are the n - ceil(0.8 n) + 1 rarest shingles in one order for all texts: two sets whose Jaccard
     is 0.8 or more have one of those in common, whatever the order.
@@ -245,9 +252,11 @@ def _prints(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, keys, cells = [], [], [], []
+            fp, node, n, keys, cells = [], [], [], [], []
             for x in batch.column(2):
-                g = shingle_hashes(x.as_py(), words)
+                digests = shingle_digests(x.as_py(), words)
+                g = _distinct(digests)
+                fp.append(fingerprint_of(digests))
                 node.append(_node(g))
                 n.append(len(g))
                 cells.append(_cells(g))
@@ -258,11 +267,13 @@ def _prints(texts: DataFrame, words: int) -> DataFrame:
                 first = np.lexsort((g, rank))[: len(g) - -(-SHARE_NUM * len(g) // SHARE_DEN) + 1]
                 keys.append(g[first])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.binary())],
-                names=["doc_id", "th", "node", "n", "keys", "cells"],
-            )
+                [
+                    batch.column(0), batch.column(1), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(node, pa.int64()), pa.array(n, pa.int64()),
+                    pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.binary()),
+                ], names=["doc_id", "th", "fp", "node", "n", "keys", "cells"],
+            )
 
-    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, node long, n long, keys array<long>, cells binary")
+    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, fp long, node long, n long, keys array<long>, cells binary")
 
 
 def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -292,23 +303,21 @@ def _candidates(members: DataFrame, rows: int) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "side", "node"])
+        pdf = pdf.sort_values(["part", "n", "node"])
         part, node, root, n, side = (pdf[c].to_numpy() for c in ("part", "node", "root", "n", "side"))
         cells = np.frombuffer(b"".join(pdf["cells"]), dtype=np.uint8).reshape(len(pdf), CELLS).astype(np.int16)
         cuts = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(part)]])
         found = [np.zeros((0, 2), dtype=np.int64)]
         for begin, end in zip(cuts[:-1], cuts[1:]):
-            whole = side[begin] == side[end - 1]
+            whole = side[begin:end].min() == side[begin:end].max()
+            last = begin + np.searchsorted(n[begin:end], n[begin:end] * SHARE_DEN // SHARE_NUM, "right")  # of more shingles none is alike
             for i in range(begin, end - 1):
-                j = np.arange(i + 1, end)
-                if not whole:
-                    if side[i]:
-                        break
-                    j = j[side[j] == 1]
-                j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * SHARE_DEN >= np.maximum(n[j], n[i]) * SHARE_NUM)]
+                j = np.arange(i + 1, last[i - begin])
+                j = j[(root[j] != root[i]) if whole else (root[j] != root[i]) & (side[j] != side[i])]
                 # at Jaccard 0.8 a ninth of both counts together is not shared
                 j = j[np.abs(cells[j] - cells[i]).sum(1, dtype=np.int64) * (SHARE_NUM + SHARE_DEN) <= (n[j] + n[i]) * (SHARE_DEN - SHARE_NUM)]
-                found.append(np.stack([np.broadcast_to(node[i], len(j)), node[j]], axis=1))
+                if len(j):
+                    found.append(np.stack([np.broadcast_to(node[i], len(j)), node[j]], axis=1))
         found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
@@ -326,30 +335,47 @@ def _blocks(members: DataFrame, hot: int) -> DataFrame:
     return cut.withColumn("part", part).withColumn("side", (F.col("mine") > F.col("other")).cast("int"))
 
 
-def copy_groups(df: DataFrame, words: int = 5, hot: int = HOT) -> DataFrame:
+def _by_fingerprint(nodes: DataFrame, radius: int, hot: int) -> DataFrame:
+    """Pairs (a, b) of nodes that the BK-trees link: each node with the first of its fingerprint, and those
+    firsts with each other."""
+    first = stage(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = nodes.join(first, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    ends = [first.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in "ab"]
+    linked = link_roots(first, radius, hot).distinct().join(ends[0], "a").join(ends[1], "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    return same.unionByName(linked)
+
+
+def copy_groups(df: DataFrame, words: int = 5, hot: int = HOT, radius: int = 3) -> DataFrame:
     """(doc_id, th, root) of every row: root is the same for texts linked by exact Jaccard of 0.8 or more.
 
-    First every text is held against one head of each of its keys, which joins nearly all of a group;
-    then, under keys that still hold several components, each text against all of other components.
+    Candidates come from the BK-trees over the texts' SimHash fingerprints, and, as no radius of a
+    SimHash holds all links of 0.8, from their rarest shingles: every text is held against one head of
+    each of its keys, which joins nearly all of a group; then, under keys that still hold several
+    components, each text against all of other components. All are decided by the shingles themselves.
+
+    Null text is empty and wordless texts are one group; a null id names no group unless it has no other.
     """
     texts = doc_text(df).withColumn("th", F.xxhash64("text"))
     docs = stage(_prints(texts, words), "prints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("least")
-    nodes = docs.groupBy("node").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("cells").alias("cells"))
-    nodes = stage(nodes.select("node", F.col("least.doc_id").alias("least"), F.col("least.th").alias("th"), "n", "keys", "cells"), "nodes")
+    nodes = docs.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("fp", "n", "keys", "cells")))
+    nodes = stage(nodes.select("node", F.col("least.doc_id").alias("least"), F.col("least.th").alias("th"), "fp", "n", "keys", "cells"), "nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stage(keyed.join(heads, "key"), "shared")
-    star = stage(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    links = stage(_alike(texts, nodes, star, words), "alike")
+    star = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = _by_fingerprint(nodes, radius, hot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = stage(star.unionByName(near).distinct(), "tried")
+    links = stage(_alike(texts, nodes, tried, words), "alike")
     rooted = shared.where("size > 2").join(components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = stage(rooted.join(several, "key"), "rest")
     members = _blocks(rest.join(nodes.select("node", "n", "cells"), "node"), hot)
     rows = rest.agg(F.coalesce(F.sum(F.ceil(F.col("size") / hot)), F.lit(0))).first()[0]
-    more = _candidates(members, rows).join(star, ["a", "b"], "left_anti")
+    more = _candidates(members, rows).join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(_alike(texts, nodes, more, words))
     roots = components(links)
+    discard(shared, tried, rest)
     return docs.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
 
