@@ -1,11 +1,15 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Fixed kinds (email, ip, card, phone) are found by pattern and checked. Each value found is a
-protected entity. A term (word of three letters or more) within WINDOW characters of an entity
-discloses it when what the term tells about the entity, the pointwise mutual information over
-documents of the corpus, reaches SHARE of the entity's own information content; the pair must have
-been seen in two different contexts, so that copies of one passage prove nothing. Such terms are
-removed where they tell everything about the entity, and generalised otherwise.
+protected entity. A term (word of three letters or more) seen within WINDOW characters of an entity
+in two different contexts discloses it when what the term tells about the entity, the pointwise
+mutual information, reaches SHARE of the entity's own information content. All its counts are of
+whole documents of the corpus: those with the entity, with the term, and with both. One context
+proves nothing: a word of one passage, or of its copies, always tells everything about a value there.
+(The window chooses candidates because all words times all entities of a document would grow with
+the square of its length.) A disclosing term is marked wherever it stands in a document that holds
+the entity. It is generalised to the class of words that begin alike (three letters, or one), if the
+class has a word so frequent that it cannot reach SHARE whatever it stands beside, and removed otherwise.
 
 Possessive patterns keep Java's matcher from recursing on long runs; ``\\G`` admits a match that
 starts where the last one ended inside a run, as a plain left-to-right scan would find it.
@@ -33,6 +37,8 @@ NEEDS = (r"@", None, None, r"+")
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"\p{L}{3,}+"
 WINDOW, SHARE = 100, 0.9
+#: Letters by which words of a class begin alike, the finest class first.
+PREFIXES = (3, 1)
 
 
 def located(text: Column, pattern: str, needs: str | None = None) -> Column:
@@ -97,67 +103,88 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", spans.alias("spans"))
 
 
-def _with_context(found: DataFrame) -> DataFrame:
-    """Each span with the text about it; the text itself stays behind."""
-    before = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW)))
-    after = lambda s: F.substring(F.col("text"), s["end"] + 1, F.lit(WINDOW))
-    wide = F.transform(
-        "spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), before(s).alias("before"), after(s).alias("after"))
-    )
-    return found.select("doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("n"), wide.alias("spans"))
+def _entity(span: Column) -> Column:
+    return F.xxhash64(span["kind"], F.lower(span["value"]))
+
+
+def _words(text: str) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
 
+def _class(letters: int):
+    """The coarser class of a term; no term ends in the mark."""
+    return lambda term: F.concat(F.substring(term, 1, letters), F.lit("*"))
 
-def _terms(found: DataFrame) -> DataFrame:
-    """(doc_id, th, entity, context, term, start, end): words about each entity that lie in no span."""
-    one = found.where("size(spans) > 0").select("doc_id", "th", "n", F.explode("spans").alias("s"), "spans")
+
+def _near(held: DataFrame) -> DataFrame:
+    """(entity, context, term): words about each entity that lie in no span."""
+    one = held.select(F.length("text").alias("n"), F.explode("spans").alias("s"), "spans", "text")
+    begin = F.greatest(F.col("s.start") - WINDOW, F.lit(0))
     one = one.select(
-        "doc_id", "th", "n", "s", "spans", F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.xxhash64("s.before", "s.after").alias("context"),
-        F.regexp_extract_all("s.before", F.lit(TERM), F.lit(0)).alias("mb"), F.regexp_extract_all("s.after", F.lit(TERM), F.lit(0)).alias("ma"),
-    )
-    left, right = _placed(F.col("s.before"), F.col("mb"), TERM), _placed(F.col("s.after"), F.col("ma"), TERM)
-    shift = F.greatest(F.col("s.start") - WINDOW, F.lit(0))
-    # a word that the window's edge cuts is no word
-    left = F.transform(F.filter(left, lambda x: (x["start"] > 0) | (shift == 0)), lambda x: F.struct((x["start"] + shift).alias("start"), (x["end"] + shift).alias("end"), F.lower(x["value"]).alias("term")))
-    right = F.transform(
-        F.filter(right, lambda x: (x["end"] < WINDOW) | (F.col("s.end") + WINDOW >= F.col("n"))),
-        lambda x: F.struct((x["start"] + F.col("s.end")).alias("start"), (x["end"] + F.col("s.end")).alias("end"), F.lower(x["value"]).alias("term")),
+        "n", "s", "spans", begin.alias("shift"), F.substring("text", begin + 1, F.col("s.start") - begin).alias("before"), F.substring("text", F.col("s.end") + 1, F.lit(WINDOW)).alias("after"),
     )
-    free = F.filter(F.concat(left, right), lambda x: ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    return one.select("doc_id", "th", "entity", "context", F.explode(free).alias("t")).select("doc_id", "th", "entity", "context", "t.*")
-
-
-def disclosing(terms: DataFrame, docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """(entity, term, ratio) of the terms that disclose an entity by the whole corpus's counts."""
-    per_doc = terms.groupBy("doc_id", "th", "entity", "term").agg(F.min("context").alias("lo"), F.max("context").alias("hi"))
-    pairs = per_doc.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
-    pairs = stage(pairs.select("entity", "term", "together"), "pairs")
-    entity = terms.select("doc_id", "th", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    # an inner join: a semi-join would move below the count and shuffle every word
-    word = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(pairs.select("term").distinct(), "term")
+    one = one.select("*", F.regexp_extract_all("before", F.lit(TERM), F.lit(0)).alias("mb"), F.regexp_extract_all("after", F.lit(TERM), F.lit(0)).alias("ma"))
+    moved = lambda by: lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), F.lower(x["value"]).alias("term"))
+    # a word that the window's edge cuts is no word
+    left = F.transform(F.filter(_placed(F.col("before"), F.col("mb"), TERM), lambda x: (x["start"] > 0) | (F.col("shift") == 0)), moved(F.col("shift")))
+    right = F.filter(_placed(F.col("after"), F.col("ma"), TERM), lambda x: (x["end"] < WINDOW) | (F.col("s.end") + WINDOW >= F.col("n")))
+    free = F.filter(F.concat(left, F.transform(right, moved(F.col("s.end")))), lambda x: ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
+    return one.select(_entity(F.col("s")).alias("entity"), F.xxhash64("before", "after").alias("context"), F.explode(F.array_distinct(F.transform(free, lambda x: x["term"]))).alias("term"))
+
+
+def disclosing(held: DataFrame, docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """(row, term, ratio, put): the terms of each row that disclose an entity of it, and what stands in their place.
+
+    held: the rows (row, text, spans) with spans; docs: the whole corpus, whose counts decide.
+    """
+    seen = _near(held).groupBy("entity", "term").agg(F.min("context").alias("lo"), F.max("context").alias("hi")).where("lo <> hi")
+    seen = stage(seen.select("entity", "term"), "near")
+    own = held.select("row", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
+    entity = own.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    words = docs.select(F.explode(_words("text")).alias("term"))
+    counts = stage(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "counts")
     total = F.lit(docs.count()).cast("double")
-    scored = pairs.join(entity, "entity").join(word, "term")
+    # documents of a term beyond which it cannot reach the share, as it stands beside an entity n_entity times at most
+    most = F.pow("n_entity", F.lit(share)) * F.pow(total, F.lit(1 - share))
+    pairs = stage(seen.join(entity, "entity").join(counts, "term").where(F.col("n_term") <= most), "pairs")
+    there = held.select("row", F.explode(_words("text")).alias("term")).join(pairs.select("entity", "term"), "term").join(own, ["row", "entity"])
+    there = stage(there.select("row", "entity", "term"), "there")
+    together = there.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
     tells = F.log2(F.col("together") * total / (F.col("n_entity") * F.col("n_term")))
     content = -F.log2(F.col("n_entity") / total)
-    return scored.select("entity", "term", F.when(content > 0, tells / content).alias("ratio")).where(F.col("ratio") >= share)
+    told = pairs.join(together, ["entity", "term"]).withColumn("ratio", F.when(content > 0, tells / content)).where(F.col("ratio") >= share)
+    put = []
+    for k, n in enumerate(PREFIXES):
+        # a class has the documents of its most frequent word at least
+        known = counts.groupBy(_class(n)(F.col("term")).alias(f"_c{k}")).agg(F.max("n_term").alias(f"_n{k}"))
+        told = told.withColumn(f"_c{k}", _class(n)(F.col("term"))).join(known, f"_c{k}", "left")
+        put.append(F.when(F.col(f"_n{k}") > most, F.concat(F.lit("["), F.upper(f"_c{k}"), F.lit("]"))))
+    told = told.select("entity", "term", "ratio", F.coalesce(*put, F.lit("")).alias("put"))
+    return there.join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("ratio").alias("ratio"), F.min("put").alias("put"))
 
 
 def find_personal(df: DataFrame) -> DataFrame:
     """(doc_id, th, base, terms): spans of the fixed kinds and of disclosing terms, per row.
 
-    base: array<struct<start, kind, end>>; terms: array<struct<start, kind, end, ratio>>. th is the
-    text's xxhash64.
+    base: array<struct<start, kind, end>>; terms: array<struct<start, kind, end, ratio, put>>, put
+    being the class that a term is generalised to, or nothing. th is the text's xxhash64.
     """
     docs = doc_text(df)
-    found = stage(_with_context(base_spans(docs)), "personal")
-    terms = stage(_terms(found), "terms")
-    told = terms.join(disclosing(terms, docs), ["entity", "term"])
-    told = told.groupBy("doc_id", "th", "start", "end").agg(F.max("ratio").alias("ratio"))
-    told = told.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "ratio"))).alias("terms"))
-    base = found.select("doc_id", "th", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"))
-    on = base["doc_id"].eqNullSafe(told["doc_id"]) & (base["th"] == told["th"])
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,ratio:double>>")
-    return base.join(told, on, "left").select(base["doc_id"], base["th"], "base", F.coalesce("terms", none).alias("terms"))
+    found = base_spans(docs).select("doc_id", F.xxhash64("text").alias("th"), F.when(F.size("spans") > 0, F.col("text")).alias("text"), "spans", F.monotonically_increasing_id().alias("row"))
+    found = stage(found, "personal")
+    held = found.where("text is not null").select("row", "text", "spans")
+    told = disclosing(held, docs).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("ratio", "put")))).alias("told"))
+    told = held.join(told, "row").withColumn("_m", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
+    marks = F.transform(
+        _placed(F.col("text"), F.col("_m"), TERM),
+        lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end"), F.col("told")[F.lower(x["value"])].alias("t")),
+    )
+    marks = F.filter(marks, lambda x: x["t"].isNotNull() & ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
+    marks = F.transform(marks, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["t"]["ratio"].alias("ratio"), x["t"]["put"].alias("put")))
+    base = found.select("row", "doc_id", "th", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,ratio:double,put:string>>")
+    return base.join(told.select("row", marks.alias("terms")), "row", "left").select("doc_id", "th", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def _joined(spans: Column) -> Column:
@@ -166,12 +193,12 @@ def _joined(spans: Column) -> Column:
 
 
 def sanitised(df: DataFrame) -> DataFrame:
-    """The table with its text column cleaned: a span of the fixed kinds becomes [KIND], a term that
-    tells everything about an entity goes, another becomes [TERM]. Other columns stay as they are."""
+    """The table with its text column cleaned: a span of the fixed kinds becomes [KIND], a disclosing
+    term its class, as [QUE*], or nothing. Other columns stay as they are."""
     spans = find_personal(df)
     marks = F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit("]")).alias("put"))),
-        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["ratio"] >= 0.999999, "").otherwise("[TERM]").alias("put"))),
+        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["put"].alias("put"))),
     )
     marks = spans.where("size(base) > 0 or size(terms) > 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.array_sort(marks).alias("_marks")).dropDuplicates(["_d", "_h"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
