@@ -1,10 +1,11 @@
 """Quality classifier: attention-based multiple-instance learning over the passages of a text.
 
-A text is a bag of passages of PASSAGE words. Each passage is encoded (character kinds, word shape
-and repetition, then one tanh layer); gated attention weighs the encoded passages; the weighted sum
-is scored. Only document labels are needed. The model is fitted on at most SAMPLE labelled rows of
-each class outside the held-out fold, none longer than LONGEST characters, chosen by the hash of
-their id, so that fitting takes the same memory whatever the table's size; every whole text is scored.
+A text is a bag of passages of PASSAGE words. Each passage is encoded (its words and its three-byte
+strings hashed into BUCKETS counts each, character kinds, word shape and repetition, then one tanh
+layer); gated attention weighs the encoded passages; the weighted sum is scored. Only document labels
+are needed. The model is fitted on at most SAMPLE labelled rows of each class outside the held-out
+fold, none longer than LONGEST characters, chosen by the hash of their id, so that fitting takes the
+same memory whatever the table's size; every whole text is scored.
 
 Defined cases: null text is empty; an empty text is one passage without words and is scored; rows
 without a label, repeated labels (the lower counts) and labels of one class only (score: their
@@ -15,15 +16,17 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinemill.llm.common import doc_text, table
+from cinemill.llm.common import doc_text, stage, table
 
-PASSAGE, SAMPLE, LONGEST, FOLDS, THRESHOLD = 64, 2000, 200_000, 5, 0.3
+PASSAGE, SAMPLE, LONGEST, FOLDS, THRESHOLD = 64, 2000, 50_000, 5, 0.3
+BUCKETS, HASHED = 64, 0.3
 HIDDEN, GATES, STEPS, RATE, DECAY = 16, 8, 250, 0.03, 1e-3
 #: Kinds of byte: other, space, lower, upper, digit, stop, exclamation, symbol, bar, beyond ASCII.
 _KIND = np.zeros(256, dtype=np.int64)
@@ -31,20 +34,26 @@ for _k, _chars in enumerate((b" \n\t\r", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEF
     _KIND[list(_chars)] = _k
 _KIND[128:] = 9
 KINDS = 10
-WIDTH = KINDS + 6
+SHAPE = KINDS + 6
+WIDTH = SHAPE + 2 * BUCKETS
 
 
 def passages(text: str) -> np.ndarray:
     """One row of features for each passage of a whole text; one row at least."""
     words = text.split()
-    out = np.zeros((max(1, -(-len(words) // PASSAGE)), WIDTH))
+    out = np.zeros((max(1, -(-len(words) // PASSAGE)), WIDTH), dtype=np.float32)
     for i in range(0, len(words), PASSAGE):
         w = words[i : i + PASSAGE]
-        raw = np.frombuffer(" ".join(w).encode(), dtype=np.uint8)
+        joined = " ".join(w).encode()
+        raw = np.frombuffer(joined, dtype=np.uint8)
         row = out[i // PASSAGE]
         row[:KINDS] = np.bincount(_KIND[raw], minlength=KINDS) / len(raw)
         n = len(w)
-        row[KINDS:] = (
+        row[SHAPE : SHAPE + BUCKETS] = np.bincount([crc32(x) % BUCKETS for x in joined.lower().split()], minlength=BUCKETS) / n
+        if len(raw) > 2:
+            three = (raw[:-2].astype(np.uint32) * 40503 + raw[1:-1]) * 40503 + raw[2:]
+            row[SHAPE + BUCKETS :] = np.bincount((three * np.uint32(0x9E3779B1)) >> np.uint32(26), minlength=BUCKETS) / len(three)
+        row[KINDS:SHAPE] = (
             len(set(w)) / n,
             sum(map(str.__eq__, w[1:], w)) / n,
             min(len(raw) / n, 40) / 20,
@@ -104,7 +113,8 @@ class AttentionBags:
         x = np.concatenate(bags)
         first = np.cumsum([0, *(len(b) for b in bags[:-1])])
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
-        self.mean[-1], self.scale[-1] = 0, 1
+        self.mean[SHAPE - 1], self.scale[SHAPE - 1] = 0, 1
+        self.scale[SHAPE:] /= HASHED
         x = (x - self.mean) / self.scale
         m, v = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
         for t in range(1, STEPS + 1):
@@ -142,8 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), batch.column(1), batch.column(2)], names=["bag", "y", "doc_id"])
 
     rows = doc_text(docs).join(F.broadcast(some), "doc_id").where(F.length("text") <= LONGEST).select("text", "y", "doc_id")
-    found = sorted(rows.mapInArrow(run, "bag binary, y int, doc_id long").collect(), key=lambda r: (r["doc_id"], bytes(r["bag"])))
-    bags = [np.frombuffer(r["bag"]).reshape(-1, WIDTH) for r in found]
+    bags = stage(rows.mapInArrow(run, "bag binary, y int, doc_id long"), "bags")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("bag"))  # an id may stand on any number of rows
+    found = [r for y in (0, 1) for r in bags.where(F.col("y") == y).orderBy(*order).limit(sample).collect()]
+    bags = [np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, WIDTH) for r in found]
     prior = n.get(1, 0) / max(1, sum(n.values()))
     return AttentionBags().fit(bags, np.array([r["y"] for r in found], dtype=float), prior if n else 0.5)
 

@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on awkward rows and on the small table."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -64,6 +65,34 @@ def test_secrets_find_random_strings_and_leave_words(spark):
     assert found[3] == 1 and found[4] == 1 and sum(found.values()) == 2
 
 
+def test_battery_finds_planted_tokens_of_every_encoding_and_few_words(spark):
+    """Random strings of each alphabet, alone or glued to words, among the small table's whole texts."""
+    r = random.Random(6)
+    rows = [(i, n, "".join(r.choice(secrets.ALPHABETS[n]) for _ in range(size))) for i, (n, size, _) in enumerate((n, size, k) for n in secrets.NAMES for size in (20, 40) for k in range(8))]
+    texts = [(10**6 + i, f"see my-app/{w} for more" if i % 4 == 0 else f"see {w} for more") for i, _, w in rows]
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    found = {x.doc_id: x for x in secrets.find_secrets(docs.unionByName(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    hit = Counter(n for i, n, _ in rows if found[10**6 + i].n_random + found[10**6 + i].n_hex)
+    assert all(hit[n] >= 14 for n in secrets.NAMES) and sum(hit.values()) >= 0.95 * len(rows)
+    false = sum(x.n_random for d, x in found.items() if d < 10**6)
+    assert false <= max(1, 0.03 * len(rows))
+    assert not any(x.n_random for x in secrets.find_secrets(docs.where("doc_id < 200")).collect())
+
+
+def test_battery_p_values_are_uniform_for_random_draws_and_small_for_words():
+    r = np.random.default_rng(3)
+    rank = np.arange(26)
+    ps = np.array([secrets.battery(r.integers(0, 26, 60), 26, rank) for _ in range(2000)])
+    assert (np.abs((ps < 0.05).mean(0) - 0.05) < 0.03).all()
+    words = np.array([secrets.VALUE["lower"][c] for c in "internationalizationandlocalizationofapplications"])
+    pairs_of = np.zeros((128, 128))
+    for a, b in zip("internationalizationsofapplicationsandlocalizationforusers" * 50, "nternationalizationsofapplicationsandlocalizationforusers" * 50):
+        pairs_of[ord(a), ord(b)] += 1
+    known = secrets.Ordinary("lower", pairs_of)
+    assert secrets.combined(known.p_values(words)) > 0.001 > secrets.combined(known.p_values(r.integers(0, 26, 49)))
+    assert 3 * min(secrets.battery(words, 26, known.rank)) < secrets.ALPHA
+
+
 # personal data
 
 
@@ -109,6 +138,27 @@ def test_disclosing_terms_need_two_contexts(spark):
     assert clean[1000] == " wrote to [EMAIL] about lunch" and clean[1002] == "copy one hapaxword [EMAIL] end" and clean[5] == "ordinary words number nothing 5"
 
 
+def test_disclosure_counts_whole_documents_and_generalises(spark):
+    """Against counts by hand: near the entity twice, beside it in all its documents, marked wherever it stands."""
+    r = random.Random(4)
+    far = " ".join("".join(r.choice("bdfg") + r.choice("aeiou") for _ in range(4)) for _ in range(60))
+    texts = {i: f"common words and quartz quest quiet {''.join(r.choice('klmn') + r.choice('aeiou') for _ in range(4))}" for i in range(300)}
+    for k in range(10):  # within the window in two of ten documents only
+        texts[1000 + k] = f"no {k} Querelle {'' if k < 2 else far} o@x.org and Xylotomo{'' if k < 2 else ' ' + far}"
+    texts[2000] = "Querelle stands alone"  # in a document without the entity
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {x.doc_id: [(texts[x.doc_id][t.start : t.end], t.ratio, t.put) for t in x.terms] for x in pii.find_personal(docs).collect()}
+    total, content = len(texts), math.log2(len(texts) / 10)
+    for k in range(10):
+        marked = {w: (ratio, put) for w, ratio, put in found[1000 + k]}
+        assert {"Querelle", "Xylotomo"} <= set(marked)
+        assert marked["Xylotomo"] == (pytest.approx(1.0), "")  # no class of its is frequent
+        assert marked["Querelle"] == (pytest.approx(math.log2(10 * total / (10 * 11)) / content), "[QUE*]")
+    assert not any(found[d] for d in found if d < 1000 or d == 2000)
+    clean = {x.doc_id: x.text for x in pii.sanitised(docs).collect()}
+    assert clean[1000] == "no 0 [QUE*]  [EMAIL] and " and clean[2000] == texts[2000]
+
+
 def test_sanitised_keeps_columns_and_rows(spark):
     df = awkward(spark)
     out = pii.sanitised(df)
@@ -514,7 +564,20 @@ def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     found = quality.scored(table(spark, sf, "documents"), quality.train(table(spark, sf, "documents"), table(spark, sf, "labels")))
     rows = found.join(table(spark, sf, "labels"), "doc_id").where(quality.held_out(F.col("doc_id"))).collect()
-    assert len(rows) > 50 and np.mean([(r.score >= 0.3) == bool(r.quality) for r in rows]) > 0.95
+    right = {y: [(r.score >= 0.3) == bool(r.quality) for r in rows if r.quality == y] for y in (0, 1)}
+    assert len(rows) > 50 and np.mean(right[0] + right[1]) > 0.95 and np.mean(right[0]) >= 0.9 and np.mean(right[1]) >= 0.95
+
+
+def test_quality_tells_texts_by_their_words(spark):
+    """Both classes are made of the same letters, so only words and letter strings tell them apart; labelled ids stand on many rows."""
+    r = random.Random(12)
+    good, bad = "listen elbow night inch study dusty".split(), "silent below thing chin dusty study".split()
+    texts = [(i, " ".join(r.choice((good if i % 2 else bad)[:4] + ["the", "of", "and"]) for _ in range(150))) for i in range(400)]
+    docs = spark.createDataFrame(texts + [texts[5]] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    found = quality.scored(docs, quality.train(docs, labels, sample=150)).withColumn("out", quality.held_out(F.col("doc_id"))).collect()
+    held = [(x.score >= 0.5) == bool(x.doc_id % 2) for x in found if x.out]
+    assert len(held) > 50 and np.mean(held) > 0.95
 
 
 def test_quality_awkward_rows(spark):
