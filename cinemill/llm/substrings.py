@@ -94,16 +94,20 @@ def repeated_starts(regions: list[bytes], counts: list[int], width: int) -> list
 
 
 def _runs_of(docs: DataFrame, width: int, gram: int) -> DataFrame:
+    def rows(found: list) -> pa.RecordBatch:
+        cols = zip(*found) if found else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["doc_id", "th", "h", "region", "lo", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
         for batch in batches:
-            doc, th, found = [], [], []
             for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                own = list(runs(text.as_py().encode(), width, gram))
-                found += own
-                doc += [d] * len(own)
-                th += [t] * len(own)
-            cols = zip(*found) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(th, pa.int64()), *(pa.array(list(c), pa.int64()) for c in cols)], names=["doc_id", "th", "h", "region", "lo", "n"])
+                for r in runs(text.as_py().encode(), width, gram):
+                    found.append((d, t, *r))
+                    if len(found) >= 100_000:  # a periodic text has a run for each byte
+                        yield rows(found)
+                        found = []
+        yield rows(found)
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, h long, region long, lo long, n long")
 
@@ -191,23 +195,24 @@ def _keep(raw: bytes, ranges: list[tuple[int, int]], width: int) -> tuple[bytes,
 
 
 def remove_repeats(df: DataFrame, width: int = WIDTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES, keep_bytes: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, text) of every row; text is what is
+    kept, in which part of a letter reads as U+FFFD."""
     docs = doc_text(df).select("doc_id", F.xxhash64("text").alias("th"), "text")
     ranges = repeated_ranges(docs, width, hot, shard_bytes)
     joined = docs.join(ranges, _same(docs, ranges), "left").select(docs["doc_id"], "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             for text, rs in zip(batch.column(1), batch.column(2)):
                 raw = text.as_py().encode()
                 kept, removed, spans = _keep(raw, [(r["s0"], r["s1"]) for r in rs.as_py() or ()], width)
-                for column, value in zip(out, (len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None)):
+                for column, value in zip(out, (len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None, kept.decode(errors="replace"))):
                     column.append(value)
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string")
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:

@@ -2,33 +2,19 @@
 
 Suffixes are classified as larger (L) or smaller (S) than their successor; the leftmost-smaller
 substrings are sorted by induction and named; the string of names is sorted recursively; its order
-induces the array in two linear scans. A scan goes bucket by bucket, and within a bucket in waves,
-each wave a few array operations. Where the names outgrow a bucket-by-bucket scan, the recursion
-ends in prefix doubling.
+induces the array in two linear scans. Where letters are few, a scan goes bucket by bucket, and within
+a bucket in waves, each wave a few array operations; where they are many (the names of a recursion),
+buckets hold few suffixes and the same scan goes suffix by suffix. Both give the same array.
+
+Defined cases: an empty string has an empty array; equal letters, runs and periods need no separators.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: More names than this and the recursion's last level is sorted by prefix doubling.
-MOST_BUCKETS = 4096
-
-
-def doubling(t: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of numbers by doubling the compared prefix."""
-    n, rank, h = len(t), np.unique(t, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        second = np.zeros(n, dtype=np.int64)
-        second[: n - h] = rank[h:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        new = np.concatenate([[0], np.cumsum(~same)])
-        rank[order] = new
-        if new[-1] == n - 1 or h >= n:
-            return order
-        h = min(h * 2, n)
+#: Up to as many letters a scan goes bucket by bucket.
+WAVES = 4096
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -44,6 +30,8 @@ def _types(t: np.ndarray) -> np.ndarray:
 def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Suffix array from the leftmost-smaller suffixes in order (of their first letter at least)."""
     n, k = len(t), len(ends)
+    if k > WAVES:
+        return _induce_singly(t, small, seeds, ends)
     starts = np.concatenate([[0], ends[:-1]])
     sa = np.full(n, -1, dtype=np.int64)
     head = starts.copy()
@@ -90,11 +78,39 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, ends: np.ndarra
     return sa
 
 
+def _induce_singly(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As _induce, one suffix at a time."""
+    n, letters, is_small = len(t), t.tolist(), small.tolist()
+    sa, tail = [-1] * n, ends.tolist()
+    head = [0, *tail[:-1]]
+    for j in seeds[::-1].tolist():
+        c = letters[j]
+        tail[c] -= 1
+        sa[tail[c]] = j
+    c = letters[n - 1]
+    sa[head[c]] = n - 1
+    head[c] += 1
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not is_small[j]:
+            c = letters[j]
+            sa[head[c]] = j
+            head[c] += 1
+    tail = ends.tolist()
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and is_small[j]:
+            c = letters[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    return np.array(sa, dtype=np.int64)
+
+
 def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
     """Suffix array of a string of numbers below k, ends comparing lowest."""
     n = len(t)
-    if n < 3 or k > MOST_BUCKETS:
-        return doubling(t) if n else np.zeros(0, dtype=np.int64)
+    if n < 2:
+        return np.arange(n, dtype=np.int64)
     small = _types(t)
     lms = np.nonzero(small[1:] & ~small[:-1])[0] + 1
     ends = np.cumsum(np.bincount(t, minlength=k))
