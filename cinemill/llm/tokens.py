@@ -4,17 +4,23 @@ Both vocabularies used here cut a text into pieces before any merge, and a piece
 on its neighbours. So each distinct piece goes through the library's model once per Python worker,
 and words (what stands between spaces) are put together from pieces. Texts are cut, their words
 coded as a dictionary and the ids laid out in text order by Arrow, so Python touches each distinct
-word of a few million characters once instead of every word. Texts for which the cut here could differ from the library's (rare white space, letters
-whose lower case depends on context, words not in normal form) go through the library whole, so the
-ids always equal those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+word of some millions of characters once instead of every word. Texts for which the cut here could
+differ from the library's (rare white space, letters whose lower case depends on context, words not
+in normal form) go through the library whole, so the ids always equal those of
+``Tokenizer.encode(text, add_special_tokens=False)``.
+
+Defined cases: an empty text has no ids (but the end id where one is asked for); texts of any length
+are encoded whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +35,8 @@ DROPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: White space other than the plain kinds, and letters whose lower case is no plain one.
 RARE_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD_CASE = "\u0130\u03a3"
-
+#: Stand in for a line end at the head of a word, and between pieces; no text that is cut here holds them.
+LINE, BETWEEN = "\x1c", "\x1d"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,6 +48,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 LETTERS = _byte_letters()
+LETTER_TABLE = "".join(LETTERS[b] for b in range(256))
 _ENCODERS: dict[str, "WordCachedEncoder"] = {}
 
 
@@ -57,19 +65,6 @@ def encoder(path: str) -> "WordCachedEncoder":
     return _ENCODERS[path]
 
 
-class _Kept(dict):
-    """Values by key, of which there are at most about ``most``."""
-
-    def __init__(self, most: int):
-        self.most = most
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys without a value."""
-        if len(self) >= self.most:
-            self.clear()
-        return list(keys.difference(self))
-
-
 class WordCachedEncoder:
     """Texts to ids of type ``dtype``."""
 
@@ -84,15 +79,17 @@ class WordCachedEncoder:
         # With a normalizer that lowers case and a splitter that drops white space, words are all there is.
         self.drops_space = bool(self.lib.normalizer)
         self.split = regex.compile(DROPS_SPACE if self.drops_space else KEEPS_SPACE).findall
-        self.words, self.pieces = _Kept(WORDS), _Kept(PIECES)
+        self.words, self.pieces = {}, {}
 
     def _ids(self, text: str) -> bytes:
         found = self.lib.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(found.ids, dtype=self.dtype).tobytes()
 
-    def _piece_ids(self, piece: str) -> bytes:
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))
-        return array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in found]).tobytes()
+    def _learn(self, pieces: list[str]) -> None:
+        """Keep the ids of pieces, each through the library's model once."""
+        letters = codecs.charmap_decode(BETWEEN.join(pieces).encode(), "strict", LETTER_TABLE)[0].split(LETTERS[ord(BETWEEN)])
+        kind, of, tokens = "H" if self.dtype.itemsize == 2 else "I", attrgetter("id"), self.model.tokenize
+        self.pieces.update(zip(pieces, [array(kind, map(of, tokens(x))).tobytes() for x in letters]))
 
     def _can_cut(self, text: str) -> bool:
         """Whether no piece of the library's spans one of the cuts made here."""
@@ -102,28 +99,46 @@ class WordCachedEncoder:
             return False
         return self.drops_space or not ("  " in text or "\t" in text or "\r" in text or "\n \n" in text)
 
+    @staticmethod
+    def _cuts_lines(text: str) -> bool:
+        """Whether every line end of a text that can be cut is a piece of its own between two words."""
+        return "\n" in text and not ("\n\n" in text or "\n " in text or " \n" in text)
+
     def _parts(self, word: str) -> list[str] | None:
         """Pieces of a word, or None where only the library's normalizer tells them."""
         if not self.drops_space:
-            return [word] if word[1:].isalpha() and word[0] == " " else self.split(word)
-        if not word.isascii() and (any(c in word for c in ODD_CASE) or not unicodedata.is_normalized("NFC", word)):
+            if word[:1] == " ":
+                if word[1:].isalpha():
+                    return [word]
+                if word[1:-1].isalpha() and word[-1] in ".,;:!?":
+                    return [word[:-1], word[-1]]
+            return self.split(word)
+        if not word.isascii() and ("\u0130" in word or "\u03a3" in word or not unicodedata.is_normalized("NFC", word)):
             return None
         word = word.lower()
-        return [word] if word.isalpha() else self.split(word)
+        if word.isalpha():
+            return [word]
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return [word[:-1], word[-1]]
+        return self.split(word)
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words."""
-        known = self.words
-        fresh = known.missing(set(words))
+        if len(self.words) >= WORDS:
+            self.words.clear()
+        if len(self.pieces) >= PIECES:
+            self.pieces.clear()
+        known, pieces = self.words, self.pieces
+        fresh = [w for w in words if w not in known]
         parts = [self._parts(w) for w in fresh]
-        pieces = self.pieces
-        for p in pieces.missing(set().union(*(x for x in parts if x))):
-            pieces[p] = self._piece_ids(p)
+        unknown = {p for ps in parts if ps for p in ps if p not in pieces}
+        if unknown:
+            self._learn(list(unknown))
         for w, ps in zip(fresh, parts):
-            known[w] = self._ids(w) if ps is None else b"".join([pieces[p] for p in ps])
+            known[w] = self._ids(w) if ps is None else pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
         return [known[w] for w in words]
 
-    def encode_many(self, texts: Iterable[str], end_id: int | None = None, chars: int = 8_000_000) -> Iterator[np.ndarray]:
+    def encode_many(self, texts: Iterable[str], end_id: int | None = None, chars: int = 24_000_000) -> Iterator[np.ndarray]:
         """Ids of each text in order, with end_id after them if given; works on about ``chars`` characters at once."""
         held, size = [], 0
         for text in texts:
@@ -138,8 +153,12 @@ class WordCachedEncoder:
         if not texts:
             return
         cut = [self._can_cut(t) for t in texts]
-        lists = pa.array([t if c else "" for t, c in zip(texts, cut)], pa.large_string())
-        lists = pc.ascii_split_whitespace(lists) if self.drops_space else pc.split_pattern(lists, " ")
+        lists = [t if c else "" for t, c in zip(texts, cut)]
+        if self.drops_space:
+            lists = pc.ascii_split_whitespace(pa.array(lists, pa.large_string()))
+        else:
+            lists = [t.replace("\n", " " + LINE) if self._cuts_lines(t) else t for t in lists]
+            lists = pc.split_pattern(pa.array(lists, pa.large_string()), " ")
         starts = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -150,7 +169,7 @@ class WordCachedEncoder:
             firsts = pc.list_element(lists, 0).to_pylist()
             distinct = list(set(firsts))
             heads = [*map(dict(zip(distinct, self._word_ids(distinct))).__getitem__, firsts)]
-            words = [" " + w for w in words]
+            words = ["\n" + w[1:] if w[:1] == LINE else " " + w for w in words]
             skip = 1
         laid = pa.array(self._word_ids(words), pa.large_binary()).take(coded.indices)
         at = np.frombuffer(laid.buffers()[1], dtype=np.int64)[laid.offset : laid.offset + len(laid) + 1]
