@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinemill.llm.common import doc_text, shared_dir, stage, table
+from cinemill.llm.common import discard, doc_text, shared_dir, stage, table
 from cinemill.llm.tokens import encoder, tokenizer_path
 
 MAGIC = b"CMRANS01"
 BLOCK, LANES, SCALE = 65_536, 64, 20
 LOW = np.uint64(1 << 31)
+SEEN = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
 INDEX = np.dtype([("token", "<u8"), ("word", "<u8"), ("crc", "<u4")])
 
 
@@ -193,35 +194,31 @@ def _shared_table(uri: str) -> Table:
     return _TABLES[uri]
 
 
-def tokenised(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids binary) of every whole text, the end id included."""
+def tokenised(df: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
+    """(doc_id, n_tokens, ids binary, seen) of every whole text, the end id included; besides, a row of each
+    task in which only seen is set: the ids that it met and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
-            ids = list(enc.encode_many((x.as_py() for x in batch.column(1)), end_id))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"]
-            )
-
-    return doc_text(df).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-
+        total = np.zeros(vocabulary, dtype=np.int64)
 
-def count_ids(tokens: DataFrame, width: int, vocabulary: int) -> np.ndarray:
-    """Occurrences of each id over all rows; the result has one number per vocabulary entry."""
+        def rows(doc, n, ids, seen):
+            return pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(seen, SEEN)], names=["doc_id", "n_tokens", "ids", "seen"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                ids = np.frombuffer(x.as_py(), dtype=f"<u{width}")
-                total += np.bincount(ids, minlength=vocabulary)[:vocabulary] if len(ids) > vocabulary // 8 else 0
-                if len(ids) <= vocabulary // 8:
-                    np.add.at(total, ids, 1)
+            ids = list(enc.encode_many((x.as_py() for x in batch.column(1)), end_id))
+            if ids:
+                total += np.bincount(np.concatenate(ids), minlength=vocabulary)
+            yield rows(batch.column(0), [len(x) for x in ids], [x.tobytes() for x in ids], [None] * len(ids))
         at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
+        yield rows(pa.array([None], pa.int64()), [None], [None], [[{"id": i, "n": n} for i, n in zip(at.tolist(), total[at].tolist())]])
+
+    return doc_text(df).mapInArrow(run, "doc_id long, n_tokens long, ids binary, seen array<struct<id:long,n:long>>")
 
-    found = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+
+def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
+    """Occurrences of each id over all rows of tokenised(); the result has one number per vocabulary entry."""
+    found = tokens.where("n_tokens is null").select(F.explode("seen").alias("s")).groupBy("s.id").agg(F.sum("s.n").alias("n")).toPandas()
     out = np.zeros(vocabulary, dtype=np.int64)
     out[found["id"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
     return out
@@ -229,43 +226,58 @@ def count_ids(tokens: DataFrame, width: int, vocabulary: int) -> np.ndarray:
 
 def write_files(df: DataFrame, at: str, tokenizer: str, end_id: int, tokens_per_file: int = 8_000_000) -> DataFrame:
     """Write a table's texts as token files under the folder ``at``; returns the manifest
-    (file long in order, path, n_docs, n_tokens, n_bytes), one row per file."""
+    (file, piece: both long, in order; path, n_docs, n_tokens, n_bytes), one row per file.
+
+    A range holds about tokens_per_file ids and a file at most twice that and a text; rows of one id
+    are dealt out by their ids' hash, in whose order they stand."""
     enc = encoder(tokenizer)
     width, vocabulary = enc.dtype.itemsize, max(enc.lib.get_vocab_size(), end_id + 1)
-    tokens = stage(tokenised(df, tokenizer, end_id), "ids")
-    counts = count_ids(tokens, width, vocabulary)
+    tokens = stage(tokenised(df, tokenizer, end_id, vocabulary), "ids")
+    counts = count_ids(tokens, vocabulary)
     table_uri = f"{at}/table.freq"
     store, path = _fs(at)
     store.create_dir(path, recursive=True)
     with store.open_output_stream(f"{path}/table.freq") as f:
         f.write(scaled(counts).astype("<u4").tobytes())
     files = max(1, math.ceil(int(counts.sum()) / tokens_per_file))
+    kinds = "file long, piece long, path string, n_docs long, n_tokens long, n_bytes long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, sizes, ids = [], [], []
+        context, (fs, folder) = TaskContext.get(), _fs(at)
+        docs, sizes, ids, piece = [], [], [], 0
+
+        def written() -> pa.RecordBatch:
+            raw = to_bytes(docs, np.array(sizes), np.concatenate(ids), _shared_table(table_uri), width)
+            name = f"part-{context.partitionId():08d}-{piece:06d}.rans"
+            with fs.open_output_stream(f"{folder}/{name}.{context.taskAttemptId()}.tmp") as f:  # a retry never meets a half-written file
+                f.write(raw)
+            fs.move(f"{folder}/{name}.{context.taskAttemptId()}.tmp", f"{folder}/{name}")
+            values = [context.partitionId(), piece, f"{at}/{name}", len(docs), sum(sizes), len(raw)]
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["file", "piece", "path", "n_docs", "n_tokens", "n_bytes"])
+
+        held = 0
         for batch in batches:
-            docs += batch.column(0).to_pylist()
-            sizes += batch.column(1).to_pylist()
-            ids += [np.frombuffer(x.as_py(), dtype=f"<u{width}") for x in batch.column(2)]
-        if not docs:
-            return
-        context = TaskContext.get()
-        raw = to_bytes(docs, np.array(sizes), np.concatenate(ids), _shared_table(table_uri), width)
-        name = f"part-{context.partitionId():08d}.rans"
-        fs, folder = _fs(at)
-        with fs.open_output_stream(f"{folder}/{name}.{context.taskAttemptId()}.tmp") as f:  # a retry never meets a half-written file
-            f.write(raw)
-        fs.move(f"{folder}/{name}.{context.taskAttemptId()}.tmp", f"{folder}/{name}")
-        values = [context.partitionId(), f"{at}/{name}", len(docs), sum(sizes), len(raw)]
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["file", "path", "n_docs", "n_tokens", "n_bytes"])
-
-    ordered = tokens.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
-    return stage(ordered.mapInArrow(run, "file long, path string, n_docs long, n_tokens long, n_bytes long"), "manifest")
+            for doc, n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                docs.append(doc)
+                sizes.append(n)
+                ids.append(np.frombuffer(x.as_py(), dtype=f"<u{width}"))
+                held += n
+                if held >= 2 * tokens_per_file:  # a range may be larger than meant, so it is cut as it comes
+                    yield written()
+                    docs, sizes, ids, piece, held = [], [], [], piece + 1, 0
+        if docs:
+            yield written()
+
+    rows = tokens.where("n_tokens is not null").select("doc_id", "n_tokens", "ids")
+    ordered = rows.repartitionByRange(files, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"))
+    manifest = stage(ordered.mapInArrow(run, kinds), "manifest")
+    discard(tokens)
+    return manifest
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary as unsigned 32-bit) of the files a manifest lists."""
-    files = manifest.withColumn("first", F.sum("n_tokens").over(W.orderBy("file")) - F.col("n_tokens")).select("path", "first")
+    files = manifest.withColumn("first", F.sum("n_tokens").over(W.orderBy("file", "piece")) - F.col("n_tokens")).select("path", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
