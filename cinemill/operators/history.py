@@ -30,7 +30,7 @@ def round4(x: Column) -> Column:
 def savings(transitions: DataFrame, unit: str | None = None) -> DataFrame:
     """Count, bytes saved, time and files of successful transitions by executor, phase and optional period."""
     keys = ["executor", "phase_name"] + (["period"] if unit else [])
-    df = transitions.where("source = 'voom' or executor is not null").where("outcome = 'success'")
+    df = transitions.where("source = 'engine' or executor is not null").where("outcome = 'success'")
     df = df.withColumn("period", period(F.col("created_at"), unit)) if unit else df
     saved = F.coalesce(F.sum(F.when(F.col("from_size").isNotNull(), F.col("from_size") - F.col("to_size"))), F.lit(0))
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), saved.alias("bytes_saved"), F.sum("duration_ms").alias("duration_ms"), F.countDistinct("file_id").alias("files"))
@@ -141,10 +141,9 @@ def loudness(tracks: DataFrame) -> DataFrame:
     )
 
 
-def upper_median(values: Column) -> Column:
-    """The element at n div 2 of the sorted values."""
-    sorted_ = F.array_sort(values)
-    return F.try_element_at(sorted_, (F.floor(F.size(sorted_) / 2) + 1).cast("int"))
+def upper_median(column: str) -> Column:
+    """The element at n div 2 of the sorted values: the discrete median from above, on values counted before they are shuffled."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {column} desc)")
 
 
 def estimate(actions: DataFrame, samples: DataFrame, workers: int) -> dict[str, DataFrame]:
@@ -156,8 +155,8 @@ def estimate(actions: DataFrame, samples: DataFrame, workers: int) -> dict[str,
     """
     keys = ["phase_name", "codec", "preset", "backend"]
     profile = samples.groupBy(*keys).agg(
-        upper_median(F.collect_list("pixels_per_second")).alias("speed"), upper_median(F.collect_list("output_size_ratio")).alias("ratio"),
-        upper_median(F.collect_list("fixed_overhead_ms")).alias("overhead"), F.count(F.lit(1)).alias("n_samples"),
+        upper_median("pixels_per_second").alias("speed"), upper_median("output_size_ratio").alias("ratio"),
+        upper_median("fixed_overhead_ms").cast("long").alias("overhead"), F.count(F.lit(1)).alias("n_samples"),
     )
     acts = actions.join(profile, keys, "left")
     acts = acts.select(
@@ -173,34 +172,59 @@ def estimate(actions: DataFrame, samples: DataFrame, workers: int) -> dict[str,
     return {"actions": acts, "files": files, "run": run}
 
 
-def leave_one_out(samples: DataFrame) -> DataFrame:
-    """Per sample: its ratio against the upper median of its group's other samples.
+def ratio_error(estimated: Column, actual: Column) -> Column:
+    return F.when(actual <= 0, 0.0).otherwise(F.abs(estimated - actual) / actual)
+
+
+def calibration_report(samples: DataFrame) -> DataFrame:
+    """Per group: how far estimates from the other samples' medians lie from what was measured.
+
+    samples: (phase_name, codec, preset, backend, id, input_bytes, output_bytes, pixels, elapsed_ms,
+    output_size_ratio, pixels_per_second). A group of one sample validates nothing and has no row.
+    """
+    keys = ["phase_name", "codec", "preset", "backend"]
+    size = leave_one_out(samples).select("id", F.col("median_of_others").alias("ratio"))
+    speed = leave_one_out(samples, "pixels_per_second").select("id", F.col("median_of_others").alias("speed"))
+    one = samples.join(size, "id").join(speed, "id").withColumn("bytes", F.round(F.col("input_bytes") * F.col("ratio")).cast("long")).withColumn("ms", F.round(F.col("pixels") / F.col("speed") * 1000).cast("long"))
+    total = lambda c: F.sum(c)
+    saved, really = total("input_bytes") - total("bytes"), total("input_bytes") - total("output_bytes")
+    return one.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("fixtures"), round4(ratio_error(saved, really)).alias("savings_error"), round4(ratio_error(total("bytes"), total("output_bytes"))).alias("bytes_error"),
+        round4(ratio_error(total("ms"), total("elapsed_ms"))).alias("time_error"), round4(F.max(ratio_error(F.col("bytes"), F.col("output_bytes")))).alias("max_bytes_error"),
+        round4(F.max(ratio_error(F.col("ms"), F.col("elapsed_ms")))).alias("max_time_error"),
+    )
+
+
+def leave_one_out(samples: DataFrame, value: str = "output_size_ratio") -> DataFrame:
+    """Per sample: its value against the upper median of its group's other samples.
 
     The median without a sample follows from its rank: the sorted others have it at (n-1) div 2, one
     further for samples that sort at or before that place. No pairs are made.
     """
     keys = ["phase_name", "codec", "preset", "backend"]
     w = W.partitionBy(*keys)
-    ranked = samples.select(*keys, "id", "output_size_ratio").withColumn("rn", F.row_number().over(w.orderBy("output_size_ratio", "id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    ranked = samples.select(*keys, "id", value).withColumn("rn", F.row_number().over(w.orderBy(value, "id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     at = F.floor((F.col("n") - 1) / 2)
-    mids = ranked.where((F.col("rn") == at) | (F.col("rn") == at + 1)).groupBy(*keys).agg(F.min_by("output_size_ratio", "rn").alias("lo"), F.max_by("output_size_ratio", "rn").alias("hi"))
+    mids = ranked.where((F.col("rn") == at) | (F.col("rn") == at + 1)).groupBy(*keys).agg(F.min_by(value, "rn").alias("lo"), F.max_by(value, "rn").alias("hi"))
     mids = mids.withColumnsRenamed({k: f"_{k}" for k in keys})
     same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    return ranked.where("n > 1").join(mids, same).select("id", "output_size_ratio", F.when(F.col("rn") <= at, F.col("hi")).otherwise(F.col("lo")).alias("median_of_others"))
+    return ranked.where("n > 1").join(mids, same).select("id", value, F.when(F.col("rn") <= at, F.col("hi")).otherwise(F.col("lo")).alias("median_of_others"))
 
 
 def language_vote(samples: DataFrame) -> DataFrame:
-    """(file_id, track, language, confidence): silent tracks are zxx; else the top language's mean confidence times its share.
+    """(file_id, track, language, confidence) from samples (file_id, track, language, silence), silence being the
+    hundredths of probability that nobody speaks.
 
-    Two shares above 0.7 cannot occur together, so several languages never win at once.
+    Samples above 90 are silent. A track of silent ones only is zxx with their mean probability; else
+    the language with the largest sum of speech probabilities wins, its confidence that sum by all
+    speaking samples. Two shares above 0.7 cannot occur together, so several languages never win at once.
     """
-    spoken = samples.where("language <> 'zxx'")
-    per = spoken.groupBy("file_id", "track", "language").agg(F.count(F.lit(1)).alias("k"), F.sum("score").alias("s"))
-    w = W.partitionBy("file_id", "track")
-    top = per.withColumn("total", F.sum("k").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("k"), F.desc("s"), "language"))).where("rn = 1")
-    top = top.select("file_id", "track", "language", round4(F.col("s") / F.col("k") / 100 * F.col("k") / F.col("total")).alias("confidence"))
-    all_ = samples.select("file_id", "track").distinct()
-    return all_.join(top, ["file_id", "track"], "left").select("file_id", "track", F.coalesce("language", F.lit("zxx")).alias("language"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    keys = ["file_id", "track"]
+    spoken = samples.where("silence <= 90").groupBy(*keys, "language").agg(F.sum(100 - F.col("silence")).alias("s"), F.count(F.lit(1)).alias("k"))
+    top = spoken.groupBy(*keys).agg(F.min(F.struct((-F.col("s")).alias("m"), "language")).alias("top"), F.sum("k").alias("k"))
+    every = samples.groupBy(*keys).agg(F.sum("silence").alias("silence"), F.count(F.lit(1)).alias("n"))
+    share = F.when(F.col("top").isNull(), F.col("silence") / F.col("n")).otherwise(-F.col("top.m") / F.col("k"))
+    return every.join(top, keys, "left").select(*keys, F.coalesce("top.language", F.lit("zxx")).alias("language"), round4(share / 100).alias("confidence"))
 
 
 def conservative_crop(samples: DataFrame, least: int = 4) -> DataFrame:

@@ -90,10 +90,10 @@ def cascade(spark, d):
     return L.tracks(spark, d).join(gone, "file_id", "left_anti").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s01_t16_mutation_skip_set", "WITH m AS (SELECT DISTINCT p AS path FROM (SELECT path AS p FROM transitions WHERE source = 'voom' AND id % 7 = 0 UNION ALL SELECT from_path FROM transitions WHERE source = 'voom' AND id % 7 = 0 AND from_path IS NOT NULL)) SELECT t.id FROM transitions t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.path = t.path)")
+@query("s01_t16_mutation_skip_set", "WITH m AS (SELECT DISTINCT p AS path FROM (SELECT path AS p FROM transitions WHERE source = 'engine' AND id % 7 = 0 UNION ALL SELECT from_path FROM transitions WHERE source = 'engine' AND id % 7 = 0 AND from_path IS NOT NULL)) SELECT t.id FROM transitions t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.path = t.path)")
 def mutations(spark, d):
     t = L.transitions(spark, d)
-    own = R.mutation_rows(t.where("source = 'voom' and id % 7 = 0").select("session_id", "path", "from_path"))
+    own = R.mutation_rows(t.where("source = 'engine' and id % 7 = 0").select("session_id", "path", "from_path"))
     return t.join(own.select("path").distinct(), "path", "left_anti").select("id")
 
 

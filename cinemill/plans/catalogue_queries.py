@@ -67,14 +67,14 @@ def subtitle_distributions(spark, d):
 
 @query(
     "a09_processing_stats",
-    """SELECT p.dim, p.key, p.n, p.v FROM (SELECT 'plan' AS dim, status AS key, count(*) AS n, CAST(NULL AS BIGINT) AS v FROM plans GROUP BY 2 UNION ALL SELECT 'outcome', outcome, count(*), CAST(sum(coalesce(from_size, to_size) - to_size) AS BIGINT) FROM transitions WHERE source = 'voom' GROUP BY 2
+    """SELECT p.dim, p.key, p.n, p.v FROM (SELECT 'plan' AS dim, status AS key, count(*) AS n, CAST(NULL AS BIGINT) AS v FROM plans GROUP BY 2 UNION ALL SELECT 'outcome', outcome, count(*), CAST(sum(coalesce(from_size, to_size) - to_size) AS BIGINT) FROM transitions WHERE source = 'engine' GROUP BY 2
     UNION ALL SELECT 'bad', error_source, count(DISTINCT path), NULL FROM bad_files GROUP BY 2) p""",
 )
 def processing(spark, d):
     none = F.lit(None).cast("long").alias("v")
     plans = L.plans(spark, d).groupBy(F.col("status").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("plan").alias("dim"), "key", "n", none)
     saved = F.sum(F.coalesce("from_size", "to_size") - F.col("to_size")).alias("v")
-    done = L.transitions(spark, d).where("source = 'voom'").groupBy(F.col("outcome").alias("key")).agg(F.count(F.lit(1)).alias("n"), saved).select(F.lit("outcome").alias("dim"), "key", "n", "v")
+    done = L.transitions(spark, d).where("source = 'engine'").groupBy(F.col("outcome").alias("key")).agg(F.count(F.lit(1)).alias("n"), saved).select(F.lit("outcome").alias("dim"), "key", "n", "v")
     bad = L.bad_files(spark, d).groupBy(F.col("error_source").alias("key")).agg(F.countDistinct("path").alias("n")).select(F.lit("bad").alias("dim"), "key", "n", none)
     return plans.unionByName(done).unionByName(bad)
 

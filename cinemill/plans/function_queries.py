@@ -107,11 +107,11 @@ def hours(spark, d):
     return L.events(spark, d).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x21_x22_tiers", "SELECT file_id, CASE WHEN h >= 2160 THEN '4K+' WHEN h >= 1080 THEN '1080p' WHEN h >= 720 THEN '720p' WHEN h >= 480 THEN 'SD' ELSE 'sub-SD' END AS tier, CASE WHEN h >= 2160 OR width >= 3840 THEN '4k' ELSE 'default' END AS model FROM (SELECT file_id, width, width * 9 // 16 AS h FROM tracks WHERE width IS NOT NULL)")
+@query("x21_x22_tiers", "SELECT file_id, CASE WHEN h IS NULL THEN NULL WHEN h >= 2160 THEN '4K+' WHEN h >= 1080 THEN '1080p' WHEN h >= 720 THEN '720p' WHEN h >= 480 THEN 'SD' ELSE 'sub-SD' END AS tier, CASE WHEN h >= 2160 OR width >= 3840 THEN '4k' ELSE 'default' END AS model FROM (SELECT file_id, width, width * 9 // 16 AS h FROM tracks)")
 def tiers(spark, d):
     w = F.col("width")
     h = F.floor(w * 9 / 16)
-    return L.tracks(spark, d).where("width is not null").select("file_id", M.resolution_tier(w, h).alias("tier"), M.vmaf_model(w, h).alias("model"))
+    return L.tracks(spark, d).select("file_id", M.resolution_tier(w, h).alias("tier"), M.vmaf_model(w, h).alias("model"))
 
 
 @query("x21_layout_names", "SELECT channels, CASE channels WHEN 2 THEN 'stereo' WHEN 6 THEN '5.1' WHEN 8 THEN '7.1' END AS name, count(*) AS n FROM tracks WHERE channels IS NOT NULL GROUP BY 1")
@@ -119,9 +119,9 @@ def layouts(spark, d):
     return L.tracks(spark, d).where("channels is not null").groupBy("channels").agg(M.layout_name(F.first("channels")).alias("name"), F.count(F.lit(1)).alias("n"))
 
 
-@query("x23_sample_times", "SELECT id, list_transform(range(4), lambda i: floor((i + 0.5::DOUBLE) * ((duration - 10) / 4) * 1000) / 1000) AS times FROM files WHERE duration > 10")
+@query("x23_sample_times", "SELECT id, list_transform(range(4), lambda i: floor((i + 0.5::DOUBLE) * ((duration - 10) / 4) * 1000) / 1000) AS times FROM files WHERE duration > 10 UNION ALL SELECT id, [0.0::DOUBLE] FROM files WHERE duration <= 10")
 def sample_times(spark, d):
-    return L.files(spark, d).where("duration > 10").select("id", M.sample_times(F.col("duration"), 4, 10).alias("times"))
+    return L.files(spark, d).select("id", M.sample_times(F.col("duration"), 4, 10).alias("times"))
 
 
 @query("x24_subtitle_blocks", "SELECT conv_id, string_agg((turn + 1) || ' ' || format('{:02d}:{:02d}:{:02d},{:03d}', turn * 61500 // 3600000, turn * 61500 % 3600000 // 60000, turn * 61500 % 60000 // 1000, turn * 61500 % 1000) || ' ' || length(text), ';' ORDER BY turn) AS blocks FROM conversations GROUP BY 1")
@@ -178,7 +178,7 @@ def probe(spark, d):
     return p.select("event_id", video["codec_name"].alias("video_codec"), F.size("p.streams").alias("n_streams"), F.col("p.format.duration").cast("double").alias("duration"))
 
 
-@query("s04_s05_hash_reuse", "SELECT id, CASE WHEN id % 4 <> 0 AND id % 5 <> 0 THEN content_hash END AS reused FROM files")
+@query("s05_hash_reuse", "SELECT id, CASE WHEN id % 4 <> 0 AND id % 5 <> 0 THEN content_hash END AS reused FROM files")
 def hash_reuse(spark, d):
     now = L.files(spark, d).select("id", "path", F.when(F.col("id") % 4 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(F.col("id") % 5 == 0, 20).otherwise(5).alias("mtime"))
     kept = L.files(spark, d).select("path", F.col("size").alias("known_size"), "content_hash", F.lit(10).alias("last_seen"))
@@ -186,7 +186,7 @@ def hash_reuse(spark, d):
     return now.join(kept, "path", "left").select("id", F.when(same, F.col("content_hash")).alias("reused"))
 
 
-@query("j12_prefix_lookup", "SELECT f.id, max(c.n_name) AS name FROM files f LEFT JOIN (SELECT '/media/' || substr(o_orderpriority, 1, 2) AS root, min(o_orderpriority) AS n_name FROM orders GROUP BY 1) c ON starts_with(f.path, c.root) GROUP BY 1")
+@query("roots_by_equality", "SELECT f.id, max(c.n_name) AS name FROM files f LEFT JOIN (SELECT '/media/' || substr(o_orderpriority, 1, 2) AS root, min(o_orderpriority) AS n_name FROM orders GROUP BY 1) c ON starts_with(f.path, c.root) GROUP BY 1")
 def prefix_lookup(spark, d):
     roots = L.read(spark, d, "orders").groupBy(F.concat(F.lit("/media/"), F.substring("o_orderpriority", 1, 2)).alias("root")).agg(F.min("o_orderpriority").alias("name"))
     # roots of one length: the raw prefix is an equality on the path's first characters
@@ -217,19 +217,19 @@ def merge(spark, d):
     return L.files(spark, d).select("id", F.array_join(F.transform(F.array_sort(F.map_entries(both)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("merged"))
 
 
-@query("a27_issues", "SELECT event_id, len(json_keys(props)) AS n FROM events WHERE len(json_keys(props)) > 0")
+@query("property_counts", "SELECT event_id, len(json_keys(props)) AS n FROM events WHERE len(json_keys(props)) > 0")
 def issues(spark, d):
     keys = F.json_object_keys("props")
     return L.read(spark, d, "events").select("event_id", F.size(keys).cast("long").alias("n")).where("n > 0")
 
 
-@query("u03_a30_executor_intersection", "SELECT l_orderkey, len(list_intersect(list(DISTINCT l_suppkey % 5), [0, 1, 2])) AS n FROM lineitem GROUP BY 1")
+@query("u03_executor_intersection", "SELECT l_orderkey, len(list_intersect(list(DISTINCT l_suppkey % 5), [0, 1, 2])) AS n FROM lineitem GROUP BY 1")
 def intersection(spark, d):
     rows = L.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_suppkey") % 5).cast("int")).alias("x"))
     return rows.select("l_orderkey", F.size(F.array_intersect("x", F.array(F.lit(0), F.lit(1), F.lit(2)))).alias("n"))
 
 
-@query("b11_b12_b18_w08_state_changes", "SELECT user_id, count(*) FILTER (prev IS NOT NULL AND prev <> event_type) AS changes, max(streak) AS longest FROM (SELECT *, count(*) OVER (PARTITION BY user_id, grp) AS streak FROM (SELECT *, sum(CASE WHEN prev = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events))) GROUP BY 1")
+@query("w08_state_changes", "SELECT user_id, count(*) FILTER (prev IS NOT NULL AND prev <> event_type) AS changes, max(streak) AS longest FROM (SELECT *, count(*) OVER (PARTITION BY user_id, grp) AS streak FROM (SELECT *, sum(CASE WHEN prev = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events))) GROUP BY 1")
 def changes(spark, d):
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     df = L.events(spark, d).withColumn("prev", F.lag("event_type").over(w)).withColumn("grp", F.sum(F.when(F.col("prev") == F.col("event_type"), 0).otherwise(1)).over(w))

@@ -11,7 +11,7 @@ from cinemill.plans.registry import query
 from cinemill.sources import library as L
 
 CUT = "1998-06-01"
-_SAVED = "count(*) AS n, CAST(coalesce(sum(from_size - to_size), 0) AS BIGINT) AS bytes_saved, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, count(DISTINCT file_id) AS files FROM transitions WHERE (source = 'voom' OR executor IS NOT NULL) AND outcome = 'success'"
+_SAVED = "count(*) AS n, CAST(coalesce(sum(from_size - to_size), 0) AS BIGINT) AS bytes_saved, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, count(DISTINCT file_id) AS files FROM transitions WHERE (source = 'engine' OR executor IS NOT NULL) AND outcome = 'success'"
 
 
 @query("a11_savings", f"SELECT executor, phase_name, {_SAVED} GROUP BY ALL")
@@ -181,6 +181,34 @@ def breakdown(spark, d):
     return acts.groupBy("codec", "backend").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_out").alias("bytes_out"), F.sum("time_ms").alias("time_ms"))
 
 
+@query("a21_estimate_breakdown_by_phase_and_back_end", f"WITH {_ACTIONS} SELECT phase_name, codec, backend, count(*) AS n, CAST(sum(bytes_out) AS BIGINT) AS bytes_out, CAST(sum(time_ms) AS BIGINT) AS time_ms FROM est GROUP BY GROUPING SETS ((phase_name), (codec, backend))")
+def breakdowns(spark, d):
+    acts = H.estimate(_actions(spark, d), L.samples(spark, d), 4)["actions"]
+    sets = acts.groupingSets([[F.col("phase_name")], [F.col("codec"), F.col("backend")]], F.col("phase_name"), F.col("codec"), F.col("backend"))
+    return sets.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_out").alias("bytes_out"), F.sum("time_ms").alias("time_ms"))
+
+
+_BENCH = "b AS (SELECT *, 1000000 + id * 100 AS input_bytes, CAST(round((1000000 + id * 100) * output_size_ratio) AS BIGINT) AS output_bytes, 100000000 + id * 1000 AS pixels, CAST(round((100000000 + id * 1000) / pixels_per_second * 1000) AS BIGINT) + fixed_overhead_ms AS elapsed_ms FROM samples WHERE id % 7 = 0)"
+_ERROR = "CASE WHEN {a} <= 0 THEN 0 ELSE abs({e} - {a}) / {a} END"
+
+
+@query(
+    "a22_calibration_report",
+    f"""WITH {_BENCH}, m AS (SELECT a.id, list_sort(list(o.output_size_ratio))[len(list(o.output_size_ratio)) // 2 + 1] AS ratio, list_sort(list(o.pixels_per_second))[len(list(o.pixels_per_second)) // 2 + 1] AS speed
+    FROM b a JOIN b o ON a.phase_name = o.phase_name AND a.codec = o.codec AND a.preset = o.preset AND a.backend = o.backend AND a.id <> o.id GROUP BY 1),
+    e AS (SELECT b.*, CAST(round(input_bytes * ratio) AS BIGINT) AS bytes, CAST(round(pixels / speed * 1000) AS BIGINT) AS ms FROM b JOIN m USING (id)),
+    g AS (SELECT phase_name, codec, preset, backend, count(*) AS fixtures, sum(input_bytes - bytes) AS sv, sum(input_bytes - output_bytes) AS rs, sum(bytes) AS bs, sum(output_bytes) AS ob, sum(ms) AS ms, sum(elapsed_ms) AS el, max({_ERROR.format(e="bytes", a="output_bytes")}) AS mb, max({_ERROR.format(e="ms", a="elapsed_ms")}) AS mt FROM e GROUP BY ALL)
+    SELECT phase_name, codec, preset, backend, fixtures, round({_ERROR.format(e="sv", a="rs")} * 10000) / 10000 AS savings_error, round({_ERROR.format(e="bs", a="ob")} * 10000) / 10000 AS bytes_error, round({_ERROR.format(e="ms", a="el")} * 10000) / 10000 AS time_error, round(mb * 10000) / 10000 AS max_bytes_error, round(mt * 10000) / 10000 AS max_time_error FROM g""",
+)
+def calibration_report(spark, d):
+    size, pixels = 1_000_000 + F.col("id") * 100, 100_000_000 + F.col("id") * 1000
+    bench = L.samples(spark, d).where("id % 7 = 0").select(
+        "*", size.alias("input_bytes"), F.round(size * F.col("output_size_ratio")).cast("long").alias("output_bytes"), pixels.alias("pixels"),
+        (F.round(pixels / F.col("pixels_per_second") * 1000).cast("long") + F.col("fixed_overhead_ms")).alias("elapsed_ms"),
+    )
+    return H.calibration_report(bench)
+
+
 @query("t25_estimate_gate", f"WITH {_ACTIONS} SELECT file_id FROM per WHERE bytes_in - bytes_out < 5000000")
 def gate(spark, d):
     return H.estimate(_actions(spark, d), L.samples(spark, d), 4)["files"].where("bytes_in - bytes_out < 5000000").select("file_id")
@@ -194,25 +222,31 @@ def calibration(spark, d):
     return H.leave_one_out(L.samples(spark, d))
 
 
-_VOTES = "v AS (SELECT user_id AS file_id, event_id % 3 AS track, CASE WHEN event_id % 5 = 0 THEN 'zxx' WHEN event_id % 3 = 0 THEN 'eng' ELSE CASE user_id % 3 WHEN 0 THEN 'jpn' WHEN 1 THEN 'eng' ELSE 'fre' END END AS language, event_id % 101 AS score FROM events)"
+_VOTES = """v AS (SELECT user_id AS file_id, event_id % 3 AS track, CASE WHEN event_id % 3 = 0 THEN 'eng' ELSE CASE user_id % 3 WHEN 0 THEN 'jpn' WHEN 1 THEN 'eng' ELSE 'fre' END END AS language,
+    CASE WHEN user_id % 4 = 0 THEN 91 + event_id % 9 ELSE event_id % 101 END AS silence FROM events)"""
+
+
+def _votes(spark, d):
+    e, u = F.col("event_id"), F.col("user_id")
+    lang = F.when(e % 3 == 0, "eng").otherwise(L.pick(("jpn", "eng", "fre"), u))
+    silence = F.when(u % 4 == 0, 91 + e % 9).otherwise(e % 101)
+    return L.read(spark, d, "events").select(u.alias("file_id"), (e % 3).alias("track"), lang.alias("language"), silence.alias("silence"))
 
 
 @query(
     "a23_language_vote",
-    f"""WITH {_VOTES}, p AS (SELECT file_id, track, language, count(*) AS k, sum(score) AS s FROM v WHERE language <> 'zxx' GROUP BY 1, 2, 3), t AS (SELECT *, sum(k) OVER (PARTITION BY file_id, track) AS total, row_number() OVER (PARTITION BY file_id, track ORDER BY k DESC, s DESC, language) AS rn FROM p)
-    SELECT a.file_id, a.track, coalesce(t.language, 'zxx') AS language, coalesce(round(s / k / 100 * k / total * 10000) / 10000, 1.0) AS confidence FROM (SELECT DISTINCT file_id, track FROM v) a LEFT JOIN t ON t.file_id = a.file_id AND t.track = a.track AND t.rn = 1""",
+    f"""WITH {_VOTES}, p AS (SELECT file_id, track, language, sum(100 - silence) AS s, count(*) AS k FROM v WHERE silence <= 90 GROUP BY 1, 2, 3),
+    t AS (SELECT *, sum(k) OVER (PARTITION BY file_id, track) AS total, row_number() OVER (PARTITION BY file_id, track ORDER BY s DESC, language) AS rn FROM p)
+    SELECT a.file_id, a.track, coalesce(t.language, 'zxx') AS language, round(CASE WHEN t.language IS NULL THEN a.silence / a.n ELSE t.s / t.total END / 100 * 10000) / 10000 AS confidence
+    FROM (SELECT file_id, track, sum(silence) AS silence, count(*) AS n FROM v GROUP BY 1, 2) a LEFT JOIN t ON t.file_id = a.file_id AND t.track = a.track AND t.rn = 1""",
 )
 def vote(spark, d):
-    e, u = F.col("event_id"), F.col("user_id")
-    lang = F.when(e % 5 == 0, "zxx").when(e % 3 == 0, "eng").otherwise(L.pick(("jpn", "eng", "fre"), u))
-    return H.language_vote(L.read(spark, d, "events").select(u.alias("file_id"), (e % 3).alias("track"), lang.alias("language"), (e % 101).alias("score")))
+    return H.language_vote(_votes(spark, d))
 
 
 @query("a24_multi_language", f"WITH {_VOTES} SELECT file_id, count(DISTINCT language) > 1 AS multi FROM v GROUP BY 1")
 def multi(spark, d):
-    e, u = F.col("event_id"), F.col("user_id")
-    lang = F.when(e % 5 == 0, "zxx").when(e % 3 == 0, "eng").otherwise(L.pick(("jpn", "eng", "fre"), u))
-    return L.read(spark, d, "events").groupBy(u.alias("file_id")).agg((F.countDistinct(lang) > 1).alias("multi"))
+    return _votes(spark, d).groupBy("file_id").agg((F.countDistinct("language") > 1).alias("multi"))
 
 
 @query("a31_crop_merge", "SELECT user_id AS file_id, CASE WHEN min(event_id % 90) >= 4 THEN min(event_id % 90) // 2 * 2 ELSE 0 END AS left, CASE WHEN min(event_id % 50 + 3) >= 4 THEN min(event_id % 50 + 3) // 2 * 2 ELSE 0 END AS top, CASE WHEN min(event_id % 31) >= 4 THEN min(event_id % 31) // 2 * 2 ELSE 0 END AS right, CASE WHEN min(event_id % 7) >= 4 THEN min(event_id % 7) // 2 * 2 ELSE 0 END AS bottom FROM events GROUP BY 1")

@@ -16,6 +16,7 @@ when/then/else, rules, verify, skip, warn, fail.
 
 from __future__ import annotations
 
+import bisect
 import json
 import operator
 from functools import reduce
@@ -316,26 +317,57 @@ def evaluate(df: DataFrame, policy: dict) -> DataFrame:
 
 
 def ordered(phases: list[dict]) -> list[dict]:
-    """Phases after those they depend on, else as written; a cycle or an unknown name is an error."""
-    left, done, out = list(phases), set(), []
-    names = {p["name"] for p in phases}
-    if len(names) < len(phases):
+    """Phases after those they depend on; a cycle or an unknown name is an error.
+
+    Of the phases ready at first the last by name comes first; phases that become ready later wait in
+    reverse order of name before those already waiting, and the end of the line is served.
+    """
+    by_name = {p["name"]: p for p in phases}
+    if len(by_name) < len(phases):
         raise ValueError("two phases of one name")
-    while left:
-        p = next((p for p in left if set(p.get("depends_on", [])) | ({p["run_if"][0]} if "run_if" in p else set()) <= done), None)
-        if p is None:
-            raise ValueError("phases depend on each other or on no phase: " + ", ".join(q["name"] for q in left))
-        left.remove(p)
-        done.add(p["name"])
-        out.append(p)
+    needs = {p["name"]: list(p.get("depends_on", [])) + ([p["run_if"][0]] if "run_if" in p and p["run_if"][0] not in p.get("depends_on", []) else []) for p in phases}
+    if unknown := sorted(n for n, on in needs.items() if set(on) - set(by_name)):
+        raise ValueError("phases depend on no phase: " + ", ".join(unknown))
+    line, out = sorted(n for n, on in needs.items() if not on), []
+    while line:
+        name = line.pop()
+        out.append(by_name[name])
+        for p in phases:
+            if name in needs[p["name"]]:
+                needs[p["name"]] = [n for n in needs[p["name"]] if n != name]
+                if not needs[p["name"]]:
+                    line.insert(bisect.bisect_left(line, True, key=lambda x, n=p["name"]: x <= n), p["name"])
+    if len(out) < len(phases):
+        raise ValueError("phases depend on each other: " + ", ".join(sorted(n for n, on in needs.items() if on)))
     return out
 
 
 def extended(base: dict, policy: dict) -> dict:
-    """A policy over the one it extends: its phases replace those of the same name, others are added."""
+    """A policy over the one it extends: its phases replace those of the same name (or add operations to them,
+    where a phase says extend), others are added; metadata is merged key by key, the configuration replaced."""
     own = {p["name"]: p for p in policy.get("phases", [])}
-    phases = [own.pop(p["name"], p) for p in base.get("phases", [])]
-    return base | policy | {"phases": phases + list(own.values())}
+    phases = []
+    for p in base.get("phases", []):
+        mine = own.pop(p["name"], p)
+        if mine.get("extend"):
+            mine = p | {k: v for k, v in mine.items() if k != "extend"} | {"operations": p.get("operations", []) + mine.get("operations", [])}
+        phases.append(mine)
+    out = base | policy | {"phases": phases + list(own.values())}
+    if "metadata" in base or "metadata" in policy:
+        out["metadata"] = base.get("metadata", {}) | policy.get("metadata", {})
+    return out
+
+
+def resolved(name: str, policies: dict[str, dict], above: tuple[str, ...] = ()) -> dict:
+    """A policy with all it extends, looked up by name; extending itself, or what is not there, is an error."""
+    if name in above:
+        raise ValueError("policies extend each other: " + " -> ".join((*above, name)))
+    if name not in policies:
+        raise ValueError(f"no such policy: {name}")
+    policy = policies[name]
+    if "extends" not in policy:
+        return policy
+    return extended(resolved(policy["extends"], policies, (*above, name)), {k: v for k, v in policy.items() if k != "extends"})
 
 
 def policy_for(path: Column, roots: dict[str, str | None], default: str | None) -> Column:

@@ -93,7 +93,7 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, u, v = F.col("event_id"), F.col("user_id"), F.round(F.col("value") * 100).cast("long")
     return events(spark, sf_dir).select(
         e.alias("id"), u.alias("file_id"), F.concat(F.lit("/media/f"), u.cast("string")).alias("path"), F.when(e % 5 == 0, F.concat(F.lit("/media/old"), u.cast("string"))).alias("from_path"),
-        F.when(e % 13 != 0, v + 1000).alias("from_size"), (v + 1000 - (e % 700)).alias("to_size"), pick(("discovery", "voom", "external"), e).alias("source"),
+        F.when(e % 13 != 0, v + 1000).alias("from_size"), (v + 1000 - (e % 700)).alias("to_size"), pick(("discovery", "engine", "external"), e).alias("source"),
         F.when(e % 3 == 1, pick(("ffmpeg", "mkvtoolnix"), u)).alias("executor"), pick(("normalize", "transcode", "cleanup"), u).alias("phase_name"),
         F.when(e % 4 == 0, "failure").otherwise("success").alias("outcome"), F.when(e % 4 == 0, pick(ERRORS, u)).alias("error_message"),
         F.when(e % 6 != 0, e + 1).alias("plan_id"), (e % 5000).alias("duration_ms"), F.concat(F.lit("run"), (e % 9).cast("string")).alias("session_id"), F.col("ts").alias("created_at"),
@@ -193,7 +193,7 @@ VIEWS = {
     "event_log": f"""SELECT event_id AS rowid, k AS event_type, props AS payload, k || ' user ' || user_id AS summary, ts AS created_at
       FROM (SELECT *, {_case(("file.discovered", "file.introspected", "plan.created", "plan.failed", "job.started", "job.completed", "plugin.error"), "event_id")} AS k FROM events)""",
     "transitions": f"""SELECT event_id AS id, user_id AS file_id, '/media/f' || user_id AS path, CASE WHEN event_id % 5 = 0 THEN '/media/old' || user_id END AS from_path,
-      CASE WHEN event_id % 13 <> 0 THEN CAST(round(value * 100) AS BIGINT) + 1000 END AS from_size, CAST(round(value * 100) AS BIGINT) + 1000 - (event_id % 700) AS to_size, {_case(("discovery", "voom", "external"), "event_id")} AS source,
+      CASE WHEN event_id % 13 <> 0 THEN CAST(round(value * 100) AS BIGINT) + 1000 END AS from_size, CAST(round(value * 100) AS BIGINT) + 1000 - (event_id % 700) AS to_size, {_case(("discovery", "engine", "external"), "event_id")} AS source,
       CASE WHEN event_id % 3 = 1 THEN {_case(("ffmpeg", "mkvtoolnix"), "user_id")} END AS executor, {_case(("normalize", "transcode", "cleanup"), "user_id")} AS phase_name,
       CASE WHEN event_id % 4 = 0 THEN 'failure' ELSE 'success' END AS outcome, CASE WHEN event_id % 4 = 0 THEN {_case(ERRORS, "user_id")} END AS error_message,
       CASE WHEN event_id % 6 <> 0 THEN event_id + 1 END AS plan_id, event_id % 5000 AS duration_ms, 'run' || (event_id % 9) AS session_id, ts AS created_at FROM events""",

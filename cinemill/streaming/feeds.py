@@ -59,7 +59,9 @@ def routed(routes: dict[str, tuple[Column, str]]) -> Callable[[DataFrame, int],
 def gate_by_root(rows: DataFrame) -> DataFrame:
     """Rows held back until their root's marker arrives: (root, path, done) -> (root, path).
 
-    done rows mark a root as complete; rows of the root that come later pass at once.
+    done rows mark a root as complete; rows of the root that come later pass at once. The paths that
+    wait are one state value per root, so this is for roots of some thousand files; gate_through_tables
+    is for roots of any size.
     """
 
     def release(key, parts, state):
@@ -74,6 +76,40 @@ def gate_by_root(rows: DataFrame) -> DataFrame:
     return rows.groupBy("root").applyInPandasWithState(release, "root string, path string", "held array<string>, open boolean", "append", "NoTimeout")
 
 
+def gate_through_tables(folder: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function with gate_by_root's meaning whose waiting rows are a table: (root, path, done) -> folder/out.
+
+    A row leaves in the later of its own batch and the one that marks its root, so a batch that is
+    tried again writes the same rows, and a root of any size is dealt out as any join is.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        batch.where("not done").select("root", "path").write.mode("overwrite").parquet(f"{folder}/waiting/batch={number}")
+        batch.where("done").select("root").distinct().write.mode("overwrite").parquet(f"{folder}/done/batch={number}")
+        batch.unpersist()
+        rows = spark.read.schema("root string, path string, batch long").parquet(f"{folder}/waiting").where(F.col("batch") <= number)
+        opened = spark.read.schema("root string, batch long").parquet(f"{folder}/done").where(F.col("batch") <= number).groupBy("root").agg(F.min("batch").alias("opened"))
+        due = rows.join(opened, "root").where(F.greatest("batch", "opened") == number)
+        due.select("root", "path").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    return write
+
+
+def snapshot_on(kinds: tuple[str, ...], summary: Callable[[SparkSession], DataFrame], folder: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over the event log: a batch that holds an event of the kinds appends a snapshot (trigger, captured_at and the
+    summary's columns) to the folder; a batch tried again overwrites its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        last = batch.where(F.col("event_type").isin(*kinds)).agg(F.max(F.struct("rowid", "event_type", "created_at")).alias("e")).where("e is not null")
+        if last.take(1):
+            row = last.select(F.col("e.event_type").alias("trigger"), F.col("e.created_at").alias("captured_at"))
+            summary(batch.sparkSession).crossJoin(F.broadcast(row)).write.mode("overwrite").parquet(f"{folder}/batch={number}")  # one row
+
+    return write
+
+
 def latency_windows(stats: DataFrame, width: str = "10 minutes", lateness: str = "10 minutes") -> DataFrame:
     """(window_start, plugin_id, n, total_ms, worst_ms): call statistics by time window, late rows within the watermark included."""
     df = stats.withWatermark("started_at", lateness) if stats.isStreaming else stats

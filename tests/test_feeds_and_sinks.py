@@ -113,3 +113,23 @@ def test_since_forms():
     assert M.since("2024-01-02", now) == dt.datetime(2024, 1, 2) and M.since("2024-01-02T03:04:05", now) == dt.datetime(2024, 1, 2, 3, 4, 5)
     with pytest.raises(ValueError):
         M.since("soon", now)
+
+
+def test_gate_through_tables_releases_each_row_once(spark, tmp_path):
+    write = feeds.gate_through_tables(f"file://{tmp_path}/gate")
+    batches = [[("a", "a/1", False), ("b", "b/1", False)], [("a", None, True), ("a", "a/2", False)], [("b", "b/2", False), ("a", "a/3", False)], [("b", None, True)]]
+    for n, rows in enumerate(batches):
+        for _ in range(2):  # a batch may be tried again
+            write(spark.createDataFrame(rows, "root string, path string, done boolean"), n)
+    out = spark.read.schema("root string, path string, batch long").parquet(f"file://{tmp_path}/gate/out").collect()
+    assert sorted((r.batch, r.path) for r in out) == [(1, "a/1"), (1, "a/2"), (2, "a/3"), (3, "b/1"), (3, "b/2")]
+
+
+def test_snapshot_follows_lifecycle_events_only(spark, tmp_path):
+    at = f"{tmp_path}/snap"
+    write = feeds.snapshot_on(("scan.complete",), lambda s: s.range(3).selectExpr("count(*) as total_files"), f"file://{at}")
+    log = lambda *kinds: spark.createDataFrame([(i, k, "2024-01-01") for i, k in enumerate(kinds)], "rowid long, event_type string, created_at string")
+    write(log("file.discovered"), 0)
+    write(log("file.discovered", "scan.complete"), 1)
+    got = spark.read.parquet(f"file://{at}").collect()
+    assert [(r.total_files, r.trigger, r.batch) for r in got] == [(3, "scan.complete", 1)]

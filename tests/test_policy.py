@@ -61,3 +61,27 @@ def test_unknown_parts_are_errors(library):
         P.condition({"weather": 1}, library)
     with pytest.raises(ValueError):
         P.operation({"explode": 1}, library)
+
+
+def test_phases_in_order_of_need_and_name():
+    order = lambda *ps: [p["name"] for p in P.ordered([{"name": n, "depends_on": list(on)} for n, on in ps])]
+    assert order(("a", ""), ("b", ""), ("c", "")) == ["c", "b", "a"]
+    assert order(("x", ""), ("b", "x"), ("a", "x")) == ["x", "a", "b"]
+    assert order(("last", ["mid"]), ("mid", ["first"]), ("first", [])) == ["first", "mid", "last"]
+    with pytest.raises(ValueError, match="each other"):
+        order(("a", "b"), ("b", "a"))
+    with pytest.raises(ValueError, match="no phase"):
+        order(("a", ["zz"]))
+
+
+def test_policies_extend_through_a_chain():
+    base = {"metadata": {"a": 1, "b": 1}, "config": {"x": 1}, "phases": [{"name": "one", "operations": [{"verify": "quick"}]}, {"name": "two", "operations": []}]}
+    mid = {"extends": "base", "metadata": {"b": 2}, "phases": [{"name": "one", "extend": True, "operations": [{"container": "mkv"}]}]}
+    top = {"extends": "mid", "config": {"y": 2}, "phases": [{"name": "two", "operations": [{"verify": "hash"}]}, {"name": "three", "operations": []}]}
+    got = P.resolved("top", {"base": base, "mid": mid, "top": top})
+    assert got["metadata"] == {"a": 1, "b": 2} and got["config"] == {"y": 2} and "extends" not in got
+    assert [(p["name"], p["operations"]) for p in got["phases"]] == [("one", [{"verify": "quick"}, {"container": "mkv"}]), ("two", [{"verify": "hash"}]), ("three", [])]
+    with pytest.raises(ValueError, match="extend each other"):
+        P.resolved("a", {"a": {"extends": "b"}, "b": {"extends": "a"}})
+    with pytest.raises(ValueError, match="no such policy"):
+        P.resolved("a", {"a": {"extends": "zz"}})
