@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinemill.llm.common import discard, doc_text, parts_for, stage, table
+from cinemill.llm.common import discard, doc_text, parts_for, release, stage, table
 from cinemill.llm.graph import components
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -206,7 +206,7 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, hot: int = H
 #: For the pipeline: texts that share 4 of 5 shingles or more (exact Jaccard). SAMPLE texts tell
 #: which shingles are common; they only set the order in which shingles become keys, never a result.
 SHARE_NUM, SHARE_DEN = 4, 5
-SAMPLE, COMMON, CELLS = 8192, 100_000, 128
+SAMPLE, COMMON, CELLS, FINE = 8192, 100_000, 128, 1024
 
 
 def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
@@ -222,9 +222,9 @@ def _node(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes(), 42) - (1 << 63)
 
 
-def _cells(grams: np.ndarray) -> bytes:
+def _cells(grams: np.ndarray, cells: int) -> bytes:
     """Counts of shingles by cell: the sum of two texts' differences never exceeds the shingles they do not share."""
-    return np.minimum(np.bincount(grams & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount(grams & (cells - 1), minlength=cells), 255).astype(np.uint8).tobytes()
 
 
 def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +243,8 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(texts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, th, fp, node, n, keys, cells): fp is the SimHash, node names the set of shingles, n counts them.
+    """(doc_id, th, fp, node, n, keys, cells, fine): fp is the SimHash, node names the set of shingles, n counts them,
+    by few and by many cells.
 
     keys are the n - ceil(0.8 n) + 1 rarest shingles in one order for all texts: two sets whose Jaccard
     is 0.8 or more have one of those in common, whatever the order.
@@ -252,14 +253,15 @@ def _prints(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node, n, keys, cells = [], [], [], [], []
+            fp, node, n, keys, cells, fine = [], [], [], [], [], []
             for x in batch.column(2):
                 digests = shingle_digests(x.as_py(), words)
                 g = _distinct(digests)
                 fp.append(fingerprint_of(digests))
                 node.append(_node(g))
                 n.append(len(g))
-                cells.append(_cells(g))
+                cells.append(_cells(g, CELLS))
+                fine.append(_cells(g, FINE))
                 rank = np.zeros(len(g), dtype=np.int64)
                 if len(gram):
                     at = np.minimum(np.searchsorted(gram, g), len(gram) - 1)
@@ -269,26 +271,35 @@ def _prints(texts: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(node, pa.int64()), pa.array(n, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.binary()),
-                ], names=["doc_id", "th", "fp", "node", "n", "keys", "cells"],
+                    pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.binary()), pa.array(fine, pa.binary()),
+                ], names=["doc_id", "th", "fp", "node", "n", "keys", "cells", "fine"],
             )
 
-    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, fp long, node long, n long, keys array<long>, cells binary")
+    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, fp long, node long, n long, keys array<long>, cells binary, fine binary")
 
 
 def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose shingles' Jaccard is 0.8 or more, by the shingles themselves."""
-    ends = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"]
-    pairs = pairs.join(ends[0], "a").join(ends[1], "b")
-    pairs = stage(pairs.where(F.least("na", "nb") * SHARE_DEN >= F.greatest("na", "nb") * SHARE_NUM), "pairs")
+    ends = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"c{x}")) for x in "ab"]
+    pairs = pairs.join(ends[0], "a").join(ends[1], "b").where(F.least("na", "nb") * SHARE_DEN >= F.greatest("na", "nb") * SHARE_NUM)
+
+    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, FINE).astype(np.int16) for i in (4, 5))
+            unlike = np.abs(one - two).sum(1, dtype=np.int64)
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            yield batch.filter(pa.array(unlike * (SHARE_NUM + SHARE_DEN) <= both * (SHARE_DEN - SHARE_NUM))).select(["a", "b", "na", "nb"])
+
+    pairs = stage(pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(may_be, "a long, b long, na long, nb long"), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("_d"), F.col("th").alias("_h"))
     held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [shingle_hashes(x.as_py(), words) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_node, grams), pa.int64()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
+            for lo in range(0, batch.num_rows, 128):
+                grams = [shingle_hashes(x.as_py(), words) for x in batch.column(0).slice(lo, 128)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_node, grams), pa.int64()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
 
     sets = stage(held.select("text").mapInArrow(run, "node long, grams array<long>"), "sets").dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
@@ -356,13 +367,20 @@ def copy_groups(df: DataFrame, words: int = 5, hot: int = HOT, radius: int = 3)
     Null text is empty and wordless texts are one group; a null id names no group unless it has no other.
     """
     texts = doc_text(df).withColumn("th", F.xxhash64("text"))
-    docs = stage(_prints(texts, words), "prints")
+    prints = stage(_prints(texts, words), "prints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("least")
-    nodes = docs.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("fp", "n", "keys", "cells")))
-    nodes = stage(nodes.select("node", F.col("least.doc_id").alias("least"), F.col("least.th").alias("th"), "fp", "n", "keys", "cells"), "nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    firsts = prints.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("fp", "n", "keys", "cells", "fine")))
+    firsts = stage(firsts.select("node", F.col("least.doc_id").alias("least"), F.col("least.th").alias("th"), "fp", "n", "keys", "cells", "fine"), "firsts")
+    docs = stage(prints.select("doc_id", "th", "node"), "rows")
+    discard(prints)
+    release(df.sparkSession)
+    keyed = firsts.select("node", F.explode("keys").alias("key"))
+    heads = stage(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1"), "heads")
+    release(df.sparkSession)
     shared = stage(keyed.join(heads, "key"), "shared")
+    nodes = stage(firsts.drop("keys"), "nodes")
+    discard(firsts, heads)
+    release(df.sparkSession)
     star = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     near = _by_fingerprint(nodes, radius, hot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = stage(star.unionByName(near).distinct(), "tried")
@@ -376,7 +394,8 @@ def copy_groups(df: DataFrame, words: int = 5, hot: int = HOT, radius: int = 3)
     links = links.unionByName(_alike(texts, nodes, more, words))
     roots = components(links)
     discard(shared, tried, rest)
-    return docs.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+    release(df.sparkSession)
+    return docs.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
 
 def near_copies(df: DataFrame, words: int = 5, hot: int = HOT) -> DataFrame:
