@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import json
 import operator
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -317,7 +318,7 @@ def evaluate(df: DataFrame, policy: dict) -> DataFrame:
 
 
 def ordered(phases: list[dict]) -> list[dict]:
-    """Phases after those they depend on; a cycle or an unknown name is an error.
+    """Phases after those they depend on, or whose fields their conditions read; a cycle or an unknown name is an error.
 
     Of the phases ready at first the last by name comes first; phases that become ready later wait in
     reverse order of name before those already waiting, and the end of the line is served.
@@ -325,7 +326,11 @@ def ordered(phases: list[dict]) -> list[dict]:
     by_name = {p["name"]: p for p in phases}
     if len(by_name) < len(phases):
         raise ValueError("two phases of one name")
-    needs = {p["name"]: list(p.get("depends_on", [])) + ([p["run_if"][0]] if "run_if" in p and p["run_if"][0] not in p.get("depends_on", []) else []) for p in phases}
+    needs = {}
+    for p in phases:
+        read = re.findall(r'"phase\.([^."]+)\.', json.dumps([p.get("skip_when"), p.get("operations")]))
+        on = [*p.get("depends_on", []), *([p["run_if"][0]] if "run_if" in p else []), *(n for n in read if n in by_name and n != p["name"])]
+        needs[p["name"]] = list(dict.fromkeys(on))
     if unknown := sorted(n for n, on in needs.items() if set(on) - set(by_name)):
         raise ValueError("phases depend on no phase: " + ", ".join(unknown))
     line, out = sorted(n for n, on in needs.items() if not on), []
