@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cinemill.llm.common import doc_text, parts_for, stage, table
 from cinemill.llm.suffix import permuted_lcp, suffix_array
 
-WIDTH, HOT, SHARD_BYTES = 400, 4096, 3_000_000
+WIDTH, HOT, SHARD_BYTES = 400, 4096, 1_500_000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POWERS: list[np.ndarray] = []
 

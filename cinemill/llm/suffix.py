@@ -11,6 +11,8 @@ Defined cases: an empty string has an empty array; equal letters, runs and perio
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 #: Up to as many letters a scan goes bucket by bucket.
@@ -79,31 +81,42 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, ends: np.ndarra
 
 
 def _induce_singly(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """As _induce, one suffix at a time."""
-    n, letters, is_small = len(t), t.tolist(), small.tolist()
-    sa, tail = [-1] * n, ends.tolist()
-    head = [0, *tail[:-1]]
-    for j in seeds[::-1].tolist():
-        c = letters[j]
+    """As _induce, one suffix at a time, over flat arrays of numbers (lists would hold an object a place)."""
+    n = len(t)
+
+    def flat(x: np.ndarray) -> array:
+        return array("q", x.astype(np.int64).tobytes())
+
+    def letter_before(kind: np.ndarray) -> array:
+        """Letter before each place where that is of this kind, else -1, as at -1 (an empty place)."""
+        out = np.full(n + 1, -1, dtype=np.int64)
+        out[1:n] = np.where(kind[:-1], t[:-1].astype(np.int64), -1)
+        return flat(out)
+
+    sa, tail = flat(np.full(n, -1)), flat(ends)
+    head = flat(np.concatenate([[0], ends[:-1]]))
+    for j, c in zip(seeds[::-1].tolist(), t[seeds[::-1]].tolist()):
         tail[c] -= 1
         sa[tail[c]] = j
-    c = letters[n - 1]
+    c = int(t[n - 1])
     sa[head[c]] = n - 1
     head[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not is_small[j]:
-            c = letters[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = ends.tolist()
+    before = letter_before(~small)
+    for j in sa:  # reads places filled meanwhile
+        c = before[j]
+        if c >= 0:
+            at = head[c]
+            sa[at] = j - 1
+            head[c] = at + 1
+    before, tail = letter_before(small), flat(ends)
     for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and is_small[j]:
-            c = letters[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    return np.array(sa, dtype=np.int64)
+        j = sa[i]
+        c = before[j]
+        if c >= 0:
+            at = tail[c] - 1
+            sa[at] = j - 1
+            tail[c] = at
+    return np.frombuffer(sa, dtype=np.int64)
 
 
 def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
@@ -160,8 +173,8 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     width = np.arange(32)
     while len(i):
         done = []
-        for lo in range(0, len(i), 1 << 17):
-            a, b = i[lo : lo + (1 << 17)], j[lo : lo + (1 << 17)]
+        for lo in range(0, len(i), 1 << 14):
+            a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
             k = out[a]
             x, y = padded[np.minimum(a + k, n)[:, None] + width], padded[np.minimum(b + k, n)[:, None] + width]
             equal = (x == y) & (x >= 0)
