@@ -98,11 +98,6 @@ def applied(files: DataFrame, decisions: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Old rows with new ones of the same key in their place and others added."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
-
-
 def begin(sessions: DataFrame, now, stale_seconds: int = 60) -> DataFrame:
     """Sessions after one begins: live ones without a heartbeat for stale_seconds are cancelled; another live one is an error."""
     age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("last_heartbeat_at").cast("timestamp"))
@@ -119,4 +114,4 @@ def mutation_rows(log: DataFrame) -> DataFrame:
     return log.select("session_id", F.explode(both).alias("path")).distinct()
 
 
-__all__ = ["applied", "begin", "classify", "counts", "finish", "latest_per", "mutation_rows", "transitions", "under_any", "upserted"]
+__all__ = ["applied", "begin", "classify", "counts", "finish", "latest_per", "mutation_rows", "transitions", "under_any"]

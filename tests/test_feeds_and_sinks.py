@@ -102,11 +102,6 @@ def test_sessions_begin(spark):
         R.begin(spark.createDataFrame([("live", "in_progress", now)], schema), now)
 
 
-def test_upsert_keeps_others(spark):
-    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string")
-    assert sorted(map(tuple, R.upserted(old, new, "id").collect())) == [(1, "a"), (2, "c"), (3, "d")]
-
-
 def test_since_forms():
     now = dt.datetime(2024, 3, 1)
     assert M.since("30d", now) == dt.datetime(2024, 1, 31) and M.since("4w", now) == dt.datetime(2024, 2, 2) and M.since("12h", now) == dt.datetime(2024, 2, 29, 12)
