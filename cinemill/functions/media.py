@@ -37,8 +37,13 @@ HOLDS = {
 EXTENSIONS = {"mkv": "mkv mka mks", "mp4": "mp4 m4v m4a", "avi": "avi", "webm": "webm", "flv": "flv", "wmv": "wmv wma", "mov": "mov", "ts": "ts m2ts mts"}
 # Error signatures in order, with the text that shows each.
 SIGNATURES = (
-    ("no-space", "No space left"), ("unknown-encoder", "Unknown encoder"), ("invalid-data", "Invalid data found"), ("permission", "Permission denied"), ("ffmpeg-nonzero", "ffmpeg exited"),
+    ("storage-fk-transcode-outcome", "failed to insert transcode outcome: FOREIGN KEY"), ("cuda-context-oom", "CUDA_ERROR_OUT_OF_MEMORY"), ("cuda-context-unknown", "CUDA_ERROR_UNKNOWN"),
+    ("nvenc-initialize-oom", "InitializeEncoder failed: out of memory"), ("cuda-decoder-packet-oom", "Error submitting packet to decoder: Cannot allocate memory"),
+    ("filter-format-conversion", "Impossible to convert between the formats"), ("no-hw-decoder-device", "No device available for decoder"), ("no-output-written", "Nothing was written into output file"),
+    ("ffmpeg-conversion-failed", "Conversion failed"), ("ffmpeg-nonzero", "ffmpeg exited with exit status"),
 )
+# Text that shows the line of an error worth quoting.
+QUOTED = ("CUDA_ERROR", "InitializeEncoder", "FOREIGN KEY", "No device available", "Impossible to convert", "Nothing was written", "Conversion failed", "ffmpeg exited")
 RESERVE = 50 * 1024 * 1024
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cinemill.functions.media import QUOTED, error_signature
+
 
 def pivot_with_total(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     """Counts by row and column value, 0 where none, with a total."""
@@ -77,3 +79,33 @@ def verdict(**checks: tuple[DataFrame, str]) -> DataFrame:
         n = bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), F.when(F.col("n") == 0, "pass").otherwise(level).alias("level"), "n")
         out = n if out is None else out.unionByName(n)
     return out
+
+
+def failure_clusters(failed: DataFrame, files: DataFrame, probed: DataFrame) -> DataFrame:
+    """(phase, signature, exit_code, container, video_codec, n, top_resolution, sample_path, sample_plan_id, sample_error).
+
+    failed: (plan_id, file_id, phase, result); result is a JSON object with error and detail (stderr_tail,
+    command, exit_code), or any text. files: (file_id, path); probed: (path, container, video_codec,
+    width, height). A cluster's sample is its plan of the smallest id; of resolutions that are equally
+    common the one met first stands. Absent values are empty texts. Counts by resolution come first,
+    so no cluster's rows meet in one task.
+    """
+    v = F.try_parse_json("result")
+    known = F.schema_of_variant(v).startswith("OBJECT")
+    part = lambda path: F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
+    shown = F.when(known, F.concat_ws("\n", part("$.error"), part("$.detail.stderr_tail"), part("$.detail.command"))).otherwise(F.coalesce("result", F.lit("")))
+    df = failed.select("plan_id", "file_id", "phase", shown.alias("text"), F.when(known, part("$.detail.exit_code")).otherwise("").alias("exit_code"))
+    lines = F.filter(F.transform(F.split("text", "\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    quoted = F.filter(lines, lambda x: x.rlike("|".join(QUOTED)))
+    error = F.substring(F.array_join(F.slice(F.when(F.size(quoted) > 0, quoted).otherwise(lines), 1, 3), " | "), 1, 500)
+    df = df.select("plan_id", "file_id", "phase", error_signature(F.col("text")).alias("signature"), "exit_code", error.alias("error"))
+    df = df.join(files.select("file_id", "path"), "file_id", "left").join(probed, "path", "left")
+    shape = F.when((F.col("width") > 0) & (F.col("height") > 0), F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string"))).otherwise("")
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    keys = ["phase", "signature", "exit_code", "container", "video_codec"]
+    df = df.select(*(empty(c) for c in keys), shape.alias("resolution"), "plan_id", empty("path"), "error")
+    one = F.min(F.struct("plan_id", "path", "error")).alias("first")
+    by_shape = df.groupBy(*keys, "resolution").agg(F.count(F.lit(1)).alias("n"), one)
+    top = F.max(F.when(F.col("resolution") != "", F.struct(F.col("n").alias("n"), (-F.col("first.plan_id")).alias("o"), "resolution")))
+    out = by_shape.groupBy(*keys).agg(F.sum("n").alias("n"), F.coalesce(top["resolution"], F.lit("")).alias("top_resolution"), F.min("first").alias("first"))
+    return out.select(*keys, "n", "top_resolution", F.col("first.path").alias("sample_path"), F.col("first.plan_id").alias("sample_plan_id"), F.col("first.error").alias("sample_error"))

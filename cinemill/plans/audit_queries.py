@@ -158,19 +158,30 @@ def phase_summary(spark, d):
     return L.plans(spark, d).groupBy("phase_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "failed").alias("failed"), F.min("id").alias("first_seen"))
 
 
-_SIG = "CASE WHEN contains(error_message, 'No space left') THEN 'no-space' WHEN contains(error_message, 'Unknown encoder') THEN 'unknown-encoder' WHEN contains(error_message, 'Invalid data found') THEN 'invalid-data' WHEN contains(error_message, 'Permission denied') THEN 'permission' WHEN contains(error_message, 'ffmpeg exited') THEN 'ffmpeg-nonzero' ELSE 'unknown' END"
-
-
-@query("b07_failure_clusters", f"SELECT phase_name, {_SIG} AS signature, count(*) AS n, count(DISTINCT file_id) AS files, min(path) AS sample FROM transitions WHERE outcome = 'failure' GROUP BY 1, 2")
+#: The signature of error_message, for the SQL of other modules too.
+SIG = """
+CASE WHEN contains(error_message, 'failed to insert transcode outcome: FOREIGN KEY') THEN 'storage-fk-transcode-outcome'
+  WHEN contains(error_message, 'CUDA_ERROR_OUT_OF_MEMORY') THEN 'cuda-context-oom'
+  WHEN contains(error_message, 'CUDA_ERROR_UNKNOWN') THEN 'cuda-context-unknown'
+  WHEN contains(error_message, 'InitializeEncoder failed: out of memory') THEN 'nvenc-initialize-oom'
+  WHEN contains(error_message, 'Error submitting packet to decoder: Cannot allocate memory') THEN 'cuda-decoder-packet-oom'
+  WHEN contains(error_message, 'Impossible to convert between the formats') THEN 'filter-format-conversion'
+  WHEN contains(error_message, 'No device available for decoder') THEN 'no-hw-decoder-device'
+  WHEN contains(error_message, 'Nothing was written into output file') THEN 'no-output-written'
+  WHEN contains(error_message, 'Conversion failed') THEN 'ffmpeg-conversion-failed'
+  WHEN contains(error_message, 'ffmpeg exited with exit status') THEN 'ffmpeg-nonzero' ELSE 'unknown' END"""
+
+
+@query("b07_failure_clusters", f"SELECT phase_name, {SIG} AS signature, count(*) AS n, count(DISTINCT file_id) AS files, min(path) AS sample FROM transitions WHERE outcome = 'failure' GROUP BY 1, 2")
 def clusters(spark, d):
     failed = L.transitions(spark, d).where("outcome = 'failure'").withColumn("signature", M.error_signature(F.col("error_message")))
     return A.clusters(failed, ["phase_name", "signature"], "path")
 
 
-@query("b08_failure_timeline", f"SELECT date_trunc('hour', created_at) AS hour, count(*) FILTER ({_SIG} = 'no-space') AS \"no-space\", count(*) FILTER ({_SIG} = 'permission') AS permission, count(*) FILTER ({_SIG} IN ('no-space', 'permission')) AS total FROM transitions WHERE outcome = 'failure' GROUP BY 1")
+@query("b08_failure_timeline", f"SELECT date_trunc('hour', created_at) AS hour, count(*) FILTER ({SIG} = 'cuda-context-oom') AS \"cuda-context-oom\", count(*) FILTER ({SIG} = 'unknown') AS unknown, count(*) FILTER ({SIG} IN ('cuda-context-oom', 'unknown')) AS total FROM transitions WHERE outcome = 'failure' GROUP BY 1")
 def timeline(spark, d):
     failed = L.transitions(spark, d).where("outcome = 'failure'").select(F.date_trunc("hour", "created_at").cast("timestamp_ntz").alias("hour"), M.error_signature(F.col("error_message")).alias("signature"))
-    return A.pivot_with_total(failed, "hour", "signature", ["no-space", "permission"])
+    return A.pivot_with_total(failed, "hour", "signature", ["cuda-context-oom", "unknown"])
 
 
 @query("b09_plan_differences", "SELECT id, difference FROM (SELECT id, unnest([CASE WHEN id % 11 = 0 THEN 'executed-only' END, CASE WHEN id % 7 = 0 AND id % 11 <> 0 THEN 'preview-only' END, CASE WHEN id % 7 <> 0 AND id % 11 <> 0 AND status = 'skipped' AND id % 3 = 0 THEN 'skip-reason' END, CASE WHEN id % 7 <> 0 AND id % 11 <> 0 AND id % 5 = 0 THEN 'action-params' END]) AS difference FROM plans WHERE NOT (id % 7 = 0 AND id % 11 = 0)) WHERE difference IS NOT NULL")
@@ -181,13 +192,13 @@ def plan_differences(spark, d):
     return A.plan_diff(a, b, ["id"])
 
 
-@query("b10_w10_error_occurrences", f"SELECT id, signature, row_number() OVER (PARTITION BY signature ORDER BY created_at, id) AS occurrence FROM (SELECT *, {_SIG} AS signature FROM transitions WHERE outcome = 'failure')")
+@query("b10_w10_error_occurrences", f"SELECT id, signature, row_number() OVER (PARTITION BY signature ORDER BY created_at, id) AS occurrence FROM (SELECT *, {SIG} AS signature FROM transitions WHERE outcome = 'failure')")
 def occurrences(spark, d):
     failed = L.transitions(spark, d).where("outcome = 'failure'").withColumn("signature", M.error_signature(F.col("error_message")))
     return A.occurrence(failed, ["signature"], ["created_at", "id"]).select("id", "signature", "occurrence")
 
 
-@query("b13_u04_w09_repro_set", f"SELECT path, source, signature FROM (SELECT *, row_number() OVER (PARTITION BY source, signature ORDER BY id) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY path, source, signature ORDER BY id) AS first FROM (SELECT *, {_SIG} AS signature FROM transitions WHERE outcome = 'failure')) WHERE first = 1) WHERE rn <= 5")
+@query("b13_u04_w09_repro_set", f"SELECT path, source, signature FROM (SELECT *, row_number() OVER (PARTITION BY source, signature ORDER BY id) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY path, source, signature ORDER BY id) AS first FROM (SELECT *, {SIG} AS signature FROM transitions WHERE outcome = 'failure')) WHERE first = 1) WHERE rn <= 5")
 def repro(spark, d):
     failed = L.transitions(spark, d).where("outcome = 'failure'").withColumn("signature", M.error_signature(F.col("error_message")))
     unique = C.latest_per(failed, ["path", "source", "signature"], [F.asc("id")])

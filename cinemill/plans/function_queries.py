@@ -96,10 +96,10 @@ def episodes(spark, d):
     return L.read(spark, d, "events").select("event_id", M.episode(L.pick(_EPS, F.col("event_id"))).alias("e")).select("event_id", "e.series", "e.season", "e.episode")
 
 
-@query("x18_b10_error_signatures", "SELECT id, CASE WHEN contains(error_message, 'No space left') THEN 'no-space' WHEN contains(error_message, 'Unknown encoder') THEN 'unknown-encoder' WHEN contains(error_message, 'Invalid data found') THEN 'invalid-data' WHEN contains(error_message, 'Permission denied') THEN 'permission' WHEN contains(error_message, 'ffmpeg exited') THEN 'ffmpeg-nonzero' ELSE 'unknown' END AS signature, trim(regexp_replace(regexp_replace(error_message, '/[^\\s'':\"]+', '<path>', 'g'), '[0-9]+', '<n>', 'g')) AS scrubbed FROM transitions WHERE outcome = 'failure'")
+@query("x18_b10_scrubbed_errors", "SELECT id, trim(regexp_replace(regexp_replace(error_message, '/[^\\s'':\"]+', '<path>', 'g'), '[0-9]+', '<n>', 'g')) AS scrubbed FROM transitions WHERE outcome = 'failure'")
 def signatures(spark, d):
     m = F.col("error_message")
-    return L.transitions(spark, d).where("outcome = 'failure'").select("id", M.error_signature(m).alias("signature"), M.scrubbed(m).alias("scrubbed"))
+    return L.transitions(spark, d).where("outcome = 'failure'").select("id", M.scrubbed(m).alias("scrubbed"))
 
 
 @query("x19_hour_bucket", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1")
@@ -145,12 +145,6 @@ def suffix(spark, d):
     return L.read(spark, d, "events").select("event_id", (F.regexp_extract(text, r"^(\d+)", 1).cast("long") * F.when(unit == "k", 1000).when(unit == "m", 1_000_000).otherwise(1)).alias("bits"))
 
 
-@query("x29_b14_b15_line_classes", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), 'the'))) AS hits, len(string_split(text, chr(10))) AS total FROM documents")
-def lines(spark, d):
-    rows = F.split("text", "\n")
-    return L.read(spark, d, "documents").select("doc_id", F.size(F.filter(rows, lambda x: F.contains(F.lower(x), F.lit("the")))).alias("hits"), F.size(rows).alias("total"))
-
-
 @query("x30_timeouts", "SELECT id, CAST(greatest(60, ceil(duration * 2)) AS BIGINT) AS timeout_s FROM files")
 def timeouts(spark, d):
     return L.files(spark, d).select("id", F.greatest(F.lit(60), F.ceil(F.col("duration") * 2)).cast("long").alias("timeout_s"))

@@ -16,7 +16,11 @@ VIDEO, AUDIO, SUBTITLE = ("h264", "hevc", "av1", "mpeg2video"), ("aac", "ac3", "
 LANGUAGES = ("eng", "jpn", "fre", "spa", "ger", "und")
 WIDTHS = (7680, 3840, 1920, 1280, 640, None)
 RATES = (23.976, 24.0, 25.0, 29.97, 59.94, 12.5)
-ERRORS = ("Unknown encoder 'hevc_nvenc'", "No space left on device", "Invalid data found when processing input", "Permission denied", "ffmpeg exited with code 1 at /media/a.mkv")
+ERRORS = (
+    "Unknown encoder 'hevc_nvenc'", "CUDA_ERROR_OUT_OF_MEMORY: out of memory, then Conversion failed!", "CUDA_ERROR_UNKNOWN: unknown error", "InitializeEncoder failed: out of memory (10)",
+    "Error submitting packet to decoder: Cannot allocate memory", "Impossible to convert between the formats of a and b", "No device available for decoder: device type cuda", "Nothing was written into output file 0",
+    "Conversion failed!", "ffmpeg exited with exit status: 1 at /media/a.mkv", "failed to insert transcode outcome: FOREIGN KEY constraint failed",
+)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
