@@ -12,7 +12,8 @@ Benjamini-Hochberg runs on the combined p-values per encoding and length class,
 of the corpus, and only those it rejects as ordinary text are reported.
 
 Defined cases: null text is empty (no span, digest of the empty string); repeated rows are scanned
-each; an empty table gives an empty result.
+each; an empty table gives an empty result. A run of digits alone is no candidate, as from 16 on it
+is a base span (hex). Work grows with the text's length however many matches it holds.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +87,14 @@ def candidates(start: int, run: str) -> list[tuple[int, str, str]]:
     return [(at, w, e) for at, w in out if (e := encoding(w))]
 
 
+def apart(found: list[tuple[int, str, str]], spans: list[tuple[int, int, int]]) -> list[tuple[int, str, str]]:
+    """The candidates that overlap no base span. spans are in order of their starts; the furthest end so far tells of all before."""
+    if not spans:
+        return found
+    starts, reach = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+    return [c for c in found if not (k := bisect_left(starts, c[0] + len(c[1]))) or reach[k - 1] <= c[0]]
+
+
 def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -217,7 +228,7 @@ def scan(df: DataFrame) -> DataFrame:
                     pairs += np.bincount(both[(a[: len(b)] < 128) & (b < 128)], minlength=128 * 128)
                 runs = [(m.start(), m[0]) for m in CANDIDATE.finditer(text)]
                 spans = base_spans(text, runs)
-                found = [c for r in runs for c in candidates(*r) if not any(s < c[0] + len(c[1]) and c[0] < e for s, _, e in spans)]
+                found = apart([c for r in runs for c in candidates(*r)], spans)
                 base.append([x for s in spans for x in s])
                 at.append([x for x, _, _ in found])
                 name.append([NAMES.index(x) for _, _, x in found])
