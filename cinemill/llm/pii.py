@@ -8,7 +8,7 @@ whole documents of the corpus: those with the entity, with the term, and with bo
 proves nothing: a word of one passage, or of its copies, always tells everything about a value there.
 (The window chooses candidates because all words times all entities of a document would grow with
 the square of its length.) A disclosing term is marked wherever it stands in a document that holds
-the entity. It is generalised to the class of words that begin alike (three letters, or one), if the
+the entity, outside the spans. It is generalised to the class of words that begin alike (three letters, or one), if the
 class has a word so frequent that it cannot reach SHARE whatever it stands beside, and removed otherwise.
 
 Possessive patterns keep Java's matcher from recursing on long runs; ``\\G`` admits a match that
@@ -37,6 +37,10 @@ NEEDS = (r"@", None, None, r"+")
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"\p{L}{3,}+"
 WINDOW, SHARE = 100, 0.9
+#: Elements of an array that are summed up in one growing array.
+BLOCK = 128
+#: Code points of the strings that a text is cut into where parts of it are read by position.
+CHUNK = 256
 #: Letters by which words of a class begin alike, the finest class first.
 PREFIXES = (3, 1)
 
@@ -50,18 +54,78 @@ def located(text: Column, pattern: str, needs: str | None = None) -> Column:
     return matches
 
 
-def _placed(text: Column, matches: Column, pattern: str) -> Column:
-    gaps = F.split(text, pattern, -1)
+def _with_running(df: DataFrame, values: str, out: str) -> DataFrame:
+    """df with out: before each of the column's integers, the sum of those before it.
+
+    Sums run within blocks, then over the blocks, so that growing arrays stay short. (A lambda sees a
+    column as often as it has elements: columns that lambdas read are made in a projection of their
+    own and named twice, which keeps the optimizer from moving their expressions into the lambda.)
+    """
+    n = F.size(values)
+    one = F.array(F.lit(0))
+    block = lambda b: F.aggregate(F.sequence(b * BLOCK + 1, F.least((b + 1) * BLOCK, n)), one, lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(values, i))))
+    df = df.withColumn("_inner", F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block)))
+    offsets = F.aggregate(F.transform("_inner", lambda x: F.element_at(x, -1)), one, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    sums = F.zip_with("_inner", F.slice(offsets, F.lit(1), F.size("_inner")), lambda x, o: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y + o))
+    return df.withColumn(out, F.flatten(sums)).drop("_inner")
+
+
+def _with_places(df: DataFrame, text: str, matches: str, pattern: str, out: str) -> DataFrame:
+    """df with out: array<struct<start, end, value>> of a text's matches of a pattern, from what lies between them."""
+    some = F.size(matches) > 0
+    gaps = F.transform(F.slice(F.split(F.col(text), pattern, -1), F.lit(1), F.size(matches)), F.length)
+    df = df.withColumn("_gaps", F.when(some, gaps))
+    df = df.withColumn("_steps", F.zip_with("_gaps", F.transform(matches, F.length), lambda a, b: a + b))
+    df = _with_running(df, "_steps", "_before")
+    placed = F.zip_with(F.zip_with("_before", "_gaps", lambda a, g: a + g), matches, lambda at, v: F.struct(at.alias("start"), (at + F.length(v)).alias("end"), v.alias("value")))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    return df.withColumn(out, F.when(some, placed).otherwise(empty)).drop("_gaps", "_steps", "_before")
+
+
+def _with_chunks(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with out: the text in an array of strings of CHUNK code points each, the last one shorter."""
+    return df.withColumn(out, F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+
+
+def _between(chunks: str, begin: Column, end: Column) -> Column:
+    """The code points from begin to end of a text in chunks; only the chunks that it touches are read."""
+    first, last = F.floor(begin / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+    at = lambda i: F.element_at(chunks, i + 1)
+    inner = F.when(last - first > 1, F.array_join(F.transform(F.sequence(first + 1, last - 1), at), "")).otherwise(F.lit(""))
+    more = F.concat(F.substring(at(first), begin - first * CHUNK + 1, F.lit(CHUNK)), inner, F.substring(at(last), F.lit(1), end - last * CHUNK))
+    return F.when(end <= begin, F.lit("")).when(first == last, F.substring(at(first), begin - first * CHUNK + 1, end - begin)).otherwise(more)
+
+
+def _with_covered(df: DataFrame, text: str, spans: str, put, out: str) -> DataFrame:
+    """df with out: the text with every maximal stretch that the spans cover replaced by put(first span of it, its length).
+
+    Starts and ends in order tell how many spans are open in each piece.
+    """
+    df = df.withColumn("_points", F.array_sort(F.concat(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("step"), s.alias("s"))), F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(-1).alias("step"), F.lit(None).cast(_element(df, spans)).alias("s"))))))
+    df = _with_running(df.withColumn("_steps", F.transform("_points", lambda p: p["step"])), "_steps", "_open")
+    df = _with_chunks(df, text, "_chunks").withColumn("_n", F.length(text))
+    m, end = F.greatest(F.size("_open"), F.size("_points")), F.col("_n")
+
+    def piece(k: Column) -> Column:
+        """What stands before the k-th point (from 0) and, if it opens a stretch, in the stretch's place."""
+        begin = F.when(k == 0, 0).otherwise(F.element_at("_points", k)["at"])
+        to = F.when(k == m, end).otherwise(F.element_at("_points", F.least(k + 1, m))["at"])
+        plain = _between("_chunks", begin, to)
+        free = F.when(k == m, True).otherwise(F.element_at("_open", F.least(k + 1, m)) == 0)
+        return F.concat(F.when(free, plain).otherwise(put(None, to - begin)), F.when(free & (k < m), put(F.element_at("_points", F.least(k + 1, m))["s"], None)).otherwise(F.lit("")))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    cut = F.array_join(F.transform(F.sequence(F.lit(0), m), piece), "")
+    return df.withColumn(out, F.when(F.size(spans) > 0, cut).otherwise(F.col(text))).drop("_points", "_steps", "_open", "_chunks", "_n")
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+
+def _element(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.elementType.simpleString()
+
+
+def _blank(span: Column | None, length: Column | None) -> Column:
+    """Spaces for what spans cover: no word stands there, and other words keep their places."""
+    return F.lit("") if length is None else F.repeat(F.lit(" "), length)
 
 
 def _luhn(digits: Column) -> Column:
@@ -97,8 +161,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
     for k, pattern in enumerate(PATTERNS):
         docs = docs.withColumn(f"_m{k}", located(F.col("text"), pattern, NEEDS[k]))
     for k, pattern in enumerate(PATTERNS):
-        found = F.filter(_placed(F.col("text"), F.col(f"_m{k}"), pattern), _checked(k))
-        docs = docs.withColumn(f"_s{k}", F.transform(found, _tagged(k)))
+        docs = _with_places(docs, "text", f"_m{k}", pattern, f"_p{k}")
+        docs = docs.withColumn(f"_s{k}", F.transform(F.filter(f"_p{k}", _checked(k)), _tagged(k)))
     spans = F.array_sort(F.concat(*(F.col(f"_s{k}") for k in range(len(PATTERNS)))))
     return docs.select("doc_id", "text", spans.alias("spans"))
 
@@ -118,25 +182,29 @@ def _class(letters: int):
 
 
 def _near(held: DataFrame) -> DataFrame:
-    """(entity, context, term): words about each entity that lie in no span."""
-    one = held.select(F.length("text").alias("n"), F.explode("spans").alias("s"), "spans", "text")
-    begin = F.greatest(F.col("s.start") - WINDOW, F.lit(0))
-    one = one.select(
-        "n", "s", "spans", begin.alias("shift"), F.substring("text", begin + 1, F.col("s.start") - begin).alias("before"), F.substring("text", F.col("s.end") + 1, F.lit(WINDOW)).alias("after"),
-    )
-    one = one.select("*", F.regexp_extract_all("before", F.lit(TERM), F.lit(0)).alias("mb"), F.regexp_extract_all("after", F.lit(TERM), F.lit(0)).alias("ma"))
-    moved = lambda by: lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), F.lower(x["value"]).alias("term"))
-    # a word that the window's edge cuts is no word
-    left = F.transform(F.filter(_placed(F.col("before"), F.col("mb"), TERM), lambda x: (x["start"] > 0) | (F.col("shift") == 0)), moved(F.col("shift")))
-    right = F.filter(_placed(F.col("after"), F.col("ma"), TERM), lambda x: (x["end"] < WINDOW) | (F.col("s.end") + WINDOW >= F.col("n")))
-    free = F.filter(F.concat(left, F.transform(right, moved(F.col("s.end")))), lambda x: ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    return one.select(_entity(F.col("s")).alias("entity"), F.xxhash64("before", "after").alias("context"), F.explode(F.array_distinct(F.transform(free, lambda x: x["term"]))).alias("term"))
+    """(entity, context, term): words about each entity that lie in no span. A word that the window's edge cuts is no word."""
+    wide = _with_chunks(_with_chunks(held, "text", "_raw"), "free", "_free").select("spans", "_raw", "_free", F.length("text").alias("_n"))
+
+    def window(c: str, begin: Column, end: Column) -> Column:
+        return _between(c, F.greatest(begin, F.lit(0)), F.least(end, F.col("_n")))
+
+    def about(s: Column) -> Column:
+        raw = F.xxhash64(window("_raw", s["start"] - WINDOW, s["start"]), window("_raw", s["end"], s["end"] + WINDOW))
+        before, after = window("_free", s["start"] - WINDOW - 1, s["start"]), window("_free", s["end"], s["end"] + WINDOW + 1)
+        before = F.when(F.length(before) > WINDOW, F.regexp_replace(before, r"^\p{L}++", "")).otherwise(before)
+        after = F.when(F.length(after) > WINDOW, F.regexp_replace(after, r"(?<!\p{L})\p{L}++$", "")).otherwise(after)
+        terms = F.regexp_extract_all(F.lower(F.concat(before, F.lit(" "), after)), F.lit(TERM), F.lit(0))
+        return F.struct(_entity(s).alias("entity"), raw.alias("context"), F.array_distinct(terms).alias("terms"))
+
+    one = wide.select(F.explode(F.transform("spans", about)).alias("a"))
+    return one.select("a.entity", "a.context", F.explode("a.terms").alias("term"))
 
 
 def disclosing(held: DataFrame, docs: DataFrame, share: float = SHARE) -> DataFrame:
     """(row, term, ratio, put): the terms of each row that disclose an entity of it, and what stands in their place.
 
-    held: the rows (row, text, spans) with spans; docs: the whole corpus, whose counts decide.
+    held: the rows (row, text, spans) with spans, and free, the text with blanks in their place; docs: the
+    whole corpus, whose counts decide.
     """
     seen = _near(held).groupBy("entity", "term").agg(F.min("context").alias("lo"), F.max("context").alias("hi")).where("lo <> hi")
     seen = stage(seen.select("entity", "term"), "near")
@@ -148,7 +216,7 @@ def disclosing(held: DataFrame, docs: DataFrame, share: float = SHARE) -> DataFr
     # documents of a term beyond which it cannot reach the share, as it stands beside an entity n_entity times at most
     most = F.pow("n_entity", F.lit(share)) * F.pow(total, F.lit(1 - share))
     pairs = stage(seen.join(entity, "entity").join(counts, "term").where(F.col("n_term") <= most), "pairs")
-    there = held.select("row", F.explode(_words("text")).alias("term")).join(pairs.select("entity", "term"), "term").join(own, ["row", "entity"])
+    there = held.select("row", F.explode(_words("free")).alias("term")).join(pairs.select("entity", "term"), "term").join(own, ["row", "entity"])
     there = stage(there.select("row", "entity", "term"), "there")
     together = there.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
     tells = F.log2(F.col("together") * total / (F.col("n_entity") * F.col("n_term")))
@@ -173,15 +241,13 @@ def find_personal(df: DataFrame) -> DataFrame:
     docs = doc_text(df)
     found = base_spans(docs).select("doc_id", F.xxhash64("text").alias("th"), F.when(F.size("spans") > 0, F.col("text")).alias("text"), "spans", F.monotonically_increasing_id().alias("row"))
     found = stage(found, "personal")
-    held = found.where("text is not null").select("row", "text", "spans")
+    held = _with_covered(found.where("text is not null").select("row", "text", "spans"), "text", "spans", _blank, "free")
+    held = stage(held, "held")
     told = disclosing(held, docs).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("ratio", "put")))).alias("told"))
-    told = held.join(told, "row").withColumn("_m", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
-    marks = F.transform(
-        _placed(F.col("text"), F.col("_m"), TERM),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end"), F.col("told")[F.lower(x["value"])].alias("t")),
-    )
-    marks = F.filter(marks, lambda x: x["t"].isNotNull() & ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    marks = F.transform(marks, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["t"]["ratio"].alias("ratio"), x["t"]["put"].alias("put")))
+    told = held.select("row", "free").join(told, "row").withColumn("_m", F.regexp_extract_all("free", F.lit(TERM), F.lit(0)))
+    told = _with_places(told, "free", "_m", TERM, "_w")
+    marks = F.transform("_w", lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end"), F.try_element_at("told", F.lower(x["value"])).alias("t")))
+    marks = F.transform(F.filter(marks, lambda x: x["t"].isNotNull()), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["t"]["ratio"].alias("ratio"), x["t"]["put"].alias("put")))
     base = found.select("row", "doc_id", "th", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,ratio:double,put:string>>")
     return base.join(told.select("row", marks.alias("terms")), "row", "left").select("doc_id", "th", "base", F.coalesce("terms", none).alias("terms"))
@@ -200,18 +266,13 @@ def sanitised(df: DataFrame) -> DataFrame:
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit("]")).alias("put"))),
         F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["put"].alias("put"))),
     )
-    marks = spans.where("size(base) > 0 or size(terms) > 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.array_sort(marks).alias("_marks")).dropDuplicates(["_d", "_h"])
+    marks = spans.where("size(base) > 0 or size(terms) > 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), marks.alias("_marks")).dropDuplicates(["_d", "_h"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, m):  # of overlapping spans the earlier stands
-        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), m["put"])
-        return F.when(m["start"] >= acc["at"], F.struct(m["end"].alias("at"), put.alias("out"))).otherwise(F.struct(F.greatest(m["end"], acc["at"]).alias("at"), acc["out"].alias("out")))
-
-    clean = F.aggregate("_marks", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h"))
-    joined = df.join(marks, on, "left")
-    return joined.select(*(F.when(F.col("_marks").isNull(), F.col(c)).otherwise(clean).alias(c) if c == "text" else F.col(f"`{c}`") for c in df.columns))
+    joined = df.join(marks, on, "left").withColumn("_old", text)
+    # of overlapping spans the first one's mark stands for all
+    joined = _with_covered(joined, "_old", "_marks", lambda s, n: F.lit("") if s is None else s["put"], "_new")
+    return joined.select(*(F.when(F.col("_marks").isNull(), F.col(c)).otherwise(F.col("_new")).alias(c) if c == "text" else F.col(f"`{c}`") for c in df.columns))
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
