@@ -8,8 +8,10 @@ threshold is left at once; for the others block-max WAND walks the postings and
 above the threshold. A hit counts when the item's question and answer are found in the passage:
 shares of their word five-grams.
 
-The index travels to the executors with the function. Its size is checked: the item table is cut
-into shards of at most SHARD_WORDS words, and the documents are read once for each shard.
+Document frequencies, the number of items, their mean length and the longest one are counted over all
+items, so the rows do not depend on how the table is cut. The index travels to the executors with
+the function. Its size is checked: the items are dealt into shards of about SHARD_WORDS words, the
+documents are read once for each shard, and the driver holds one shard at a time.
 
 Defined cases: null text or item is empty; an item without words is never found; repeated items are
 reported each under its id; repeated documents are reported each; empty tables give empty results.
@@ -21,13 +23,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinemill.llm.common import doc_text, table
+from cinemill.llm.common import doc_text, parts_for, stage, table
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -53,18 +56,37 @@ def _parts(text: str) -> tuple[list[str], list[str]]:
     return [w for s in found[:-1] for w in s], found[-1]
 
 
+def index_terms(words: list[str]) -> set[str]:
+    """The distinct index terms of an item's words: neighbours, joined by a space no word holds, or the only word."""
+    return {f"{a} {b}" for a, b in zip(words, words[1:])} if len(words) > 1 else set(words)
+
+
+class Counts(NamedTuple):
+    """Of the whole item table: items with words, their words, and the longest one's."""
+
+    items: int
+    words: int
+    longest: int
+
+
 class Index:
     """Postings of (item number, impact) by term, in blocks with their largest impact."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], counts: Counts | None = None, often: dict[str, int] | None = None):
+        """counts and often (items by term, as index_terms() names it) are the whole table's; without them these items are the table."""
         self.items = [(i, t, w) for i, t in items if (w := words_of(t))]
+        if counts is None:
+            lengths = [len(w) for _, _, w in self.items]
+            counts = Counts(len(lengths), sum(lengths), max(lengths, default=1))
+            often = Counter(t for _, _, w in self.items for t in index_terms(w))
         self.word: dict[str, int] = {}
         bags = []
         for _, _, w in self.items:
             ids = [self.word.setdefault(x, len(self.word)) for x in w]
             bags.append(Counter(zip(ids, ids[1:])) if len(ids) > 1 else Counter({(ids[0], -1): 1}))
-        n, mean = len(bags), sum(len(w) for _, _, w in self.items) / max(1, len(self.items))
-        df = Counter(t for bag in bags for t in bag)
+        n, mean = counts.items, counts.words / max(1, counts.items)
+        names = list(self.word)
+        df = {(a, b): often[names[a] if b < 0 else f"{names[a]} {names[b]}"] for bag in bags for a, b in bag}
         postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
         for i, (bag, (_, _, w)) in enumerate(zip(bags, self.items)):
             norm = K1 * (1 - B + B * len(w) / mean)
@@ -72,7 +94,7 @@ class Index:
             total = sum(raw.values())
             for t, x in raw.items():
                 postings.setdefault(t, []).append((i, float(x / total)))
-        self.longest = max((len(w) for _, _, w in self.items), default=1)
+        self.longest = counts.longest
         terms = sorted(postings)
         size = len(self.word) + 1
         self.size, self.codes = size, np.array([a * size + b + 1 for a, b in terms], dtype=np.int64)
@@ -168,19 +190,26 @@ class Index:
         return [(self.items[i][0], *best[i]) for i in sorted(best)]
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> Iterator[Index]:
-    """Indexes of the item table, one for each shard of bounded size."""
+def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> Iterator[tuple[Index, bool]]:
+    """Indexes of the item table, one for each shard, and whether it is the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t.as_py()) for t in batch.column(1)]
+            terms = pa.array([list(index_terms(w)) for w in words], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, words), pa.int64()), terms], names=["i", "t", "words", "terms"])
+
     rows = items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    held, size = [], 0
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        n = len(words_of(r["t"]))
-        if held and size + n > shard_words:
-            yield Index(held)
-            held, size = [], 0
-        held.append((r["i"], r["t"]))
-        size += n
-    if held:
-        yield Index(held)
+    held = stage(rows.mapInArrow(run, "i long, t string, words long, terms array<string>").where("words > 0"), "items")
+    counts = Counts(*held.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(1))).first())
+    often = stage(held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "often")
+    shards = parts_for(counts.words, shard_words) if counts.items else 0
+    dealt = held.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(max(1, shards))))
+    for k in range(shards):
+        mine = dealt.where(F.col("shard") == k)
+        terms = mine.select(F.explode("terms").alias("term")).distinct()
+        known = {r["term"]: r["n"] for r in often.join(terms, "term", "left_semi").toLocalIterator()}
+        yield Index([(r["i"], r["t"]) for r in mine.select("i", "t").orderBy("i", "t").toLocalIterator()], counts, known), k == shards - 1
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -197,8 +226,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
         return run
 
-    for index in indexes(items, shard_words=shard_words):
+    for index, last in indexes(items, shard_words=shard_words):
         part = text.mapInArrow(finder(index), schema)
+        part = part if last else stage(part, "found")  # so that no later plan holds this index
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -214,8 +244,9 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
         return run
 
-    for index in indexes(items, shard_words=shard_words):
+    for index, last in indexes(items, shard_words=shard_words):
         docs = docs.mapInArrow(keeper(index), docs.schema)
+        docs = docs if last else stage(docs, "clean")
     return docs
 
 

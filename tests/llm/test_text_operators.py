@@ -574,7 +574,7 @@ def test_wand_returns_all_above_the_threshold():
             assert dict(index.search(terms, threshold)) == pytest.approx(wanted)
 
 
-@pytest.mark.parametrize("shard_words", [250_000, 20])
+@pytest.mark.parametrize("shard_words", [250_000, 1000, 20])
 def test_leaks_are_found_and_clean_rows_stay(spark, shard_words):
     items = [(1, "What colour is the summer sky at noon. It is blue as the deep sea"), (2, "Single"), (3, ""), (4, None), (5, "first second third fourth fifth sixth. Seven eight.")]
     filler = " ".join("x%d" % i for i in range(300))
@@ -591,6 +591,24 @@ def test_leaks_are_found_and_clean_rows_stay(spark, shard_words):
     assert decontaminate.contaminated(d.limit(0), b).collect() == [] and decontaminate.contaminated(d, b.limit(0)).collect() == []
 
 
+def test_rows_do_not_depend_on_how_the_items_are_cut(spark):
+    import random
+
+    r = random.Random(12)
+    vocabulary = ["w%d" % i for i in range(40)]
+    items = [(i, ". ".join(" ".join(r.choice(vocabulary) for _ in range(r.randint(3, 9))) for _ in range(2))) for i in range(60)]
+    docs = []
+    for i in range(150):  # parts of items, so that many scores lie about the threshold
+        words = r.choice(items)[1].split()
+        a = r.randint(0, len(words) // 2)
+        docs.append((i, " ".join([*(r.choice(vocabulary) for _ in range(r.randint(0, 20))), *words[a : r.randint(a + 1, len(words))], *(r.choice(vocabulary) for _ in range(r.randint(0, 20)))])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = [sorted(map(tuple, decontaminate.contaminated(d, b, threshold=0.3, shard_words=n).collect())) for n in (10**9, 200, 20)]
+    assert len(found[0]) > 20 and any(x[2] < 0.6 for x in found[0])
+    for other in found[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in found[0]] and np.allclose([x[2:] for x in other], [x[2:] for x in found[0]])
+
+
 # quality
 
 
