@@ -57,6 +57,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_CACHES: list = []
+
+
+def on_drop(clear) -> None:
+    """Have drop_caches() call this function in the present Python worker."""
+    _CACHES.append(clear)
+
+
+def drop_caches() -> None:
+    """Let go of what earlier stages keep in a Python worker; Spark uses the worker again for later ones."""
+    for clear in _CACHES:
+        clear()
+
+
 def doc_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) of a table; null text counts as empty, other columns are left out."""
     return df.select(

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinemill.llm.common import doc_text, stage, table
+from cinemill.llm.common import doc_text, drop_caches, stage, table
 
 PASSAGE, SAMPLE, LONGEST, FOLDS, THRESHOLD = 64, 2000, 50_000, 5, 0.3
 BUCKETS, HASHED = 64, 0.3
@@ -177,6 +177,7 @@ def keep_good(docs: DataFrame, model: AttentionBags, threshold: float = THRESHOL
     """The table's rows whose score reaches the threshold, all columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

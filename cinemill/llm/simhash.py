@@ -207,6 +207,8 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, hot: int = H
 #: which shingles are common; they only set the order in which shingles become keys, never a result.
 SHARE_NUM, SHARE_DEN = 4, 5
 SAMPLE, COMMON, CELLS, FINE = 8192, 100_000, 128, 1024
+#: Texts whose results a Python worker hands over at once.
+PART = 256
 
 
 def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
@@ -252,7 +254,7 @@ def _prints(texts: DataFrame, words: int) -> DataFrame:
     gram, often = _common(texts, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, PART) for whole in batches for at in range(0, whole.num_rows, PART)):
             fp, node, n, keys, cells, fine = [], [], [], [], [], []
             for x in batch.column(2):
                 digests = shingle_digests(x.as_py(), words)

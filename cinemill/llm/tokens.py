@@ -27,6 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from cinemill.llm.common import on_drop
+
 #: Words and pieces a worker keeps; a full map starts afresh. It bounds memory and does not change ids.
 WORDS, PIECES = 800_000, 700_000
 #: The two vocabularies' own splitters (fixed values of their files).
@@ -50,6 +52,7 @@ def _byte_letters() -> dict[int, str]:
 LETTERS = _byte_letters()
 LETTER_TABLE = "".join(LETTERS[b] for b in range(256))
 _ENCODERS: dict[str, "WordCachedEncoder"] = {}
+on_drop(_ENCODERS.clear)
 
 
 def tokenizer_path(name: str) -> str:
