@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fixed values of the batch estimate: finished jobs before it is shown, smoothing and its bounds.
-WARM_UP_JOBS, PROGRESS_CAP, SMOOTHING, STEP_UP, STEP_DOWN = 2, 0.98, 0.35, 1.30, 0.75
+WARM_UP_JOBS, WARM_UP_SECONDS, PROGRESS_CAP, SMOOTHING, STEP_UP, STEP_DOWN = 2, 10, 0.98, 0.35, 1.30, 0.75
 #: Hardware back ends by preference, and the names that mean them.
 BACKENDS = ("nvenc", "qsv", "vaapi", "videotoolbox")
 BACKEND_NAMES = {"cuda": "nvenc", "nvdec": "nvenc", "nvenc": "nvenc", "qsv": "qsv", "vaapi": "vaapi", "videotoolbox": "videotoolbox"}
@@ -57,27 +61,40 @@ def merged_crop(samples: DataFrame, minimum: int, preserve_bottom: int, locks: l
     return low.select("file_id", "left", "top", (F.col("right") + odd("w", "left", "right")).cast("long").alias("right"), (F.col("bottom") + odd("h", "top", "bottom")).cast("long").alias("bottom"))
 
 
-def batch_estimate(jobs: DataFrame, workers: int) -> DataFrame:
-    """Per batch, what is left: (batch, remaining, seconds_per_weight, eta_low, eta_high, confidence).
+def batch_left(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is seen and what is left: (batch, completed, seconds_per_weight) and (batch, state, left, weight_left) of every open job.
 
     jobs: (batch, state queued|running|completed, weight, seconds, progress). The rate is all seconds
-    seen by all weight seen, running jobs by their progress (0.98 at most). Assigning jobs one by one
-    to the least loaded of the workers is no work for a cluster; its outcome lies between eta_low (the
-    larger of an even share and the longest job) and eta_high (an even share and the longest job on
-    top of what the others leave). NULL until WARM_UP_JOBS are completed.
+    seen by all weight seen, running jobs by the progress that they report (0.98 at most); NULL until a
+    job is completed. A running job that reports none has come as far as its seconds tell at that rate.
     """
     state, weight, seconds = F.col("state"), F.col("weight"), F.col("seconds")
-    progress = F.when(state == "running", F.least(F.greatest(F.coalesce("progress", F.lit(0.0)), F.lit(0.0)), F.lit(PROGRESS_CAP)))
-    done = F.coalesce(F.sum(F.when(state == "completed", weight).when((state == "running") & (progress > 0), weight * progress)), F.lit(0.0))
-    spent = F.coalesce(F.sum(F.when((state == "completed") | ((state == "running") & (progress > 0)), seconds)), F.lit(0.0))
-    rate = jobs.groupBy("batch").agg(
-        F.count_if(state == "completed").alias("completed"), F.when((F.count_if(state == "completed") > 0) & (spent > 0) & (done > 0), spent / done).alias("seconds_per_weight"),
-    )
-    left = jobs.where("state in ('queued', 'running')").join(rate, "batch")
-    total = F.greatest(weight * F.col("seconds_per_weight"), F.when(state == "running", seconds).otherwise(0.0))
-    inferred = F.when((state == "running") & (progress > 0), F.greatest(seconds / progress, total)).otherwise(total)
-    left = left.withColumn("_left", F.greatest(inferred - F.when(state == "running", seconds).otherwise(0.0), F.lit(0.0))).withColumn("_w", F.when(state == "running", weight * (1 - progress)).otherwise(weight))
-    sums = left.groupBy("batch").agg(F.sum("_w").alias("remaining"), F.sum("_left").alias("all"), F.max("_left").alias("longest"))
+    told = F.when(state == "running", F.least(F.greatest(F.col("progress"), F.lit(0.0)), F.lit(PROGRESS_CAP)))  # NULL where none is reported
+    told = F.when(F.col("progress").isNotNull(), told)
+    moving = F.coalesce((state == "running") & (told > 0), F.lit(False))
+    done = F.sum(F.when(state == "completed", weight).when(moving, weight * told))
+    spent = F.sum(F.when((state == "completed") | moving, seconds))
+    ended = F.coalesce(F.sum(F.when(state == "completed", weight)), F.lit(0.0))
+    rate = jobs.groupBy("batch").agg(F.count_if(state == "completed").alias("completed"), F.when((ended > 0) & (spent > 0) & (done > 0), spent / done).alias("seconds_per_weight"))
+    open_ = jobs.where("state in ('queued', 'running')").join(rate, "batch")
+    expected = weight * F.col("seconds_per_weight")
+    guess = F.when(expected > 0, F.least(F.greatest(seconds / expected, F.lit(0.0)), F.lit(PROGRESS_CAP)))
+    progress = F.when(state == "running", F.coalesce(told, guess))
+    total = F.greatest(expected, seconds)
+    inferred = F.when(progress > 0, F.greatest(seconds / progress, total)).otherwise(total)
+    left = F.when(state == "queued", expected).otherwise(F.greatest(inferred - seconds, F.lit(0.0)))
+    return rate, open_.select("batch", "state", left.alias("left"), F.when(state == "running", weight * (1 - F.coalesce(progress, F.lit(0.0)))).otherwise(weight).alias("weight_left"))
+
+
+def batch_estimate(jobs: DataFrame, workers: int) -> DataFrame:
+    """Bounds of what batch_makespan gives: (batch, remaining, seconds_per_weight, eta_low, eta_high, confidence).
+
+    eta_low is the larger of an even share and the longest job, eta_high an even share and the longest
+    job on top of what the others leave. They take no pass over the jobs in order. NULL until
+    WARM_UP_JOBS are completed.
+    """
+    rate, left = batch_left(jobs)
+    sums = left.groupBy("batch").agg(F.sum("weight_left").alias("remaining"), F.sum("left").alias("all"), F.max("left").alias("longest"))
     out = rate.join(sums, "batch", "left").withColumn("remaining", F.coalesce("remaining", F.lit(0.0)))
     ready = (F.col("completed") >= WARM_UP_JOBS) & F.col("seconds_per_weight").isNotNull() & (F.col("remaining") > 0)
     share = F.col("all") / workers
@@ -87,6 +104,70 @@ def batch_estimate(jobs: DataFrame, workers: int) -> DataFrame:
     )
 
 
+def _deal(loads: list[float], duration: float, n: int) -> list[float]:
+    """The workers' loads, as a heap, after n jobs of one duration each went to the least loaded worker.
+
+    Once the loads lie within a duration of each other, as many jobs as there are workers give each of
+    them one; whole rounds are added at once.
+    """
+    heapq.heapify(loads)
+    while n:
+        if n >= 2 * len(loads) and max(loads) - loads[0] <= duration:
+            loads = [x + n // len(loads) * duration for x in loads]
+            n %= len(loads)
+        else:
+            heapq.heapreplace(loads, loads[0] + duration)
+            n -= 1
+    return loads
+
+
+def batch_makespan(jobs: DataFrame, workers: int, elapsed: DataFrame) -> DataFrame:
+    """(batch, remaining, seconds_per_weight, eta, confidence): when the last job of each batch ends, if the waiting ones go, the longest
+    first, to the worker that is free first.
+
+    jobs as for batch_left; elapsed: (batch, elapsed) in seconds. eta is NULL while nothing is left, and
+    until WARM_UP_JOBS are completed or WARM_UP_SECONDS have gone by, and while there is no rate.
+    Waiting jobs of one duration are counted first; a batch's durations stream through its task in
+    order, which keeps the workers' loads only.
+    """
+    rate, left = batch_left(jobs)
+    queued = (F.col("state") == "queued").cast("int").alias("queued")
+    runs = left.where("left IS NOT NULL AND (left > 0 OR state = 'running')").groupBy("batch", queued, "left").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch, loads, found = None, [], []
+
+        def end(key, loads):
+            return [(key, max(loads))] if loads else []
+
+        for pdf in parts:
+            for key, rows in pdf.groupby("batch", sort=False):
+                if key != batch:
+                    found += end(batch, loads)
+                    batch, loads = key, []
+                for waits, duration, n in rows[["queued", "left", "n"]].itertuples(index=False):
+                    if not waits:
+                        loads += [duration] * n
+                    else:
+                        loads += [0.0] * (workers - len(loads))
+                        loads = _deal(loads, duration, n)
+            yield pd.DataFrame(found, columns=["batch", "eta"])
+            found = []
+        yield pd.DataFrame(end(batch, loads), columns=["batch", "eta"])
+
+    kind = jobs.schema["batch"].dataType.simpleString()
+    ordered = runs.repartition("batch").sortWithinPartitions("batch", "queued", F.desc("left"))
+    ends = ordered.mapInPandas(run, f"batch {kind}, eta double")
+    sums = left.groupBy("batch").agg(F.sum("weight_left").alias("remaining"))
+    out = rate.join(sums, "batch", "left").join(ends, "batch", "left").join(elapsed, "batch", "left").withColumn("remaining", F.coalesce("remaining", F.lit(0.0)))
+    cold = (F.col("completed") < WARM_UP_JOBS) & (F.coalesce("elapsed", F.lit(0.0)) < WARM_UP_SECONDS)
+    ready = (F.col("remaining") > 0) & ~cold & F.col("seconds_per_weight").isNotNull()
+    return out.select(
+        "batch", "remaining", "seconds_per_weight", F.when(ready & (F.col("eta") > 0), F.col("eta")).alias("eta"),
+        F.when(F.col("remaining") <= 0, "high").when(~ready, "low").when(F.col("completed") >= WARM_UP_JOBS * 3, "high").otherwise("medium").alias("confidence"),
+    )
+
+
 def smoothed_eta(previous: Column, raw: Column) -> Column:
     """The next shown estimate: part of the way to the new one, within bounds of the previous."""
     step = F.least(F.greatest(previous + SMOOTHING * (raw - previous), previous * STEP_DOWN), previous * STEP_UP)
@@ -118,11 +199,11 @@ def first_by_prefix(rows: DataFrame, path: str, catalogue: DataFrame, at_end: bo
     row meets the whole catalogue; the lengths are one broadcast row of distinct numbers.
     """
     lengths = catalogue.agg(F.array_sort(F.collect_set(F.length("root"))).alias("_lengths"))
-    tried = rows.withColumn("_row", F.monotonically_increasing_id()).crossJoin(F.broadcast(lengths))
-    part = (lambda n: F.substring(F.col(path), F.length(path) - n + 1, n)) if at_end else (lambda n: F.substring(F.col(path), F.lit(1), n))
-    tried = tried.select("_row", F.explode(F.transform(F.filter("_lengths", lambda n: n <= F.length(path)), part)).alias("root"))
-    first = tried.join(catalogue, "root").groupBy("_row").agg(F.min_by("name", "position").alias("name"))
-    return rows.withColumn("_row", F.monotonically_increasing_id()).join(first, "_row", "left").drop("_row")
+    tried = rows.select(F.col(path).alias("_path")).distinct().crossJoin(F.broadcast(lengths))
+    part = (lambda n: F.substring("_path", F.length("_path") - n + 1, n)) if at_end else (lambda n: F.substring("_path", F.lit(1), n))
+    tried = tried.select("_path", F.explode(F.transform(F.filter("_lengths", lambda n: n <= F.length("_path")), part)).alias("root"))
+    first = tried.join(catalogue, "root").groupBy("_path").agg(F.min_by("name", "position").alias("name"))
+    return rows.join(first, F.col(path) == F.col("_path"), "left").drop("_path")
 
 
 def content_fingerprint(content: Column, threshold: int = 2 << 20, chunk: int = 1 << 20) -> Column:

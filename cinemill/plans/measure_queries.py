@@ -11,6 +11,7 @@ from cinemill.operators import measures as X
 from cinemill.operators import timelines as T
 from cinemill.plans.registry import query
 from cinemill.sources import library as L
+from cinemill.streaming.batching import Bounds, batched
 
 _SAMPLES = """s AS (SELECT user_id % 40 AS source, ts AS "at", event_id AS id, CAST(event_id % 7 // 3 AS INTEGER) AS gpus, event_id % 100 AS d0, CASE WHEN event_id % 4 <> 0 THEN event_id * 7 % 100 END AS d1, event_id % 5 // 2 AS job_rows FROM events),
     o AS (SELECT *, row_number() OVER w AS number, lag(gpus) OVER w AS pg, lag(d0) OVER w AS p0, lag(d1) OVER w AS p1, lag(job_rows) OVER w AS pj FROM s WINDOW w AS (PARTITION BY source ORDER BY "at", id)),
@@ -89,6 +90,57 @@ def batch(spark, d):
     return out.select("batch", *(H.round4(F.col(c)).alias(c) for c in ("remaining", "seconds_per_weight", "eta_low", "eta_high")), "confidence")
 
 
+@query(
+    "a32_makespan",
+    """
+    WITH RECURSIVE j AS (
+      SELECT user_id % 12 AS batch, CASE WHEN event_id % 4 = 0 THEN 'queued' WHEN event_id % 400 = 1 THEN 'running' ELSE 'completed' END AS state, (event_id % 50 + 1)::DOUBLE AS weight,
+        (event_id % 90)::DOUBLE AS seconds, CASE WHEN event_id % 400 = 1 AND user_id % 3 = 0 THEN ((event_id % 700) / 700)::DOUBLE END AS p FROM events),
+    r AS (
+      SELECT batch, count(*) FILTER (state = 'completed') AS completed,
+        sum(seconds) FILTER (state = 'completed' OR p > 0) / sum(CASE WHEN state = 'completed' THEN weight ELSE weight * least(p, 0.98::DOUBLE) END) FILTER (state = 'completed' OR p > 0) AS rate FROM j GROUP BY 1),
+    g AS (SELECT j.*, rate, coalesce(least(p, 0.98::DOUBLE), least(seconds / (weight * rate), 0.98::DOUBLE)) AS done FROM j JOIN r USING (batch) WHERE state <> 'completed'),
+    l AS (
+      SELECT batch, state, CASE WHEN state = 'queued' THEN weight ELSE weight * (1 - done) END AS w,
+        CASE WHEN state = 'queued' THEN weight * rate WHEN done > 0 THEN greatest(greatest(seconds / done, weight * rate, seconds) - seconds, 0) ELSE greatest(weight * rate - seconds, 0) END AS x FROM g),
+    q AS (SELECT batch, x, row_number() OVER (PARTITION BY batch ORDER BY x DESC) AS k FROM l WHERE state = 'queued'),
+    f AS (SELECT b.batch, coalesce(list(x) FILTER (x IS NOT NULL), []) AS loads FROM (SELECT DISTINCT batch FROM j) b LEFT JOIN l ON l.batch = b.batch AND state = 'running' GROUP BY 1),
+    s AS (
+      SELECT batch, 0 AS k, list_sort(list_concat(loads, list_transform(range(greatest(4 - len(loads), 0)), lambda i: 0::DOUBLE))) AS loads FROM f
+      UNION ALL SELECT s.batch, s.k + 1, list_sort(list_append(s.loads[2:], s.loads[1] + q.x)) FROM s JOIN q ON q.batch = s.batch AND q.k = s.k + 1),
+    e AS (SELECT batch, max_by(loads, k)[-1] AS eta FROM s GROUP BY 1)
+    SELECT batch, round(rem * 1000) / 1000 AS remaining, round(eta * 1000) / 1000 AS eta, CASE WHEN completed >= 6 THEN 'high' ELSE 'medium' END AS confidence
+    FROM r JOIN e USING (batch) JOIN (SELECT batch, sum(w) AS rem FROM l GROUP BY 1) USING (batch)
+    """,
+)
+def makespan(spark, d):
+    e, u = F.col("event_id"), F.col("user_id")
+    state = F.when(e % 4 == 0, "queued").when(e % 400 == 1, "running").otherwise("completed")
+    progress = F.when((e % 400 == 1) & (u % 3 == 0), e % 700 / 700)
+    jobs = L.read(spark, d, "events").select((u % 12).alias("batch"), state.alias("state"), (e % 50 + 1).cast("double").alias("weight"), (e % 90).cast("double").alias("seconds"), progress.alias("progress"))
+    elapsed = jobs.groupBy("batch").agg(F.sum("seconds").alias("elapsed"))
+    out = X.batch_makespan(jobs, 4, elapsed)
+    return out.select("batch", *((F.round(F.col(c) * 1000) / 1000).alias(c) for c in ("remaining", "eta")), "confidence")
+
+
+@query(
+    "t21_batched_sink",
+    """
+    WITH RECURSIVE r AS (SELECT plugin_id || '/' || (rowid % 2) AS lane, started_at AS ts, rowid AS id, duration_ms AS value FROM plugin_stats),
+    o AS (SELECT DISTINCT lane, ts FROM r),
+    n AS (SELECT a.lane, a.ts, min(b.ts) AS next FROM o a JOIN o b ON a.lane = b.lane AND a.ts + INTERVAL 1 HOUR <= b.ts GROUP BY 1, 2),
+    w AS (SELECT lane, min(ts) AS opened FROM r GROUP BY 1 UNION ALL SELECT w.lane, n.next FROM w JOIN n ON n.lane = w.lane AND n.ts = w.opened),
+    p AS (SELECT r.lane, r.ts, r.id, r.value, max(opened) AS opened FROM r JOIN w ON r.lane = w.lane AND r.ts >= w.opened GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY lane, opened ORDER BY ts, id) AS rn FROM p)
+    SELECT lane, opened, CAST((rn - 1) // 5 AS INTEGER) AS batch, count(*) AS n, arg_min(id, rn) AS first_id, arg_max(id, rn) AS last_id, CAST(sum(value) AS BIGINT) AS total, 0 AS dropped
+    FROM k WHERE rn <= 8 GROUP BY ALL UNION ALL SELECT lane, opened, NULL, 0, NULL, NULL, 0, count(*) FROM k WHERE rn > 8 GROUP BY 1, 2
+    """,
+)
+def batched_sink(spark, d):
+    stats = L.plugin_stats(spark, d).select(F.concat("plugin_id", F.lit("/"), (F.col("rowid") % 2).cast("string")).alias("lane"), F.col("started_at").cast("timestamp").alias("ts"), F.col("rowid").alias("id"), F.col("duration_ms").alias("value"))
+    return batched(stats, Bounds(5, 3_600_000_000, 8)).withColumn("opened", F.col("opened").cast("timestamp_ntz"))
+
+
 @query(
     "a32_smoothed_estimates",
     "SELECT event_id, CASE WHEN prev IS NULL THEN raw ELSE least(greatest(prev + 0.35::DOUBLE * (raw - prev), prev * 0.75::DOUBLE), prev * 1.3::DOUBLE) END AS shown FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN (event_id % 60 + 1)::DOUBLE END AS prev, (event_id % 77 + 1)::DOUBLE AS raw FROM events)",

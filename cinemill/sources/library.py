@@ -224,7 +224,9 @@ def oracle(sql: str) -> str:
     import re
 
     used = [name for name in VIEWS if re.search(rf"\b{name}\b", sql)]
+    if not used:
+        return sql
     body = ", ".join(f"{name} AS ({VIEWS[name]})" for name in used)
     if sql.startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {body}, {sql[15:]}"
-    return f"WITH {body}, {sql[5:]}" if sql.startswith("WITH ") and used else f"WITH {body} {sql}" if used else sql
+    return f"WITH {body}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {body} {sql}"
