@@ -26,11 +26,11 @@ def sent_events(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type").isin(*SENT)).select("event_type", F.to_json(F.struct(F.col("rowid").alias("id"), base.alias("file"))).alias("data"))
 
 
-def discovered(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("mkv", "mp4", "avi", "mov", "webm", "ts"), stream: bool = False) -> DataFrame:
+def discovered(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("mkv", "mp4", "avi", "mov", "webm", "ts"), stream: bool = False, per_trigger: int = 1000) -> DataFrame:
     """(path, size, modified_at, extension) of the media files beneath a folder; as a stream each file once. Content is not read."""
     reader = (spark.readStream if stream else spark.read).format("binaryFile").option("recursiveFileLookup", "true")
     if stream:
-        reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
+        reader = reader.option("maxFilesPerTrigger", per_trigger).schema("path string, modificationTime timestamp, length long, content binary")
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     found = reader.load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), ext.alias("extension"))
     return found.where(F.col("extension").isin(*extensions) & ~F.rlike(F.col("path"), F.lit(r"/\.[^/]*$|\.tmp\.[^/.]+$")))
