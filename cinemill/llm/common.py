@@ -45,7 +45,9 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 def discard(*staged: DataFrame) -> None:
     """Delete the files of tables made by stage() that no later action reads."""
     for df in staged:
-        at = df.inputFiles()[0].rpartition("/")[0]
+        at = next((x.rpartition("/")[0] for x in df.inputFiles()), None)
+        if at is None:
+            continue
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(at))
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

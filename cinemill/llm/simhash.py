@@ -206,7 +206,9 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, hot: int = H
 #: For the pipeline: texts that share 4 of 5 shingles or more (exact Jaccard). SAMPLE texts tell
 #: which shingles are common; they only set the order in which shingles become keys, never a result.
 SHARE_NUM, SHARE_DEN = 4, 5
-SAMPLE, COMMON, CELLS, FINE = 8192, 100_000, 128, 1024
+SAMPLE, COMMON = 8192, 100_000
+#: Shingles that meet in one cell of a text's counts, on average, in the coarse and the fine counts.
+COARSE, FINE = 4, 1
 #: Texts whose results a Python worker hands over at once.
 PART = 256
 
@@ -224,11 +226,29 @@ def _node(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes(), 42) - (1 << 63)
 
 
-def _cells(grams: np.ndarray, cells: int) -> bytes:
-    """Counts of shingles by cell: the sum of two texts' differences never exceeds the shingles they do not share."""
+def _cells(grams: np.ndarray, share: int) -> bytes:
+    """Counts of shingles by cell: the sum of two texts' differences never exceeds the shingles they do not share.
+
+    Cells grow with the text, in powers of two, so that unlike texts of any length differ in most of
+    them. Counts of twice as many cells, their halves added, are counts too: texts of nearly the same
+    length can be compared.
+    """
+    cells = 1 << min(13, max(5, (max(1, len(grams)) // share).bit_length()))
     return np.minimum(np.bincount(grams & (cells - 1), minlength=cells), 255).astype(np.uint8).tobytes()
 
 
+def _folded(cells: np.ndarray, size: int) -> np.ndarray:
+    """Rows of counts by as many cells, or by half as many as they have."""
+    return cells if cells.shape[1] == size else cells.reshape(len(cells), -1, size).sum(1, dtype=np.int16)
+
+
+def _unlike(one: bytes, two: bytes) -> int:
+    """A bound from below on the shingles that two texts do not share."""
+    size = min(len(one), len(two))
+    a, b = (_folded(np.frombuffer(x, dtype=np.uint8).astype(np.int16)[None], size) for x in (one, two))
+    return int(np.abs(a - b).sum(dtype=np.int64))
+
+
 def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes, in order, that several of a sample's texts hold, and in how many."""
     rows = texts.count()
@@ -262,7 +282,7 @@ def _prints(texts: DataFrame, words: int) -> DataFrame:
                 fp.append(fingerprint_of(digests))
                 node.append(_node(g))
                 n.append(len(g))
-                cells.append(_cells(g, CELLS))
+                cells.append(_cells(g, COARSE))
                 fine.append(_cells(g, FINE))
                 rank = np.zeros(len(g), dtype=np.int64)
                 if len(gram):
@@ -287,8 +307,7 @@ def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) ->
 
     def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, FINE).astype(np.int16) for i in (4, 5))
-            unlike = np.abs(one - two).sum(1, dtype=np.int64)
+            unlike = np.array([_unlike(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], dtype=np.int64)
             both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             yield batch.filter(pa.array(unlike * (SHARE_NUM + SHARE_DEN) <= both * (SHARE_DEN - SHARE_NUM))).select(["a", "b", "na", "nb"])
 
@@ -318,19 +337,27 @@ def _candidates(members: DataFrame, rows: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", "n", "node"])
         part, node, root, n, side = (pdf[c].to_numpy() for c in ("part", "node", "root", "n", "side"))
-        cells = np.frombuffer(b"".join(pdf["cells"]), dtype=np.uint8).reshape(len(pdf), CELLS).astype(np.int16)
+        cells = pdf["cells"].to_numpy()
         cuts = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(part)]])
         found = [np.zeros((0, 2), dtype=np.int64)]
         for begin, end in zip(cuts[:-1], cuts[1:]):
             whole = side[begin:end].min() == side[begin:end].max()
             last = begin + np.searchsorted(n[begin:end], n[begin:end] * SHARE_DEN // SHARE_NUM, "right")  # of more shingles none is alike
-            for i in range(begin, end - 1):
-                j = np.arange(i + 1, last[i - begin])
-                j = j[(root[j] != root[i]) if whole else (root[j] != root[i]) & (side[j] != side[i])]
-                # at Jaccard 0.8 a ninth of both counts together is not shared
-                j = j[np.abs(cells[j] - cells[i]).sum(1, dtype=np.int64) * (SHARE_NUM + SHARE_DEN) <= (n[j] + n[i]) * (SHARE_DEN - SHARE_NUM)]
-                if len(j):
-                    found.append(np.stack([np.broadcast_to(node[i], len(j)), node[j]], axis=1))
+            sizes = np.fromiter(map(len, cells[begin:end]), dtype=np.int64, count=end - begin)
+            turns = [begin, *(begin + 1 + np.nonzero(np.diff(sizes))[0]), end]  # rows of as many cells stand together
+            tables = [np.frombuffer(b"".join(cells[lo:hi]), dtype=np.uint8).reshape(hi - lo, -1).astype(np.int16) for lo, hi in zip(turns[:-1], turns[1:])]
+            for k, (lo, hi) in enumerate(zip(turns[:-1], turns[1:])):
+                near = [(lo, tables[k])]
+                if k + 1 < len(tables) and tables[k + 1].shape[1] == 2 * tables[k].shape[1]:
+                    near.append((hi, _folded(tables[k + 1], tables[k].shape[1])))
+                for i in range(lo, hi):
+                    for first, table in near:
+                        j = np.arange(max(i + 1, first), min(last[i - begin], first + len(table)))
+                        j = j[(root[j] != root[i]) if whole else (root[j] != root[i]) & (side[j] != side[i])]
+                        # at Jaccard 0.8 a ninth of both counts together is not shared
+                        j = j[np.abs(table[j - first] - tables[k][i - lo]).sum(1, dtype=np.int64) * (SHARE_NUM + SHARE_DEN) <= (n[j] + n[i]) * (SHARE_DEN - SHARE_NUM)]
+                        if len(j):
+                            found.append(np.stack([np.broadcast_to(node[i], len(j)), node[j]], axis=1))
         found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
@@ -362,9 +389,10 @@ def copy_groups(df: DataFrame, words: int = 5, hot: int = HOT, radius: int = 3)
     """(doc_id, th, root) of every row: root is the same for texts linked by exact Jaccard of 0.8 or more.
 
     Candidates come from the BK-trees over the texts' SimHash fingerprints, and, as no radius of a
-    SimHash holds all links of 0.8, from their rarest shingles: every text is held against one head of
-    each of its keys, which joins nearly all of a group; then, under keys that still hold several
-    components, each text against all of other components. All are decided by the shingles themselves.
+    SimHash holds all links of 0.8, from their rarest shingles. First every text is held against one
+    text, the smallest head of its keys, which joins nearly all of a group; then against those heads
+    of its keys that are in other components; then, under keys that still hold several components,
+    against each text of the others. All are decided by the shingles themselves.
 
     Null text is empty and wordless texts are one group; a null id names no group unless it has no other.
     """
@@ -383,19 +411,24 @@ def copy_groups(df: DataFrame, words: int = 5, hot: int = HOT, radius: int = 3)
     nodes = stage(firsts.drop("keys"), "nodes")
     discard(firsts, heads)
     release(df.sparkSession)
-    star = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    star = shared.where("node <> head").groupBy("node").agg(F.min("head").alias("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
     near = _by_fingerprint(nodes, radius, hot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = stage(star.unionByName(near).distinct(), "tried")
     links = stage(_alike(texts, nodes, tried, words), "alike")
+    roots = stage(components(links), "roots")
+    ends = shared.where("node <> head").select("node", "head").distinct().join(roots, "node", "left").withColumn("own", F.coalesce("root", "node")).drop("root")
+    ends = ends.join(roots.select(F.col("node").alias("head"), "root"), "head", "left").where(F.col("own") != F.coalesce("root", "head"))
+    second = stage(ends.select(F.col("head").alias("a"), F.col("node").alias("b")).join(tried, ["a", "b"], "left_anti"), "second")
+    links = stage(links.unionByName(_alike(texts, nodes, second, words)), "alike")
     rooted = shared.where("size > 2").join(components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = stage(rooted.join(several, "key"), "rest")
     members = _blocks(rest.join(nodes.select("node", "n", "cells"), "node"), hot)
     rows = rest.agg(F.coalesce(F.sum(F.ceil(F.col("size") / hot)), F.lit(0))).first()[0]
-    more = _candidates(members, rows).join(tried, ["a", "b"], "left_anti")
+    more = _candidates(members, rows).join(tried.unionByName(second), ["a", "b"], "left_anti")
     links = links.unionByName(_alike(texts, nodes, more, words))
     roots = components(links)
-    discard(shared, tried, rest)
+    discard(shared, tried, second, rest)
     release(df.sparkSession)
     return docs.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
