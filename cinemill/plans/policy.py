@@ -124,7 +124,8 @@ def field(path: str) -> Column:
     if root == "phase":
         name, _, what = rest.partition(".")
         state = F.col(f"_st_{name}")
-        return {"outcome": state, "completed": state != "skipped", "modified": state == "pending"}[what]
+        made = {"outcome": state, "completed": state != "skipped", "modified": state == "pending"}
+        return F.size(f"_warn_{name}") if what == "warning_count" else F.size(f"_bad_{name}") if what == "error_count" else made[what]
     raise ValueError(f"no such field: {path}")
 
 
@@ -254,17 +255,34 @@ def sequence(specs: list[dict], df: DataFrame) -> Column:
     return F.flatten(F.array(*(operation(s, df) for s in specs))) if specs else none()
 
 
+STRATEGIES = {"abort": "aborting", "quarantine": "aborting", "continue": "continuing", "skip": "skipping phase"}
+
+
 def halted(actions: Column, strategy: str) -> Column:
-    """Actions up to the first failure; with strategy continue, failures turn to warnings and all stay."""
+    """Actions up to the first failure, or all with strategy continue; the failure stays as one that warns, or skips the phase.
+
+    quarantine stops the phase as abort does (setting the file aside is the caller's work).
+    """
+    told = lambda a: F.concat(F.lit(f"Error ({STRATEGIES[strategy]}): "), F.coalesce(a["value"], F.lit("")))
+    changed = F.transform(actions, lambda a: F.when(a["op"] == "fail", a.withField("op", F.lit("skip" if strategy == "skip" else "warn")).withField("value", told(a))).otherwise(a))
     if strategy == "continue":
-        return F.transform(actions, lambda a: F.when(a["op"] == "fail", a.withField("op", F.lit("warn"))).otherwise(a))
+        return changed
     at = F.array_position(F.transform(actions, lambda a: a["op"]), "fail")
-    return F.when(at > 0, F.slice(actions, F.lit(1), F.greatest(at, F.lit(1)).cast("int"))).otherwise(actions)
+    return F.when(at > 0, F.slice(changed, F.lit(1), F.greatest(at, F.lit(1)).cast("int"))).otherwise(actions)
+
+
+def lost_kinds(actions: Column) -> Column:
+    """video and audio, as far as removals together would take every such track."""
+    found = []
+    for kind in ("video", "audio"):
+        own = F.transform(of(F.col("tracks"), kind), lambda t: t["stream_index"].cast("int"))
+        gone = F.transform(F.filter(actions, lambda a: a["op"] == "remove_track"), lambda a: a["track"])
+        found.append(F.when((F.size(own) > 0) & (F.size(F.array_except(own, gone)) == 0), kind))
+    return F.array_compact(F.array(*found))
 
 
 def safeguarded(actions: Column) -> Column:
-    """Without removals that together take every video or audio track, and without a conversion to a
-    container that cannot hold what remains after transcodes."""
+    """Without removals that together take every video or audio track."""
     for kind in ("video", "audio"):
         own = F.transform(of(F.col("tracks"), kind), lambda t: t["stream_index"].cast("int"))
         gone = F.transform(F.filter(actions, lambda a: a["op"] == "remove_track"), lambda a: a["track"])
@@ -273,6 +291,42 @@ def safeguarded(actions: Column) -> Column:
     return actions
 
 
+def conversion(actions: Column) -> Column:
+    """The container that actions convert to, NULL if none."""
+    return F.try_element_at(F.filter(actions, lambda a: a["op"] == "convert_container"), F.lit(1))["value"]
+
+
+def offenders(target: Column, actions: Column) -> Column:
+    """Tracks that stay, by what transcodes make of them, and synthesised ones, that a container cannot hold: track i (codec), ..."""
+    removed = F.transform(F.filter(actions, lambda a: a["op"] == "remove_track"), lambda a: a["track"])
+    cannot = lambda codec: F.coalesce(~holds(target, codec), F.lit(False))
+
+    def codec(t: Column) -> Column:
+        made = F.filter(actions, lambda a: a["op"].isin("transcode_video", "transcode_audio") & (a["track"] == t["stream_index"]))
+        return F.coalesce(F.get_json_object(F.try_element_at(made, F.lit(-1))["value"], "$.codec"), t["codec"])
+
+    left = F.filter("tracks", lambda t: ~F.array_contains(removed, t["stream_index"].cast("int")))
+    kept = F.filter(F.transform(left, lambda t: F.struct(t["stream_index"].alias("i"), codec(t).alias("codec"))), lambda t: cannot(t["codec"]))
+    made = F.transform(F.filter(actions, lambda a: a["op"] == "synthesize_audio"), lambda a: F.split_part(a["value"], F.lit("/"), F.lit(1)))
+    return F.concat(
+        F.transform(kept, lambda t: F.concat(F.lit("track "), t["i"].cast("string"), F.lit(" ("), t["codec"], F.lit(")"))),
+        F.transform(F.filter(made, cannot), lambda c: F.concat(F.lit("synthesized ("), c, F.lit(")"))),
+    )
+
+
+VIOLATION = "array<struct<kind:string,message:string>>"
+
+
+def violations(lost: Column, target: Column, unheld: Column) -> Column:
+    """array<struct<kind, message>> of what the safeguards took back: removals of a kind, a conversion."""
+    name = F.element_at(F.split("path", "/"), -1)
+    removals = F.transform(lost, lambda k: F.struct(F.concat(F.lit("no_"), k, F.lit("_track")).alias("kind"), F.concat(F.lit("Safeguard: would have removed all "), k, F.lit(" tracks in "), name, F.lit(", keeping them instead")).alias("message")))
+    some = F.array_join(F.slice(unheld, 1, 4), ", ")
+    more = F.when(F.size(unheld) > 4, F.concat(F.lit(" and "), (F.size(unheld) - 4).cast("string"), F.lit(" more"))).otherwise("")
+    text = F.concat(F.lit("Safeguard: container conversion from "), F.col("container"), F.lit(" to "), target, F.lit(" would leave incompatible codecs in "), name, F.lit(": "), some, more, F.lit("; keeping original container"))
+    return F.concat(removals, F.when(F.size(unheld) > 0, F.array(F.struct(F.lit("container_incompatible").alias("kind"), text.alias("message")))).otherwise(F.array().cast(VIOLATION)))
+
+
 def unfit(target: Column, actions: Column) -> Column:
     """Codecs of surviving, untranscoded tracks that a container cannot hold."""
     touched = F.transform(F.filter(actions, lambda a: a["op"].isin("remove_track", "transcode_video", "transcode_audio")), lambda a: a["track"])
@@ -292,10 +346,12 @@ def capability_hints(actions: Column, encoders: dict[str, list[str]]) -> Column:
 
 
 def evaluate(df: DataFrame, policy: dict) -> DataFrame:
-    """(id, phase, status, reason, actions): a policy's phases over every file, in dependency order.
+    """(id, phase, status, reason, actions, warnings, violations): a policy's phases over every file, in dependency order.
 
     policy: {"phases": [{"name", "skip_when"?, "run_if"? [phase, modified|completed], "depends_on"? [..], "on_error"?, "operations": [..]}]}.
-    A phase is Skipped by its condition, an unmet run_if or a skip action; else Completed without actions, Pending with.
+    A phase is Skipped by its condition, an unmet run_if, a skip action or an error under strategy skip; else Completed
+    without actions, Pending with. Safeguards take back removals of all video or audio tracks, and a
+    conversion to a container that cannot hold what would be in it; each is a violation and a warning.
     Each phase's actions are columns of their own, so no expression repeats another.
     """
     phases = ordered(policy["phases"])
@@ -311,9 +367,19 @@ def evaluate(df: DataFrame, policy: dict) -> DataFrame:
         raw = F.when(F.col(f"_why_{n}").isNull(), halted(sequence(p["operations"], keep), p.get("on_error", "abort"))).otherwise(none())
         keep = keep.withColumn(f"_raw_{n}", raw)
         keep = keep.withColumn(f"_why_{n}", F.coalesce(f"_why_{n}", F.try_element_at(F.filter(f"_raw_{n}", lambda a: a["op"] == "skip"), F.lit(1))["value"]))
-        keep = keep.withColumn(f"_act_{n}", F.filter(F.when(F.col(f"_why_{n}").isNotNull(), F.col(f"_raw_{n}")).otherwise(safeguarded(F.col(f"_raw_{n}"))), lambda a: ~a["op"].isin("skip", "warn")))
-        keep = keep.withColumn(f"_st_{n}", F.when(F.col(f"_why_{n}").isNotNull(), "skipped").when(F.size(f"_act_{n}") == 0, "completed").otherwise("pending"))
-    rows = F.array(*(F.struct(F.lit(p["name"]).alias("phase"), F.col(f"_st_{p['name']}").alias("status"), F.col(f"_why_{p['name']}").alias("reason"), F.col(f"_act_{p['name']}").alias("actions")) for p in phases))
+        ran, raw = F.col(f"_why_{n}").isNull(), F.col(f"_raw_{n}")
+        keep = keep.withColumn(f"_safe_{n}", F.filter(F.when(ran, safeguarded(raw)).otherwise(raw), lambda a: ~a["op"].isin("skip", "warn")))
+        safe = F.col(f"_safe_{n}")
+        empty = F.array().cast("array<string>")
+        keep = keep.withColumns({f"_off_{n}": F.when(ran & conversion(safe).isNotNull(), offenders(conversion(safe), safe)).otherwise(empty), f"_lost_{n}": F.when(ran, lost_kinds(raw)).otherwise(empty)})
+        held = F.size(f"_off_{n}") == 0
+        keep = keep.withColumn(f"_act_{n}", F.when(held, safe).otherwise(F.filter(safe, lambda a: a["op"] != "convert_container")))
+        keep = keep.withColumn(f"_bad_{n}", violations(F.col(f"_lost_{n}"), conversion(safe), F.col(f"_off_{n}")))
+        said = F.transform(F.filter(raw, lambda a: a["op"] == "warn"), lambda a: a["value"])
+        keep = keep.withColumn(f"_warn_{n}", F.concat(said, F.transform(f"_bad_{n}", lambda v: v["message"])))
+        keep = keep.withColumn(f"_st_{n}", F.when(~ran, "skipped").when(F.size(f"_act_{n}") == 0, "completed").otherwise("pending"))
+    shown = {"status": "st", "reason": "why", "actions": "act", "warnings": "warn", "violations": "bad"}
+    rows = F.array(*(F.struct(F.lit(p["name"]).alias("phase"), *(F.col(f"_{v}_{p['name']}").alias(k) for k, v in shown.items())) for p in phases))
     return keep.select("id", F.explode(rows).alias("r")).select("id", "r.*")
 
 

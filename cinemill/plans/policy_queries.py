@@ -147,10 +147,10 @@ POLICY = {
     "o18_o19_o23_o25_policy",
     """WITH v AS (SELECT f.id, f.container, f.size, max(t.width) FILTER (t.stream_index = 0) AS w, max(t.codec) FILTER (t.track_type = 'video') AS vc, count(*) FILTER (t.track_type LIKE 'audio%' AND t.language NOT IN ('eng', 'und')) AS bad, count(*) FILTER (t.track_type LIKE 'audio%' AND t.language IN ('eng', 'und')) AS good FROM files f LEFT JOIN tracks t ON t.file_id = f.id GROUP BY ALL),
     n AS (SELECT id, CASE WHEN container = 'webm' THEN 0 ELSE (CASE WHEN good > 0 THEN bad ELSE 0 END) + CASE WHEN container <> 'mkv' THEN 1 ELSE 0 END END AS k, container = 'webm' AS sk FROM v),
-    x AS (SELECT id, (CASE WHEN coalesce(vc <> 'hevc', false) THEN 1 ELSE 0 END) + 1 + (CASE WHEN w IS NULL THEN 0 ELSE 1 END) AS k FROM v)
+    x AS (SELECT id, (CASE WHEN coalesce(vc <> 'hevc', false) THEN 1 ELSE 0 END) + (CASE WHEN w IS NULL THEN 0 ELSE 2 END) AS k FROM v)
     SELECT id, 'normalize' AS phase, CASE WHEN sk THEN 'skipped' WHEN k = 0 THEN 'completed' ELSE 'pending' END AS status, CASE WHEN sk THEN 'skip_when' END AS reason, CAST(k AS INTEGER) AS n FROM n
     UNION ALL SELECT id, 'transcode', CASE WHEN k = 0 THEN 'completed' ELSE 'pending' END, NULL, CAST(k AS INTEGER) FROM x
-    UNION ALL SELECT id, 'verify', 'pending', NULL, 1 FROM x
+    UNION ALL SELECT id, 'verify', CASE WHEN k = 0 THEN 'skipped' ELSE 'pending' END, CASE WHEN k = 0 THEN 'run_if' END, CAST(CASE WHEN k = 0 THEN 0 ELSE 1 END AS INTEGER) FROM x
     UNION ALL SELECT id, 'cleanup', CASE WHEN size < 5000000 THEN 'skipped' WHEN w IS NULL THEN 'completed' ELSE 'pending' END, CASE WHEN size < 5000000 THEN 'tiny ' || id END, CAST(CASE WHEN w IS NULL THEN 0 ELSE 1 END AS INTEGER) FROM v""",
 )
 def whole_policy(spark, d):
@@ -172,6 +172,45 @@ def container_safeguard(spark, d):
     return df.select("id", F.array_join(P.unfit(F.lit("mp4"), P.none()), ",").alias("unfit")).where("unfit <> ''")
 
 
+_HELD = "codec IN ('h264', 'avc1', 'hevc', 'h265', 'hev1', 'hvc1', 'av1', 'mpeg4', 'mpeg2video', 'vp9', 'aac', 'mp3', 'ac3', 'eac3', 'opus', 'alac', 'flac', 'mov_text', 'tx3g')"
+
+
+@query(
+    "o21_conversion_taken_back",
+    f"""
+    WITH t AS (SELECT t.*, f.container, f.filename, CASE WHEN track_type LIKE 'audio%' AND codec = 'dts' THEN 'aac' ELSE codec END AS codec2 FROM tracks t JOIN files f ON f.id = t.file_id WHERE track_type NOT LIKE 'subtitle%'),
+    b AS (SELECT file_id, list('track ' || stream_index || ' (' || codec2 || ')' ORDER BY stream_index) AS bad FROM t WHERE NOT {_HELD.replace('codec', 'codec2')} GROUP BY 1),
+    n AS (SELECT f.id, f.container, f.filename, b.bad, count(t.file_id) FILTER (t.track_type LIKE 'subtitle%') + count(t.file_id) FILTER (t.track_type LIKE 'audio%' AND t.codec NOT IN ('aac', 'opus', 'flac', 'ac3')) AS others
+      FROM files f LEFT JOIN b ON b.file_id = f.id LEFT JOIN tracks t ON t.file_id = f.id GROUP BY ALL)
+    SELECT id, CAST(others + CASE WHEN container <> 'mp4' AND bad IS NULL THEN 1 ELSE 0 END AS INTEGER) AS n, CASE WHEN container <> 'mp4' AND bad IS NOT NULL THEN 'container_incompatible' END AS kind,
+      CASE WHEN container <> 'mp4' AND bad IS NOT NULL THEN 'Safeguard: container conversion from ' || container || ' to mp4 would leave incompatible codecs in ' || filename || ': ' || array_to_string(bad[1:4], ', ')
+        || CASE WHEN len(bad) > 4 THEN ' and ' || (len(bad) - 4) || ' more' ELSE '' END || '; keeping original container' END AS warning
+    FROM n
+    """,
+)
+def conversion_taken_back(spark, d):
+    phases = [{"name": "a", "operations": [{"container": "mp4"}, {"remove": "subtitle"}, {"transcode": "aac", "of": "audio", "preserve": ["opus", "flac", "ac3"]}]}]
+    out = P.evaluate(_library(spark, d), {"phases": phases})
+    return out.select("id", F.size("actions").alias("n"), F.try_element_at("violations", F.lit(1))["kind"].alias("kind"), F.try_element_at("warnings", F.lit(1)).alias("warning"))
+
+
+@query(
+    "o19_error_strategies",
+    """
+    WITH v AS (SELECT f.id, f.filename, max(t.width) FILTER (t.stream_index = 0) AS w FROM files f LEFT JOIN tracks t ON t.file_id = f.id GROUP BY ALL),
+    s AS (SELECT * FROM (VALUES ('abort', 'aborting'), ('continue', 'continuing'), ('quarantine', 'aborting'), ('skip', 'skipping phase')) AS x(phase, word))
+    SELECT id, phase, CASE WHEN w IS NULL AND phase = 'skip' THEN 'skipped' ELSE 'pending' END AS status, CASE WHEN w IS NULL AND phase = 'skip' THEN 'Error (skipping phase): w=?' END AS reason,
+      CAST(CASE WHEN w IS NULL AND phase <> 'continue' THEN 1 WHEN w IS NULL THEN 2 ELSE 3 END AS INTEGER) AS n,
+      CASE WHEN w IS NULL AND phase <> 'skip' THEN ['check ' || id, 'Error (' || word || '): w=?'] ELSE ['check ' || id] END AS warnings
+    FROM v, s
+    """,
+)
+def error_strategies(spark, d):
+    operations = [{"warn": "check {filename}"}, {"verify": "quick"}, {"set_tag": "w", "field": "video.width"}, {"verify": "hash"}]
+    out = P.evaluate(_library(spark, d), {"phases": [{"name": n, "on_error": n, "operations": operations} for n in P.STRATEGIES]})
+    return out.select("id", "phase", "status", "reason", F.size("actions").alias("n"), "warnings")
+
+
 @query("c12_system_fields", "SELECT id FROM files WHERE id % 2 = 0")
 def system_fields(spark, d):
     df = _library(spark, d).withColumn("system", F.when(F.col("id") % 2 == 0, F.create_map(F.lit("hwaccel"), F.lit("nvenc"))).otherwise(F.create_map(F.lit("cpu"), F.lit("x"))))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cinemill.functions.media import HOLDS
 from cinemill.plans import policy as P
 from cinemill.plans.policy_queries import CONDITIONS, FILTERS, _library
 
@@ -44,7 +45,7 @@ def test_phases_follow_their_dependencies():
 def test_failure_strategies(library):
     actions = F.array(P.act("verify"), P.act("fail"), P.act("verify"))
     ops = lambda s: library.select(F.transform(P.halted(actions, s), lambda a: a["op"]).alias("x")).first()["x"]
-    assert ops("abort") == ["verify", "fail"] and ops("continue") == ["verify", "warn", "verify"]
+    assert ops("abort") == ops("quarantine") == ["verify", "warn"] and ops("continue") == ["verify", "warn", "verify"] and ops("skip") == ["verify", "skip"]
 
 
 def test_inheritance_and_differences():
@@ -85,3 +86,43 @@ def test_policies_extend_through_a_chain():
         P.resolved("a", {"a": {"extends": "b"}, "b": {"extends": "a"}})
     with pytest.raises(ValueError, match="no such policy"):
         P.resolved("a", {"a": {"extends": "zz"}})
+
+
+def test_safeguards_are_told(library):
+    phases = [
+        {"name": "a", "operations": [{"remove": "audio", "where": {"lang": ["eng"]}}, {"remove": "audio", "where": {"not": {"lang": ["eng"]}}}, {"warn": "look at {filename}"}]},
+        {"name": "b", "operations": [{"container": "avi"}]},
+        {"name": "c", "skip_when": {"field": "phase.a.error_count", "is": [">", 0]}, "operations": [{"verify": "quick"}]},
+        {"name": "d", "skip_when": {"field": "phase.b.warning_count", "is": ["==", 0]}, "operations": [{"verify": "quick"}]},
+    ]
+    out = {}
+    for r in P.evaluate(library, {"phases": phases}).collect():
+        out.setdefault(r.id, {})[r.phase] = r
+    files = {r.id: r for r in library.collect()}
+    kinds = {"lost": 0, "unfit": 0}
+    for i, f in files.items():
+        audio = [t for t in f.tracks if t.track_type.startswith("audio")]
+        a, b = out[i]["a"], out[i]["b"]
+        mixed = len({t.language == "eng" for t in audio}) == 2  # each removal alone leaves some, both together none
+        assert [v.kind for v in a.violations] == (["no_audio_track"] if mixed else [])
+        assert a.warnings[0] == f"look at {i}" and a.warnings[1:] == [v.message for v in a.violations] and out[i]["c"].status == ("skipped" if mixed else "pending")
+        if mixed:
+            assert a.violations[0].message == f"Safeguard: would have removed all audio tracks in {f.filename}, keeping them instead" and not a.actions
+        bad = [t for t in f.tracks if t.codec not in HOLDS["avi"]] if f.container != "avi" else []
+        assert [v.kind for v in b.violations] == (["container_incompatible"] if bad else []) and b.status == ("completed" if bad or f.container == "avi" else "pending")
+        assert out[i]["d"].status == ("pending" if bad else "skipped")
+        kinds["lost"] += mixed
+        kinds["unfit"] += bool(bad)
+    assert min(kinds.values()) > 0
+
+
+def test_transcodes_and_new_tracks_count_for_the_container(library):
+    made = P.act("synthesize_audio", F.lit(1), "opus/6/eng")
+    actions = F.array(P.act("convert_container", None, "avi"), made)
+    got = library.select("tracks", P.offenders(F.lit("avi"), actions).alias("bad")).collect()
+    for r in got:
+        assert r.bad == [*(f"track {t.stream_index} ({t.codec})" for t in r.tracks if t.codec not in HOLDS["avi"]), "synthesized (opus)"]
+    turned = F.array(P.act("transcode_video", F.lit(0), '{"codec": "h264"}'), P.act("transcode_audio", F.lit(1), '{"codec": "opus"}'), P.act("remove_track", F.lit(2)))
+    for r in library.select("tracks", P.offenders(F.lit("avi"), turned).alias("bad")).collect():
+        codec = {0: "h264", 1: "opus"}
+        assert r.bad == [f"track {t.stream_index} ({codec.get(t.stream_index, t.codec)})" for t in r.tracks if t.stream_index != 2 and codec.get(t.stream_index, t.codec) not in HOLDS["avi"]]
