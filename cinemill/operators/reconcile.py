@@ -34,21 +34,28 @@ def classify(found: DataFrame, files: DataFrame, sessions: DataFrame, roots: lis
     has moved, each such row once, in path order.
     """
     first = F.row_number().over(W.partitionBy("path").orderBy("seq")) == 1
-    found = found.withColumn("_first", first)
-    known = files.where("path is not null").join(sessions.withColumnsRenamed({"session_id": "last_seen_session_id", "status": "_session"}), "last_seen_session_id", "left")
-    stub = F.col("last_seen_session_id").isNotNull() & ~F.coalesce(F.col("_session") == "completed", F.lit(False))
-    known = known.where(~stub).select("path", F.col("id").alias("_id"), "expected_hash", F.col("status").alias("_status"))
-    met = found.where("_first").join(known.where("_status = 'active'").drop("_status"), "path", "left")
+    found = found.select("path", "seq", "size", "hash", first.alias("_first"))
+    # of the catalogue only what the scan's paths and hashes can meet goes on
+    files = files.select("id", "path", "status", "expected_hash", "last_seen_session_id").where("path is not null")
+    here = files.where("status = 'active'").join(found.select("path"), "path", "left_semi")
+    gone = files.where("status = 'missing' and expected_hash is not null").where(under_any(F.col("path"), roots)).join(found.select(F.col("hash").alias("expected_hash")), "expected_hash", "left_semi")
+    here, gone = (_finished(df, sessions) for df in (here, gone))
+    met = found.where("_first").join(here.select("path", F.col("id").alias("_id"), "expected_hash"), "path", "left")
     same = F.col("expected_hash").isNull() | (F.col("expected_hash") == F.col("hash"))
-    by_path = met.where("_id is not null").select("path", "seq", "size", "hash", F.when(same, "unchanged").otherwise("externally_changed").alias("decision"), F.col("_id").alias("file_id"))
     absent = numbered(met.where("_id is null").select("path", "seq", "size", "hash"), "hash", "path")
-    gone = known.where("_status = 'missing' and expected_hash is not null").where(under_any(F.col("path"), roots))
-    gone = numbered(gone.select(F.col("expected_hash").alias("hash"), F.col("path").alias("_from"), F.col("_id").alias("file_id")), "hash", "_from").drop("_from")
+    gone = numbered(gone.select(F.col("expected_hash").alias("hash"), F.col("path").alias("_from"), F.col("id").alias("file_id")), "hash", "_from").drop("_from")
     moved = absent.join(gone, ["hash", "_n"], "left").select("path", "seq", "size", "hash", F.when(F.col("file_id").isNotNull(), "moved").otherwise("new").alias("decision"), "file_id")
+    by_path = met.where("_id is not null").select("path", "seq", "size", "hash", F.when(same, "unchanged").otherwise("externally_changed").alias("decision"), F.col("_id").alias("file_id"))
     again = found.where("not _first").select("path", "seq", "size", "hash", F.lit("duplicate").alias("decision"), F.lit(None).cast("long").alias("file_id"))
     return by_path.unionByName(moved).unionByName(again)
 
 
+def _finished(files: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Files but stubs: those whose last session did not complete."""
+    known = files.join(sessions.withColumnsRenamed({"session_id": "last_seen_session_id", "status": "_session"}), "last_seen_session_id", "left")
+    return known.where(F.col("last_seen_session_id").isNull() | F.coalesce(F.col("_session") == "completed", F.lit(False)))
+
+
 def finish(decisions: DataFrame, files: DataFrame, mutated: DataFrame, roots: list[str]) -> DataFrame:
     """(id, outcome, path): active catalogue rows under the roots that the scan did not see.
 
@@ -81,23 +88,29 @@ def transitions(decisions: DataFrame) -> DataFrame:
     return decisions.select("path", "file_id", F.explode(kinds).alias("kind"))
 
 
-def applied(files: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The catalogue after a scan: unchanged rows refreshed, changed rows closed and replaced, moved rows renamed, new rows added.
+def changed(files: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(id, path, size, expected_hash, status): the catalogue rows that a scan changes or adds, as they are after it.
 
-    New ids follow the largest old one in path order.
+    Unchanged rows are refreshed, changed ones closed and replaced, moved ones renamed, new ones added
+    under ids made from their paths. Only rows that the decisions name are read on.
     """
     d = decisions.where("decision in ('unchanged', 'externally_changed', 'moved')").select(F.col("file_id").alias("id"), F.col("path").alias("_path"), F.col("size").alias("_size"), F.col("hash").alias("_hash"), "decision")
-    m = files.join(d, "id", "left")
-    lost, changed = F.col("decision") == "externally_changed", F.col("decision").isin("unchanged", "moved")
+    m = files.select("id", "size", "expected_hash").join(d, "id")
+    lost = F.col("decision") == "externally_changed"
     kept = m.select(
-        "id", F.when(lost, None).when(changed, F.col("_path")).otherwise(F.col("path")).alias("path"), F.when(changed, F.col("_size")).otherwise(F.col("size")).alias("size"),
-        F.when(changed, F.coalesce("expected_hash", "_hash")).otherwise(F.col("expected_hash")).alias("expected_hash"), F.when(lost, "missing").when(changed, "active").otherwise(F.col("status")).alias("status"),
+        "id", F.when(~lost, F.col("_path")).alias("path"), F.when(lost, F.col("size")).otherwise(F.col("_size")).alias("size"),
+        F.when(lost, F.col("expected_hash")).otherwise(F.coalesce("expected_hash", "_hash")).alias("expected_hash"), F.when(lost, "missing").otherwise("active").alias("status"),
     )
-    fresh = decisions.where("decision in ('new', 'externally_changed')").select(F.col("path"), "size", F.col("hash").alias("expected_hash"))
-    fresh = fresh.withColumn("id", F.xxhash64("path")).select("id", "path", "size", "expected_hash", F.lit("active").alias("status"))
+    fresh = decisions.where("decision in ('new', 'externally_changed')").select(F.xxhash64("path").alias("id"), "path", "size", F.col("hash").alias("expected_hash"), F.lit("active").alias("status"))
     return kept.unionByName(fresh)
 
 
+def applied(files: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The whole catalogue after a scan: changed() rows in place of those with their ids."""
+    new = changed(files, decisions)
+    return files.select(*new.columns).join(new.select("id"), "id", "left_anti").unionByName(new)
+
+
 def begin(sessions: DataFrame, now, stale_seconds: int = 60) -> DataFrame:
     """Sessions after one begins: live ones without a heartbeat for stale_seconds are cancelled; another live one is an error."""
     age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("last_heartbeat_at").cast("timestamp"))
@@ -114,4 +127,4 @@ def mutation_rows(log: DataFrame) -> DataFrame:
     return log.select("session_id", F.explode(both).alias("path")).distinct()
 
 
-__all__ = ["applied", "begin", "classify", "counts", "finish", "latest_per", "mutation_rows", "transitions", "under_any"]
+__all__ = ["applied", "begin", "changed", "classify", "counts", "finish", "latest_per", "mutation_rows", "transitions", "under_any"]
