@@ -3,9 +3,10 @@
 A text is a bag of passages of PASSAGE words. Each passage is encoded (its words and its three-byte
 strings hashed into BUCKETS counts each, character kinds, word shape and repetition, then one tanh
 layer); gated attention weighs the encoded passages; the weighted sum is scored. Only document labels
-are needed. The model is fitted on at most SAMPLE labelled rows of each class outside the held-out
-fold, none longer than LONGEST characters, chosen by the hash of their id, so that fitting takes the
-same memory whatever the table's size; every whole text is scored.
+are needed. The model is fitted, in batches of BATCH texts, on at most SAMPLE labelled rows of each
+class outside the held-out fold, chosen by the hash of their id, none longer than LONGEST characters
+and together of no more than FITTED passages a class, so that fitting takes the same memory whatever
+the table's size and its texts are like; every whole text is scored.
 
 Defined cases: null text is empty; an empty text is one passage without words and is scored; rows
 without a label, repeated labels (the lower counts) and labels of one class only (score: their
@@ -21,13 +22,16 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinemill.llm.common import doc_text, drop_caches, stage, table
 
 PASSAGE, SAMPLE, LONGEST, FOLDS, THRESHOLD = 64, 2000, 50_000, 5, 0.3
 BUCKETS, HASHED = 64, 0.3
-HIDDEN, GATES, STEPS, RATE, DECAY = 16, 8, 250, 0.03, 1e-3
+HIDDEN, GATES, EPOCHS, BATCH, RATE, DECAY = 16, 8, 24, 128, 0.03, 1e-3
+#: Passages of one class that the fit holds at most: 40,000 rows of 144 numbers of four bytes.
+FITTED = 40_000
 #: Kinds of byte: other, space, lower, upper, digit, stop, exclamation, symbol, bar, beyond ASCII.
 _KIND = np.zeros(256, dtype=np.int64)
 for _k, _chars in enumerate((b" \n\t\r", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?'\"-()", b"!", b"#$%&*@^~=+<>{}[]\\/_`", b"|"), 1):
@@ -110,25 +114,35 @@ class AttentionBags:
             share = (prior * 98 + 1) / 100
             self.p["b"][:] = np.log(share / (1 - share))
             return self
-        x = np.concatenate(bags)
-        first = np.cumsum([0, *(len(b) for b in bags[:-1])])
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+        n = sum(map(len, bags))
+        self.mean = sum(b.sum(0, dtype=np.float64) for b in bags) / n
+        self.scale = np.sqrt(sum(((b - self.mean) ** 2).sum(0) for b in bags) / n) + 1e-3
         self.mean[SHAPE - 1], self.scale[SHAPE - 1] = 0, 1
         self.scale[SHAPE:] /= HASHED
-        x = (x - self.mean) / self.scale
         m, v = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
-        for t in range(1, STEPS + 1):
-            for k, g in self.gradients(x, first, labels).items():
-                g = g + DECAY * self.p[k] * (k != "b")
-                m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                self.p[k] -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        r, t, steps = np.random.default_rng(11), 0, EPOCHS * -(-len(bags) // BATCH)
+        for _ in range(EPOCHS):
+            order = r.permutation(len(bags))
+            for at in range(0, len(bags), BATCH):
+                some = order[at : at + BATCH]
+                x, first = self._rows([bags[i] for i in some])
+                t += 1
+                rate = RATE * (1 - 0.9 * t / steps)
+                for k, g in self.gradients(x, first, labels[some]).items():
+                    g = g + DECAY * self.p[k] * (k != "b")
+                    m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+                    self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
         here = labels.mean()
         self.shift = float(np.log(prior / (1 - prior)) - np.log(here / (1 - here)))
         return self
 
-    def score(self, bags: list[np.ndarray]) -> np.ndarray:
+    def _rows(self, bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """One matrix of the bags' scaled passages, and each bag's first row."""
         x = (np.concatenate(bags) - self.mean) / self.scale
-        y = self.forward(x, np.cumsum([0, *(len(b) for b in bags[:-1])]))["y"]
+        return x, np.cumsum([0, *(len(b) for b in bags[:-1])])
+
+    def score(self, bags: list[np.ndarray]) -> np.ndarray:
+        y = self.forward(*self._rows(bags))["y"]
         return _sigmoid(np.log(y / (1 - y)) + self.shift)
 
 
@@ -153,8 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
     rows = doc_text(docs).join(F.broadcast(some), "doc_id").where(F.length("text") <= LONGEST).select("text", "y", "doc_id")
     bags = stage(rows.mapInArrow(run, "bag binary, y int, doc_id long"), "bags")
-    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("bag"))  # an id may stand on any number of rows
-    found = [r for y in (0, 1) for r in bags.where(F.col("y") == y).orderBy(*order).limit(sample).collect()]
+    order = ("h", "doc_id", "bag")  # an id may stand on any number of rows
+    bags = bags.withColumn("h", F.xxhash64("doc_id")).withColumn("size", F.octet_length("bag") / (4 * WIDTH))
+    found = []
+    for y in (0, 1):
+        some = bags.where(F.col("y") == y).orderBy(*order).limit(sample)
+        taken = some.withColumn("upto", F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+        found += taken.where(F.col("upto") <= FITTED).select("bag", "y").collect()
     bags = [np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, WIDTH) for r in found]
     prior = n.get(1, 0) / max(1, sum(n.values()))
     return AttentionBags().fit(bags, np.array([r["y"] for r in found], dtype=float), prior if n else 0.5)

@@ -70,3 +70,23 @@ def test_covered_stretches_and_parts(spark):
     parts = spark.createDataFrame([(i, t, a, b) for i, t, _ in rows for a, b in [(0, len(t)), (len(t) // 3, len(t) // 2), (5, 5), (0, min(256, len(t))), (min(len(t), 100), len(t))]], "i int, text string, a int, b int")
     for row in pii._with_chunks(parts, "text", "chunks").withColumn("part", pii._between("chunks", F.col("a"), F.col("b"))).collect():
         assert row.part == row.text[row.a : row.b]
+
+
+def test_fit_holds_a_bounded_number_of_passages(spark, monkeypatch):
+    from cinemill.llm import quality
+
+    seen = []
+    real = quality.AttentionBags.fit
+
+    def fit(self, bags, labels, prior):
+        seen.append((sum(len(b) for b, y in zip(bags, labels) if y == 0), sum(len(b) for b, y in zip(bags, labels) if y == 1)))
+        return real(self, bags, labels, prior)
+
+    monkeypatch.setattr(quality.AttentionBags, "fit", fit)
+    monkeypatch.setattr(quality, "FITTED", 100)
+    rows = [(i, ("a " if i % 2 else "| ") * (64 * 30), "x") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    assert seen == [(90, 90)]  # three texts of thirty passages a class
+    assert [r.doc_id % 2 for r in quality.scored(docs, model).where("score >= 0.5").collect()] == [1] * 20
