@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cinemill.functions.media import layout_name, resolution_tier
+
 MAX_LIMIT, MAX_OFFSET, MAX_FILTER = 10_000, 1_000_000, 256
 
 
@@ -112,6 +114,32 @@ def snapshot(files: DataFrame) -> DataFrame:
     )
 
 
+def corpus_features(files: DataFrame) -> DataFrame:
+    """(id, size, feature): what a file with nested tracks would add to a test corpus; files without tracks add nothing."""
+    tracks = F.col("tracks")
+    kind = lambda t: category(t["track_type"])
+    some = lambda name, x: F.when(x.isNotNull(), F.concat(F.lit(f"{name}:"), x))
+    codec = lambda t: F.lower(F.coalesce(t["codec"], F.lit("unknown")))
+    size = lambda t: resolution_tier(t["width"], (t["width"] * 9 / 16).cast("int") if "height" not in _fields(files) else t["height"])
+
+    def own(t: Column) -> Column:
+        video = F.array(
+            some("video_codec", codec(t)), some("resolution", size(t)), some("hdr", F.when(t["is_hdr"], F.lower(F.coalesce(t["hdr_format"], F.lit("generic")))).otherwise("none")),
+            some("framerate", F.when(t["is_vfr"], "vfr").otherwise("cfr")),
+        )
+        audio = F.array(some("audio_codec", codec(t)), some("audio_channels", F.when(t["channels"].isNotNull(), layout_name(t["channels"]))))
+        of_kind = F.when(kind(t) == "video", video).when(kind(t) == "audio", audio).when(kind(t) == "subtitle", F.array(some("subtitle_codec", codec(t)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(of_kind, F.array(F.when(F.contains(F.lower(F.coalesce(t["title"], F.lit(""))), F.lit("commentary")), "commentary:yes"), F.when(kind(t) == "attachment", "attachment:yes"), F.when((kind(t) == "subtitle") & t["is_forced"], "forced_subtitle:yes")))
+
+    many = [F.when(F.size(of(tracks, k)) > 1, f"multi_{k}:yes") for k in ("audio", "subtitle")]
+    found = F.array_distinct(F.array_compact(F.concat(F.array(some("container", F.lower("container")), *many), F.flatten(F.transform(tracks, own)))))
+    return files.where(F.size("tracks") > 0).select("id", "size", F.explode(found).alias("feature"))
+
+
+def _fields(files: DataFrame) -> set[str]:
+    return {f.name for f in files.schema["tracks"].dataType.elementType.fields}
+
+
 def latest_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first by order."""
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -36,6 +36,11 @@ def savings(transitions: DataFrame, unit: str | None = None) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), saved.alias("bytes_saved"), F.sum("duration_ms").alias("duration_ms"), F.countDistinct("file_id").alias("files"))
 
 
+def savings_totals(groups: DataFrame) -> DataFrame:
+    """(total_bytes_saved, total_transitions) over the rows of savings()."""
+    return groups.agg(F.coalesce(F.sum("bytes_saved"), F.lit(0)).alias("total_bytes_saved"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_transitions"))
+
+
 def lineage(files: DataFrame, start: DataFrame, depth: int = 50) -> DataFrame:
     """(root, id, hop): the chain of predecessors of each start id, a file having one at most.
 

@@ -257,3 +257,26 @@ def cover(spark, d):
     t = L.tracks(spark, d).join(files, "file_id")
     features = F.explode(F.array(F.concat(F.lit("codec:"), "codec"), F.concat(F.lit("lang:"), "language"), F.concat(F.lit("box:"), "container")))
     return C.greedy_cover(t.select(F.col("file_id").alias("item"), "size", features.alias("feature")).distinct(), 6, 10**11)
+
+
+_SIXTEENTH = "least(width, CAST(trunc(width * 9 / 16) AS INTEGER))"
+
+
+@query(
+    "b16_corpus_features",
+    f"""
+    WITH t AS (SELECT f.id, f.size, f.container, t.* EXCLUDE (file_id), split_part(track_type, '_', 1) AS kind FROM files f JOIN tracks t ON t.file_id = f.id)
+    SELECT id, size, 'container:' || container AS feature FROM t
+    UNION SELECT id, size, kind || '_codec:' || codec FROM t WHERE kind IN ('video', 'audio', 'subtitle')
+    UNION SELECT id, size, 'resolution:' || CASE WHEN {_SIXTEENTH} >= 2160 THEN '4K+' WHEN {_SIXTEENTH} >= 1080 THEN '1080p' WHEN {_SIXTEENTH} >= 720 THEN '720p' WHEN {_SIXTEENTH} >= 480 THEN 'SD' ELSE 'sub-SD' END FROM t WHERE kind = 'video' AND width IS NOT NULL
+    UNION SELECT id, size, 'hdr:' || CASE WHEN is_hdr THEN lower(coalesce(hdr_format, 'generic')) ELSE 'none' END FROM t WHERE kind = 'video'
+    UNION SELECT id, size, 'framerate:' || CASE WHEN is_vfr THEN 'vfr' ELSE 'cfr' END FROM t WHERE kind = 'video'
+    UNION SELECT id, size, 'audio_channels:' || CASE channels WHEN 1 THEN 'mono' WHEN 2 THEN 'stereo' WHEN 6 THEN '5.1' WHEN 8 THEN '7.1' ELSE channels || 'ch' END FROM t WHERE kind = 'audio' AND channels IS NOT NULL
+    UNION SELECT id, size, 'commentary:yes' FROM t WHERE contains(lower(title), 'commentary')
+    UNION SELECT id, size, 'attachment:yes' FROM t WHERE kind = 'attachment'
+    UNION SELECT id, size, 'forced_subtitle:yes' FROM t WHERE kind = 'subtitle' AND is_forced
+    UNION SELECT id, size, 'multi_' || kind || ':yes' FROM t WHERE kind IN ('audio', 'subtitle') GROUP BY id, size, kind HAVING count(*) > 1
+    """,
+)
+def corpus_features(spark, d):
+    return C.corpus_features(L.with_tracks(spark, d))

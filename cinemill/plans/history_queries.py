@@ -19,6 +19,11 @@ def savings(spark, d):
     return H.savings(L.transitions(spark, d))
 
 
+@query("a11_savings_totals", "SELECT CAST(coalesce(sum(from_size - to_size), 0) AS BIGINT) AS total_bytes_saved, count(*) AS total_transitions FROM transitions WHERE (source = 'engine' OR executor IS NOT NULL) AND outcome = 'success'")
+def savings_totals(spark, d):
+    return H.savings_totals(H.savings(L.transitions(spark, d), "month"))
+
+
 for _unit, _fmt in (("day", "%Y-%m-%d"), ("week", "%Y-W%W"), ("month", "%Y-%m")):
     query(f"a11_x20_savings_by_{_unit}", f"SELECT executor, phase_name, strftime(created_at, '{_fmt}') AS period, {_SAVED} GROUP BY ALL")(lambda spark, d, u=_unit: H.savings(L.transitions(spark, d), u))
 

@@ -32,6 +32,14 @@ OPS = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le
 ACTION = "array<struct<op:string,track:int,value:string>>"
 #: Layout of synthesised audio by preset (fixed values).
 PRESETS = {"stereo": 2, "surround": 6, "7.1": 8}
+#: Loudness by preset: target, true peak and the widest range (fixed values).
+LOUDNESS = {
+    "ebu_r128": (-23.0, -1.0, 18.0), "ebu_r128_broadcast": (-23.0, -1.0, 18.0), "streaming_movies": (-24.0, -2.0, None), "streaming_music": (-14.0, -1.0, None), "mobile": (-16.0, -1.5, None),
+    "voice_focused": (-19.0, -1.0, 7.0),
+}
+#: Muxer names of containers (fixed values).
+FORMATS = {"mkv": "matroska", "mp4": "mp4", "avi": "avi", "webm": "webm", "flv": "flv", "wmv": "asf", "mov": "mov", "ts": "mpegts"}
+FILE_FIELDS = ("container", "size", "duration", "path", "filename")
 
 
 def sure(x: Column) -> Column:
@@ -112,8 +120,8 @@ def field(path: str) -> Column:
     root, _, rest = path.partition(".")
     if root in ("video", "audio"):
         return F.try_element_at(of(F.col("tracks"), root), F.lit(1))[rest]
-    if root == "file":
-        return F.col(rest)
+    if root == "file":  # other names are the file's tags
+        return F.col(rest) if rest in FILE_FIELDS else F.try_element_at(F.col("tags"), F.lit(rest))
     if root == "tag":
         return F.try_element_at(F.col("tags"), F.lit(rest))
     if root == "plugin":
@@ -129,6 +137,18 @@ def field(path: str) -> Column:
     raise ValueError(f"no such field: {path}")
 
 
+def printed(x: Column, kind: str) -> Column:
+    """A value as text: texts as they are, others as JSON prints them."""
+    if kind == "string":
+        return x
+    if kind.startswith(("array", "map", "struct", "variant")):
+        return F.to_json(x)
+    if kind in ("double", "float"):  # whole numbers keep one decimal, none an exponent within 1e16
+        whole = F.concat(x.cast("decimal(38,0)").cast("string"), F.lit(".0"))
+        return F.when((x == F.floor(x)) & (F.abs(x) < 1e16), whole).otherwise(x.cast("string"))
+    return x.cast("string")
+
+
 def audio_languages() -> Column:
     return F.array_distinct(F.filter(F.transform(of(F.col("tracks"), "audio"), lambda t: t["language"]), lambda x: x != "und"))
 
@@ -208,7 +228,17 @@ def operation(spec: dict, df: DataFrame) -> Column:
         return F.flatten(per)
     if name == "transcode":
         keep = [arg, *spec.get("preserve", [])]
-        return _each(F.filter(selected(spec["of"], where), lambda t: ~t["codec"].isin(keep)), f"transcode_{spec['of']}", json.dumps({"codec": arg} | spec.get("settings", {}), sort_keys=True))
+        made = _each(F.filter(selected(spec["of"], where), lambda t: ~t["codec"].isin(keep)), f"transcode_{spec['of']}", json.dumps({"codec": arg} | spec.get("settings", {}), sort_keys=True))
+        if spec.get("hw", "auto") in ("auto", "none") or spec.get("hw_fallback", True):
+            return made
+        there = F.array_contains(F.split(F.try_element_at(F.col("system"), F.lit("hwaccels")), ","), spec["hw"]) if "system" in df.columns else F.lit(False)
+        return F.when(sure(there), made).otherwise(F.array(act("drop_phase", None, f"hw backend '{spec['hw']}' unavailable and hw_fallback is false")))
+    if name == "normalize" and isinstance(arg, dict):  # the other tracks go first, as keep has it
+        target, peak, spread = LOUDNESS[arg["preset"]]
+        want = {"preset": arg["preset"], "target_lufs": arg.get("target", target), "true_peak_db": peak, "lra_max": spread, "tolerance_lufs": arg.get("tolerance", 0.5)}
+        off = F.filter(selected("audio", where), lambda t: t["lufs"].isNull() | (F.abs(t["lufs"] - want["target_lufs"]) > want["tolerance_lufs"]))
+        made = F.transform(off, lambda t: F.struct(F.lit("transcode_audio").alias("op"), t["stream_index"].cast("int").alias("track"), F.concat(F.lit('{"codec": "'), t["codec"], F.lit('", "loudness": ' + json.dumps(want, sort_keys=True) + "}")).alias("value")))
+        return F.concat(operation({"keep": "audio", "where": where}, df), made)
     if name == "normalize":
         target, tolerance = arg
         return _each(F.filter(selected("audio", where), lambda t: t["lufs"].isNull() | (F.abs(t["lufs"] - target) > tolerance)), "normalize_audio", str(target))
@@ -222,7 +252,7 @@ def operation(spec: dict, df: DataFrame) -> Column:
     if name == "clear_tags":
         return F.transform(F.array_sort(F.map_keys("tags")), lambda k: F.struct(F.lit("delete_tag").alias("op"), F.lit(None).cast("int").alias("track"), k.alias("value")))
     if name == "set_tag":
-        text = field(spec["field"]).cast("string") if "field" in spec else template(spec["value"])
+        text = printed(field(spec["field"]), df.select(field(spec["field"])).dtypes[0][1]) if "field" in spec else template(spec["value"])
         made = F.struct(F.when(text.isNull(), "fail").otherwise("set_tag").alias("op"), F.lit(None).cast("int").alias("track"), F.concat(F.lit(arg + "="), F.coalesce(text, F.lit("?"))).alias("value"))
         return F.array(made)
     if name == "delete_tag":
@@ -345,11 +375,36 @@ def capability_hints(actions: Column, encoders: dict[str, list[str]]) -> Column:
     return F.array_distinct(F.array_compact(F.transform(wanted, text)))
 
 
+def capabilities(actions: Column, encoders: dict[str, list[str]], formats: list[str]) -> Column:
+    """struct<warnings, executor>: encoders and formats that no executor has, and the executor if only one has all encoders.
+
+    encoders: codec -> executors; without any encoder or format nothing is known and nothing said.
+    """
+    if not encoders and not formats:
+        return F.struct(F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("string").alias("executor"))
+    has = F.create_map(*(x for k, v in ({"": []} | encoders).items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
+    muxer = F.create_map(*(F.lit(x) for pair in FORMATS.items() for x in pair))
+    codec = lambda a: F.when(a["op"].startswith("transcode_"), F.get_json_object(a["value"], "$.codec")).when(a["op"] == "synthesize_audio", F.split_part(a["value"], F.lit("/"), F.lit(1)))
+    who = lambda c: F.coalesce(F.try_element_at(has, c), F.array().cast("array<string>"))
+
+    def text(a: Column) -> Column:
+        made = F.coalesce(F.try_element_at(muxer, a["value"]), a["value"])
+        unheld = F.when((a["op"] == "convert_container") & ~made.isin(formats), F.concat(F.lit("No executor supports format '"), made, F.lit("'")))
+        return F.coalesce(unheld, F.when(F.size(who(codec(a))) == 0, F.concat(F.lit("No executor supports encoder '"), codec(a), F.lit("'"))))
+
+    codecs = F.array_compact(F.transform(actions, codec))
+    every = F.array(*map(F.lit, sorted({x for v in encoders.values() for x in v}))).cast("array<string>")
+    able = F.filter(every, lambda e: F.forall(codecs, lambda c: F.array_contains(who(c), e)))
+    warnings = F.array_compact(F.transform(actions, text))
+    return F.struct(warnings.alias("warnings"), F.when((F.size(codecs) > 0) & (F.size(able) == 1), F.element_at(able, 1)).alias("executor"))
+
+
 def evaluate(df: DataFrame, policy: dict) -> DataFrame:
     """(id, phase, status, reason, actions, warnings, violations): a policy's phases over every file, in dependency order.
 
     policy: {"phases": [{"name", "skip_when"?, "run_if"? [phase, modified|completed], "depends_on"? [..], "on_error"?, "operations": [..]}]}.
-    A phase is Skipped by its condition, an unmet run_if, a skip action or an error under strategy skip; else Completed
+    A phase is Skipped by its condition, an unmet run_if, a skip action, a transcode whose hardware is missing (which
+    also drops the actions before it) or an error under strategy skip; else Completed
     without actions, Pending with. Safeguards take back removals of all video or audio tracks, and a
     conversion to a container that cannot hold what would be in it; each is a violation and a warning.
     Each phase's actions are columns of their own, so no expression repeats another.
@@ -365,8 +420,12 @@ def evaluate(df: DataFrame, policy: dict) -> DataFrame:
             reason = F.coalesce(reason, F.when(~met, "run_if"))
         keep = keep.withColumn(f"_why_{n}", reason)
         raw = F.when(F.col(f"_why_{n}").isNull(), halted(sequence(p["operations"], keep), p.get("on_error", "abort"))).otherwise(none())
-        keep = keep.withColumn(f"_raw_{n}", raw)
-        keep = keep.withColumn(f"_why_{n}", F.coalesce(f"_why_{n}", F.try_element_at(F.filter(f"_raw_{n}", lambda a: a["op"] == "skip"), F.lit(1))["value"]))
+        keep = keep.withColumn(f"_all_{n}", raw)
+        dropped = F.filter(F.transform(f"_all_{n}", lambda a, i: F.struct((a["op"] == "drop_phase").alias("hit"), (i + 1).alias("at"), a["value"].alias("value"))), lambda x: x["hit"])
+        keep = keep.withColumn(f"_gone_{n}", F.try_element_at(dropped, F.lit(-1)))
+        last = F.col(f"_gone_{n}.at")
+        keep = keep.withColumn(f"_raw_{n}", F.when(last.isNull(), F.col(f"_all_{n}")).otherwise(F.slice(f"_all_{n}", F.coalesce(last, F.lit(0)) + 1, F.size(f"_all_{n}"))))
+        keep = keep.withColumn(f"_why_{n}", F.coalesce(f"_why_{n}", F.col(f"_gone_{n}.value"), F.try_element_at(F.filter(f"_raw_{n}", lambda a: a["op"] == "skip"), F.lit(1))["value"]))
         ran, raw = F.col(f"_why_{n}").isNull(), F.col(f"_raw_{n}")
         keep = keep.withColumn(f"_safe_{n}", F.filter(F.when(ran, safeguarded(raw)).otherwise(raw), lambda a: ~a["op"].isin("skip", "warn")))
         safe = F.col(f"_safe_{n}")

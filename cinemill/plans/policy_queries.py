@@ -247,3 +247,84 @@ def dry_run(spark, d):
 @query("l09_policy_by_longest_root", "SELECT id, CASE WHEN path LIKE '/media/1-URGENT/%' THEN NULL WHEN path LIKE '/media/%' THEN 'standard' ELSE 'fallback' END AS policy FROM files")
 def resolve(spark, d):
     return L.files(spark, d).select("id", P.policy_for(F.col("path"), {"/media": "standard", "/media/1-URGENT": None, "/med": "wrong"}, "fallback").alias("policy"))
+
+
+@query(
+    "o07_missing_hardware",
+    """
+    SELECT f.id, CASE WHEN f.id % 2 = 1 THEN 'hw backend ''nvenc'' unavailable and hw_fallback is false' END AS reason, CASE WHEN f.id % 2 = 1 THEN 'skipped' ELSE 'pending' END AS status,
+      CAST(CASE WHEN f.id % 2 = 1 THEN 1 ELSE 2 + count(t.file_id) FILTER (t.track_type = 'video' AND t.codec <> 'hevc') END AS INTEGER) AS n
+    FROM files f LEFT JOIN tracks t ON t.file_id = f.id GROUP BY f.id
+    """,
+)
+def missing_hardware(spark, d):
+    df = _library(spark, d).withColumn("system", F.create_map(F.lit("hwaccels"), F.when(F.col("id") % 2 == 0, "qsv,nvenc").otherwise("qsv")))
+    phases = [{"name": "a", "operations": [{"verify": "quick"}, {"transcode": "hevc", "of": "video", "hw": "nvenc", "hw_fallback": False}, {"verify": "hash"}]}]
+    return P.evaluate(df, {"phases": phases}).select("id", "reason", "status", F.size("actions").alias("n"))
+
+
+_OFF = "(t.lufs IS NULL OR abs(t.lufs + 24) > 0.5)"
+
+
+@query(
+    "o08_normalize_preset_keeps_first",
+    f"""
+    WITH t AS (SELECT * FROM tracks t WHERE track_type LIKE 'audio%'), k AS (SELECT file_id FROM t WHERE language = 'eng' GROUP BY 1)
+    SELECT file_id AS id, 'remove_track' AS op, stream_index AS track, NULL AS codec, NULL AS target FROM t WHERE language <> 'eng' AND file_id IN (FROM k)
+    UNION ALL SELECT file_id, 'transcode_audio', stream_index, codec, '-24.0' FROM t WHERE language = 'eng' AND {_OFF}
+    """,
+)
+def normalize_preset(spark, d):
+    df = _library(spark, d)
+    actions = P.operation({"normalize": {"preset": "streaming_movies"}, "where": {"lang": ["eng"]}}, df)
+    out = _rows(df, actions)
+    return out.select("id", "op", "track", F.get_json_object("value", "$.codec").alias("codec"), F.get_json_object("value", "$.loudness.target_lufs").alias("target"))
+
+
+@query(
+    "o22_capabilities_of_plans",
+    """
+    WITH v AS (SELECT f.id, f.container, coalesce(bool_or(t.track_type = 'video' AND t.codec <> 'hevc'), false) AS v, coalesce(bool_or(t.track_type LIKE 'audio%' AND t.codec <> 'opus'), false) AS a,
+        count(*) FILTER (t.track_type LIKE 'audio%' AND t.codec <> 'opus') AS n FROM files f LEFT JOIN tracks t ON t.file_id = f.id GROUP BY ALL)
+    SELECT id, CASE WHEN id % 2 = 0 THEN n ELSE 0 END + CASE WHEN container <> 'wmv' THEN 1 ELSE 0 END AS n_warnings,
+      CASE WHEN id % 2 = 0 AND a THEN NULL WHEN id % 2 = 1 AND a THEN 'ffmpeg' WHEN v THEN NULL END AS executor FROM v
+    """,
+)
+def capabilities_of_plans(spark, d):
+    df = _library(spark, d)
+    actions = P.sequence([{"transcode": "hevc", "of": "video"}, {"transcode": "opus", "of": "audio"}, {"container": "wmv"}], df)
+    hevc = ["ffmpeg", "handbrake"]
+    known = F.when(F.col("id") % 2 == 0, P.capabilities(actions, {"hevc": hevc}, ["matroska"])).otherwise(P.capabilities(actions, {"hevc": hevc, "opus": ["ffmpeg"]}, ["matroska"]))
+    return df.select("id", known.alias("c")).select("id", F.size("c.warnings").cast("long").alias("n_warnings"), "c.executor")
+
+
+@query(
+    "c10_c14_tags_and_numbers",
+    """
+    SELECT f.id, 'genre=' || CASE WHEN f.id % 3 = 0 THEN '?' ELSE 'z' END AS genre, 'd=' || CASE WHEN duration = floor(duration) THEN CAST(CAST(duration AS BIGINT) AS VARCHAR) || '.0' ELSE CAST(duration AS VARCHAR) END AS duration,
+      'v=' || coalesce(CASE WHEN f.id % 2 = 0 THEN 'x' END, '?') AS system
+    FROM files f
+    """,
+)
+def tags_and_numbers(spark, d):
+    df = _library(spark, d).withColumn("system", F.create_map(F.lit("hwaccel"), F.when(F.col("id") % 2 == 0, "x")))
+    made = lambda name, path: P.operation({"set_tag": name, "field": path}, df)[0]["value"]
+    return df.select("id", made("genre", "file.genre").alias("genre"), made("d", "file.duration").alias("duration"), made("v", "system.hwaccel").alias("system"))
+
+
+@query(
+    "c13_phase_counts",
+    """
+    WITH v AS (SELECT f.id, f.container, max(t.width) FILTER (t.stream_index = 0) AS w, bool_or(t.codec = 'ttf') AS ttf FROM files f LEFT JOIN tracks t ON t.file_id = f.id GROUP BY ALL)
+    SELECT id, CASE WHEN w IS NULL THEN 'pending' ELSE 'skipped' END AS warned, CASE WHEN container <> 'webm' AND coalesce(ttf, false) THEN 'pending' ELSE 'skipped' END AS failed FROM v
+    """,
+)
+def phase_counts(spark, d):
+    df = _library(spark, d)
+    only = df.withColumn("tracks", F.filter("tracks", lambda t: (t["codec"] == "ttf") | (t["stream_index"] == 0))).withColumn("tracks", F.transform("tracks", lambda t: t.withField("codec", F.when(t["codec"] == "ttf", "ttf").otherwise("vp9"))))
+    phases = [
+        {"name": "a", "on_error": "continue", "operations": [{"set_tag": "w", "field": "video.width"}]}, {"name": "b", "operations": [{"container": "webm"}]},
+        {"name": "warned", "skip_when": {"field": "phase.a.warning_count", "is": ["==", 0]}, "operations": [{"verify": "quick"}]}, {"name": "failed", "skip_when": {"not": {"field": "phase.b.error_count", "is": [">", 0]}}, "operations": [{"verify": "quick"}]},
+    ]
+    out = P.evaluate(only, {"phases": phases}).groupBy("id")
+    return out.agg(*(F.max(F.when(F.col("phase") == p, F.col("status"))).alias(p) for p in ("warned", "failed")))
