@@ -238,5 +238,4 @@ def scene_samples(spark, d):
 @query("e06_sql_functions", "SELECT id, CASE WHEN v >= 2160 THEN '4K+' WHEN v >= 1080 THEN '1080p' WHEN v >= 720 THEN '720p' WHEN v >= 480 THEN 'SD' ELSE 'sub-SD' END AS tier, container = 'mkv' AS is_mkv FROM (SELECT id, container, id % 3000 AS v FROM files)")
 def sql_functions(spark, d):
     S.register(spark)
-    L.files(spark, d).createOrReplaceTempView("_files")
-    return spark.sql("SELECT id, media_resolution_tier(id % 3000, 4000) AS tier, media_extension(path) = 'mkv' AS is_mkv FROM _files")
+    return spark.sql("SELECT id, media_resolution_tier(id % 3000, 4000) AS tier, media_extension(path) = 'mkv' AS is_mkv FROM {files}", files=L.files(spark, d))

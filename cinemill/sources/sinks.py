@@ -8,10 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def report(df: DataFrame, form: str, at: str | None = None):
-    """A report as table text, JSON lines or CSV files; plain is one tab-separated column of the rows."""
+def table_text(df: DataFrame, rows: int) -> str:
+    """The first rows in columns of even width, and how many more there are."""
+    shown = [[("NULL" if x is None else str(x)) for x in r] for r in df.limit(rows).collect()]
+    left = df.count() - len(shown) if len(shown) == rows else 0
+    widths = [max(len(c), *(len(r[i]) for r in shown)) if shown else len(c) for i, c in enumerate(df.columns)]
+    line = lambda cells: " | ".join(c.ljust(w) for c, w in zip(cells, widths)).rstrip()
+    return "\n".join([line(df.columns), "-+-".join("-" * w for w in widths), *map(line, shown), *([f"({left} more)"] if left else [])])
+
+
+def report(df: DataFrame, form: str, at: str | None = None, rows: int = 1000):
+    """A report as table text (of so many rows, with the number of those left out), JSON lines or CSV files; plain is one tab-separated column of the rows."""
     if form == "table":
-        return df._show_string(1000, False)
+        return table_text(df, rows)
     if form == "plain":
         text = df.select(F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns)).alias("value"))
         return text.write.mode("overwrite").text(at)

@@ -79,20 +79,27 @@ def gate_by_root(rows: DataFrame) -> DataFrame:
 def gate_through_tables(folder: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function with gate_by_root's meaning whose waiting rows are a table: (root, path, done) -> folder/out.
 
-    A row leaves in the later of its own batch and the one that marks its root, so a batch that is
+    A row leaves in the later of its own batch and the one that marks its root. A batch reads its own
+    rows and what the batch before it left, the rows that still wait and the roots that are open, and
+    leaves the same for the next, so its cost does not grow with what has passed. A batch that is
     tried again writes the same rows, and a root of any size is dealt out as any join is.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+
+        def left(name: str, schema: str) -> DataFrame:
+            if number == 0:
+                return spark.createDataFrame([], schema)
+            return spark.read.schema(schema).parquet(f"{folder}/{name}/batch={number - 1}")
+
         batch.persist()
-        batch.where("not done").select("root", "path").write.mode("overwrite").parquet(f"{folder}/waiting/batch={number}")
-        batch.where("done").select("root").distinct().write.mode("overwrite").parquet(f"{folder}/done/batch={number}")
+        rows = left("waiting", "root string, path string").unionByName(batch.where("not done").select("root", "path"))
+        opened = left("open", "root string").unionByName(batch.where("done").select("root")).distinct()
+        rows.join(opened, "root", "left_semi").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        rows.join(opened, "root", "left_anti").write.mode("overwrite").parquet(f"{folder}/waiting/batch={number}")
+        opened.write.mode("overwrite").parquet(f"{folder}/open/batch={number}")
         batch.unpersist()
-        rows = spark.read.schema("root string, path string, batch long").parquet(f"{folder}/waiting").where(F.col("batch") <= number)
-        opened = spark.read.schema("root string, batch long").parquet(f"{folder}/done").where(F.col("batch") <= number).groupBy("root").agg(F.min("batch").alias("opened"))
-        due = rows.join(opened, "root").where(F.greatest("batch", "opened") == number)
-        due.select("root", "path").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     return write
 

@@ -84,7 +84,8 @@ def test_sinks_read_back(spark, tmp_path):
     sinks.export_tsv(df, f"{tmp_path}/t")
     assert spark.read.csv(f"{tmp_path}/t", sep="\t", header=True).count() == 2
     assert sorted(json.loads(x)["id"] for x in sinks.json_rows(df)) == [1, 2]
-    assert "name" in sinks.report(df, "table")
+    assert sinks.report(df, "table").splitlines() == ["id | name | destination", "---+------+------------", "1  | x    | NULL", "2  | y    | d"]
+    assert sinks.report(df.orderBy("id"), "table", rows=1).endswith("(1 more)") and len(sinks.report(df.limit(0), "table").splitlines()) == 2
     sinks.compacted(df.repartition(2), f"{tmp_path}/k")
     assert sinks.storage_stats(spark.read.parquet(f"{tmp_path}/k")).first()["files"] >= 1
     assert list(sinks.sections({"a": df, "b": df}, ("b",))) == ["b"] and len(sinks.sections({"a": df})) == 1
@@ -118,6 +119,8 @@ def test_gate_through_tables_releases_each_row_once(spark, tmp_path):
             write(spark.createDataFrame(rows, "root string, path string, done boolean"), n)
     out = spark.read.schema("root string, path string, batch long").parquet(f"file://{tmp_path}/gate/out").collect()
     assert sorted((r.batch, r.path) for r in out) == [(1, "a/1"), (1, "a/2"), (2, "a/3"), (3, "b/1"), (3, "b/2")]
+    left = spark.read.schema("root string, path string, batch long").parquet(f"file://{tmp_path}/gate/waiting").groupBy("batch").count().collect()
+    assert {r.batch: r["count"] for r in left} == {0: 2, 1: 1, 2: 2}  # only what waits is carried on
 
 
 def test_snapshot_follows_lifecycle_events_only(spark, tmp_path):
