@@ -101,11 +101,11 @@ def error_files(spark, d):
 
 @query(
     "j17_d19_u06_lineage",
-    "WITH RECURSIVE chain AS (SELECT id AS root, id, 0 AS hop FROM files WHERE id % 11 = 5 UNION ALL SELECT c.root, f.id, c.hop + 1 FROM chain c JOIN files f ON f.superseded_by = c.id WHERE c.hop < 49 AND f.id <> c.root) SELECT root, id, hop FROM chain",
+    "WITH RECURSIVE chain AS (SELECT id AS root, id, 0 AS hop FROM files UNION ALL SELECT c.root, f.id, c.hop + 1 FROM chain c JOIN files f ON f.superseded_by = c.id WHERE c.hop < 49 AND f.id <> c.root) SELECT root, id, hop FROM chain",
 )
 def lineage(spark, d):
     files = L.files(spark, d)
-    return H.lineage(files, files.where("id % 11 = 5"))
+    return H.lineage(files, files)
 
 
 @query(
@@ -193,7 +193,7 @@ def breakdowns(spark, d):
     return sets.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_out").alias("bytes_out"), F.sum("time_ms").alias("time_ms"))
 
 
-_BENCH = "b AS (SELECT *, 1000000 + id * 100 AS input_bytes, CAST(round((1000000 + id * 100) * output_size_ratio) AS BIGINT) AS output_bytes, 100000000 + id * 1000 AS pixels, CAST(round((100000000 + id * 1000) / pixels_per_second * 1000) AS BIGINT) + fixed_overhead_ms AS elapsed_ms FROM samples WHERE id % 7 = 0)"
+_BENCH = "b AS (SELECT *, 1000000 + id * 100 AS input_bytes, CAST(round((1000000 + id * 100) * output_size_ratio) AS BIGINT) AS output_bytes, 100000000 + id * 1000 AS pixels, CAST(round((100000000 + id * 1000) / pixels_per_second * 1000) AS BIGINT) + fixed_overhead_ms AS elapsed_ms FROM samples)"
 _ERROR = "CASE WHEN {a} <= 0 THEN 0 ELSE abs({e} - {a}) / {a} END"
 
 
@@ -207,7 +207,7 @@ _ERROR = "CASE WHEN {a} <= 0 THEN 0 ELSE abs({e} - {a}) / {a} END"
 )
 def calibration_report(spark, d):
     size, pixels = 1_000_000 + F.col("id") * 100, 100_000_000 + F.col("id") * 1000
-    bench = L.samples(spark, d).where("id % 7 = 0").select(
+    bench = L.samples(spark, d).select(
         "*", size.alias("input_bytes"), F.round(size * F.col("output_size_ratio")).cast("long").alias("output_bytes"), pixels.alias("pixels"),
         (F.round(pixels / F.col("pixels_per_second") * 1000).cast("long") + F.col("fixed_overhead_ms")).alias("elapsed_ms"),
     )
