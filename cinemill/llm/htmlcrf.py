@@ -1,8 +1,8 @@
 """Main text of web pages: a linear-chain conditional random field over the DOM's leaf blocks.
 
 A page is read into leaf blocks: the texts between starts and ends of block elements, each with its
-open ancestors. Features are ancestor tags, words of ancestors' class and id, and the block's own
-shape. The field has two labels, article and other; it is trained on labelled pages by gradient
+open ancestors. Features are ancestor tags, words and telling parts of ancestors' class and id, and the
+block's own shape and its neighbours'. The field has two labels, article and other; it is trained on labelled pages by gradient
 ascent on the likelihood, and the best labelling of a page is found by Viterbi's algorithm. Script,
 style, head and other unseen text never becomes a block.
 
@@ -29,6 +29,13 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 LETTERS = re.compile(r"[a-z]+")
+#: What stands between links in a row.
+BETWEEN = re.compile(r"[\s|·›»•/]+")
+#: Parts of class names and ids that tell what an element is for, also inside longer words.
+CUES = (
+    "nav menu foot head side rail comment reply disqus cookie consent gdpr privacy overlay popup modal advert sponsor promo banner share social relat recommend widget crumb login search subscri newsletter "
+    "content article post story entry body text main"
+).split()
 UNSEEN = frozenset("script style noscript template head title svg iframe object".split())
 RAW = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,7 +84,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             raw = htmllib.unescape(raw) if "&" in raw else raw
             held.append(raw)
             if links:
-                linked += len(raw.strip())
+                linked += len(BETWEEN.sub("", raw))
 
     end = len(page)
     while at < end:
@@ -134,18 +141,33 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     return out
 
 
-def features(block: tuple[str, tuple[str, ...], int], k: int, n: int) -> list[str]:
-    text, marks, linked = block
-    words = text.count(" ") + 1
-    share = linked / len(text)
-    out = [*marks, f"words:{min(words.bit_length(), 7)}", f"links:{min(int(share * 4), 3) if share < 0.99 else 4}"]
+def _size(text: str) -> int:
+    return min((text.count(" ") + 1).bit_length(), 7)
+
+
+def _linked(block: tuple[str, tuple[str, ...], int]) -> int:
+    share = block[2] / max(1, len(BETWEEN.sub("", block[0])))
+    return min(int(share * 4), 3) if share < 0.99 else 4
+
+
+def features(blocks: list[tuple[str, tuple[str, ...], int]], k: int) -> list[str]:
+    """Features of the k-th block: its ancestors, its own shape, and its neighbours'."""
+    text, marks, _ = block = blocks[k]
+    out = [*marks, f"words:{_size(text)}", f"links:{_linked(block)}", f"commas:{min(text.count(','), 3)}"]
     out.append("stop" if text[-1] in ".!?:…" else "open")
+    out += [f"cue:{c}" for c in CUES if any(c in m for m in marks)]
+    if text[-1] in ".!?…" and _size(text) > 3:
+        out.append("sentence")
     if "©" in text or "copyright" in text[:200].lower():
         out.append("copyright")
-    if k == 0:
-        out.append("first")
-    if k == n - 1:
-        out.append("last")
+    for name, at in (("before", k - 1), ("after", k + 1)):
+        if 0 <= at < len(blocks):
+            there = blocks[at]
+            out += [f"{name}:words:{_size(there[0])}", f"{name}:links:{_linked(there)}"]
+            if there[1] == marks:
+                out.append(f"{name}:same")
+        else:
+            out.append("first" if at < 0 else "last")
     if not any(m in ("article", "main") for m in marks):
         out.append("outside")
     return out
@@ -234,14 +256,14 @@ def tagger(pages: list[tuple[str, list[tuple[str, int]]]]) -> ChainField:
     for page, labels in pages:
         blocks = leaf_blocks(page)
         if len(blocks) == len(labels) and blocks:
-            xs.append([features(b, k, len(blocks)) for k, b in enumerate(blocks)])
+            xs.append([features(blocks, k) for k in range(len(blocks))])
             ys.append([y for _, y in labels])
     return ChainField().fit(xs, ys)
 
 
 def main_text(page: str, field: ChainField) -> str:
     blocks = leaf_blocks(page)
-    labels = field.decode([features(b, k, len(blocks)) for k, b in enumerate(blocks)])
+    labels = field.decode([features(blocks, k) for k in range(len(blocks))])
     return "\n".join(b[0] for b, y in zip(blocks, labels) if y)
 
 

@@ -511,7 +511,7 @@ def test_pages_training_accuracy_and_null_html(spark):
     for page, labels in labelled_pages(80, seed=77):
         blocks = htmlcrf.leaf_blocks(page)
         assert [b[0] for b in blocks] == [" ".join(t.split()) for t, _ in labels]
-        got = field.decode([htmlcrf.features(b, k, len(blocks)) for k, b in enumerate(blocks)])
+        got = field.decode([htmlcrf.features(blocks, k) for k in range(len(blocks))])
         right += sum(a == b for a, (_, b) in zip(got, labels))
         total += len(labels)
     assert right / total > 0.98
