@@ -361,8 +361,10 @@ def _candidates(members: DataFrame, rows: int) -> DataFrame:
         found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
+    # keys of one passage have the same head and nearly the same members: in one shard they give a pair once
     shards = parts_for(rows, 20_000, 64)
-    return members.withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(shards))).groupBy("shard").applyInPandas(run, "a long, b long").distinct()
+    block = (F.least("mine", "other"), F.greatest("mine", "other"))
+    return members.withColumn("shard", F.pmod(F.xxhash64("head", *block), F.lit(shards))).groupBy("shard").applyInPandas(run, "a long, b long").distinct()
 
 
 def _blocks(members: DataFrame, hot: int) -> DataFrame:
@@ -390,8 +392,8 @@ def copy_groups(df: DataFrame, words: int = 5, hot: int = HOT, radius: int = 3)
 
     Candidates come from the BK-trees over the texts' SimHash fingerprints, and, as no radius of a
     SimHash holds all links of 0.8, from their rarest shingles. First every text is held against one
-    text, the smallest head of its keys, which joins nearly all of a group; then against those heads
-    of its keys that are in other components; then, under keys that still hold several components,
+    text, the smallest head of its keys, which joins nearly all of a group; then against the smallest
+    of those heads that are in other components; then, under keys that still hold several components,
     against each text of the others. All are decided by the shingles themselves.
 
     Null text is empty and wordless texts are one group; a null id names no group unless it has no other.
@@ -418,9 +420,10 @@ def copy_groups(df: DataFrame, words: int = 5, hot: int = HOT, radius: int = 3)
     roots = stage(components(links), "roots")
     ends = shared.where("node <> head").select("node", "head").distinct().join(roots, "node", "left").withColumn("own", F.coalesce("root", "node")).drop("root")
     ends = ends.join(roots.select(F.col("node").alias("head"), "root"), "head", "left").where(F.col("own") != F.coalesce("root", "head"))
-    second = stage(ends.select(F.col("head").alias("a"), F.col("node").alias("b")).join(tried, ["a", "b"], "left_anti"), "second")
+    second = ends.select(F.col("head").alias("a"), F.col("node").alias("b")).join(tried, ["a", "b"], "left_anti")
+    second = stage(second.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "second")
     links = stage(links.unionByName(_alike(texts, nodes, second, words)), "alike")
-    rooted = shared.where("size > 2").join(components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = shared.where("size > 2").join(components(links), "node", "left").select("key", "head", "node", "size", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = stage(rooted.join(several, "key"), "rest")
     members = _blocks(rest.join(nodes.select("node", "n", "cells"), "node"), hot)
