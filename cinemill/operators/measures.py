@@ -18,6 +18,10 @@ BACKEND_NAMES = {"cuda": "nvenc", "nvdec": "nvenc", "nvenc": "nvenc", "qsv": "qs
 VIDEO_FILE = r"[^\s/\\\"',;()\[\]{}<>]+\.(?:mkv|mp4|avi|mov|webm|m4v|ts)\b"
 SECRET = r"(?i)\b(?:[a-z0-9_-]*(?:api[_-]?key|token|secret|password))[=:](\S+)"
 
+SECRET_KEY = r"(?i)(?:api[_-]?key|token|secret|password)"
+#: A text of a JSON document.
+TOKEN = r'"(?:[^"\\]|\\.)*+"'
+
 
 def _up_even(x: Column) -> Column:
     return x + x % 2
@@ -222,20 +226,59 @@ def violations(metadata: Column) -> Column:
     return F.when(text.isNull(), None).when(bad, F.raise_error(F.concat(F.lit("malformed safeguard_violations: "), text))).otherwise(found)
 
 
-def redacted_reports(rows: DataFrame) -> DataFrame:
-    """(report, line, text): video file names become video000.mkv and so on, secrets secret000, numbered within a report in the order first met; longer originals are replaced first.
+def _met(kind: str, text: Column, pattern: str, group: int) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("was")))
+
+
+def _placeholders(met: DataFrame) -> DataFrame:
+    """(report, puts array<struct<size, was, put>>): what stands for each secret and video file name met, numbered within a report, the longest first.
 
-    rows: (report, line, text). A report is what one person sends, so its numbering is a window of its own.
+    met: (report, line, pos, m struct<kind, was>). A report is what one person sends, so its numbering is a window of its own.
     """
-    name = lambda kind, c, group: F.transform(F.regexp_extract_all("text", F.lit(c), F.lit(group)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("was")))
-    met = rows.select("report", "line", F.posexplode(F.concat(name("secret", SECRET, 1), name("video", VIDEO_FILE, 0))).alias("pos", "m"))
     first = met.groupBy("report", "m.was").agg(F.min(F.struct(F.col("m.kind").alias("kind"), "line", "pos")).alias("x")).select("report", "was", "x.*")
     number = F.row_number().over(W.partitionBy("report", "kind").orderBy("line", "pos")) - 1
     ext = F.concat(F.lit("."), F.regexp_extract("was", r"\.([^.]+)$", 1))
     put = F.concat(F.col("kind"), F.lpad(number.cast("string"), 3, "0"), F.when(F.col("kind") == "video", ext).otherwise(""))
-    maps = first.select("report", F.struct((-F.length("was")).alias("size"), "was", put.alias("put")).alias("e")).groupBy("report").agg(F.array_sort(F.collect_list("e")).alias("puts"))
-    text = F.aggregate(F.coalesce("puts", F.array().cast("array<struct<size:int,was:string,put:string>>")), F.col("text"), lambda acc, e: F.replace(acc, e["was"], e["put"]))
-    return rows.join(maps, "report", "left").select("report", "line", text.alias("text"))
+    return first.where("was <> ''").select("report", F.struct((-F.length("was")).alias("size"), "was", put.alias("put")).alias("e")).groupBy("report").agg(F.array_sort(F.collect_list("e")).alias("puts"))
+
+
+def _put(text: Column) -> Column:
+    return F.aggregate(F.coalesce("puts", F.array().cast("array<struct<size:int,was:string,put:string>>")), text, lambda acc, e: F.replace(acc, e["was"], e["put"]))
+
+
+def redacted_reports(rows: DataFrame) -> DataFrame:
+    """(report, line, text): video file names become video000.mkv and so on, secrets secret000, numbered within a report in the order first met; longer originals are replaced first.
+
+    rows: (report, line, text).
+    """
+    met = rows.select("report", "line", F.posexplode(F.concat(_met("secret", F.col("text"), SECRET, 1), _met("video", F.col("text"), VIDEO_FILE, 0))).alias("pos", "m"))
+    return rows.join(_placeholders(met), "report", "left").select("report", "line", _put(F.col("text")).alias("text"))
+
+
+def redacted_documents(rows: DataFrame) -> DataFrame:
+    """(report, line, document): JSON documents whose texts, at any depth, are redacted as redacted_reports() does; keys stay.
+
+    rows: (report, line, document). The text under a key that means a secret is a secret as a whole.
+    Numbers, booleans and nulls stay; keys come out in order, as JSON is parsed; a malformed document
+    becomes NULL. The document's text tokens are cut out and put back, so depth does not matter.
+    """
+    df = rows.select("report", "line", F.to_json(F.try_parse_json("document")).alias("j"))
+    df = df.withColumn("tokens", F.regexp_extract_all("j", F.lit(TOKEN), F.lit(0))).withColumn("gaps", F.split("j", TOKEN, -1))
+    at = lambda c, i: F.try_element_at(c, i)
+    key = lambda i: F.coalesce(F.startswith(at("gaps", i + 1), F.lit(":")), F.lit(False))
+    order = F.when(F.size("tokens") > 0, F.sequence(F.lit(1), F.size("tokens"))).otherwise(F.array().cast("array<int>"))
+    inner = lambda i: F.substring(at("tokens", i), F.lit(2), F.length(at("tokens", i)) - 2)
+    secret = lambda i: F.coalesce((i > 1) & (at("gaps", i) == ":") & at("tokens", F.greatest(i - 1, F.lit(1))).rlike(SECRET_KEY), F.lit(False))
+
+    def found(i: Column) -> Column:
+        text = inner(i)
+        whole = F.array(F.struct(F.lit("secret").alias("kind"), text.alias("was")))
+        return F.when(key(i), F.array().cast("array<struct<kind:string,was:string>>")).when(secret(i), whole).otherwise(F.concat(_met("secret", text, SECRET, 1), _met("video", text, VIDEO_FILE, 0)))
+
+    met = df.select("report", "line", F.posexplode(F.flatten(F.transform(order, found))).alias("pos", "m"))
+    df = df.join(_placeholders(met), "report", "left")
+    back = F.transform(order, lambda i: F.concat(at("gaps", i), F.when(key(i), at("tokens", i)).otherwise(_put(at("tokens", i)))))
+    return df.select("report", "line", F.concat(F.array_join(back, ""), F.element_at("gaps", -1)).alias("document"))
 
 
 def sample_plan(duration: Column, starts: Column, count: int, length: int) -> Column:

@@ -214,6 +214,27 @@ def numbered_redaction(spark, d):
     return X.redacted_reports(L.read(spark, d, "events").select(F.col("user_id").alias("report"), e.alias("line"), text.alias("text")))
 
 
+@query(
+    "f26_redacted_documents",
+    """
+    WITH r AS (SELECT user_id AS report, event_id AS line, event_id % 6 AS a, event_id % 4 AS b FROM events),
+    m AS (
+      SELECT report, line, 0 AS pos, 'video' AS kind, 'm' || a || '.mkv' AS was FROM r UNION ALL SELECT report, line, 1, 'secret', 'k' || b || 'z' FROM r
+      UNION ALL SELECT report, line, 2, 'secret', 'p' || a || 'q' FROM r UNION ALL SELECT report, line, 3, 'video', 'm' || a || '0.mp4' FROM r),
+    f AS (SELECT report, kind, was, min(line) AS line, arg_min(pos, line) AS pos FROM m GROUP BY 1, 2, 3),
+    n AS (SELECT *, kind || format('{:03d}', row_number() OVER (PARTITION BY report, kind ORDER BY line, pos) - 1) || CASE kind WHEN 'video' THEN '.' || split_part(was, '.', 2) ELSE '' END AS put FROM f)
+    SELECT r.report, r.line, '{"a":{"file":"at ' || v.put || ' now","n":[1,"api_key=' || s.put || '",null]},"m0.mkv":true,"token":"' || t.put || '","z":"' || w.put || '"}' AS document
+    FROM r JOIN n v ON v.report = r.report AND v.was = 'm' || r.a || '.mkv' JOIN n s ON s.report = r.report AND s.was = 'k' || r.b || 'z'
+    JOIN n t ON t.report = r.report AND t.was = 'p' || r.a || 'q' JOIN n w ON w.report = r.report AND w.was = 'm' || r.a || '0.mp4'
+    """,
+)
+def redacted_documents(spark, d):
+    e = F.col("event_id")
+    a, b = (e % 6).cast("string"), (e % 4).cast("string")
+    text = F.format_string('{"z": "m%s0.mp4", "token": "p%sq", "a": {"n": [1, "api_key=k%sz", null], "file": "at m%s.mkv now"}, "m0.mkv": true}', a, a, b, a)
+    return X.redacted_documents(L.read(spark, d, "events").select(F.col("user_id").alias("report"), e.alias("line"), text.alias("document")))
+
+
 _PLAN = "CASE WHEN duration <= {n} * 10 THEN 1 ELSE len(list_filter({starts}[1:{n}], lambda t: t < duration)) END AS n, CASE WHEN duration <= {n} * 10 THEN duration ELSE list_sum(list_transform(list_filter({starts}[1:{n}], lambda t: t < duration), lambda t: least(10::DOUBLE, duration - t))) END AS total"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinemill.plans import policy as P
+from cinemill.plans import settings as S
 from cinemill.plans.registry import query
 from cinemill.sources import library as L
 
@@ -328,3 +329,39 @@ def phase_counts(spark, d):
     ]
     out = P.evaluate(only, {"phases": phases}).groupBy("id")
     return out.agg(*(F.max(F.when(F.col("phase") == p, F.col("status"))).alias(p) for p in ("warned", "failed")))
+
+
+#: Settings of rules by the remainder of their file's id, with what is wrong with each (found by hand).
+SETTINGS = [
+    ("video", "hevc", '{"crf": 20, "preset": "slow", "hw": "auto", "hw_fallback": true, "target_vmaf": 95, "min_bitrate": "500k", "max_bitrate": "8M"}', []),
+    ("video", "aac", '{"crf": 20}', [("error", "codec", 'codec "aac" is an audio codec but target is video')]),
+    ("audio", "h264", '{"bitrate": "192k", "crop": "auto"}', [("error", "codec", 'codec "h264" is a video codec but target is audio'), ("error", "crop", "crop is only valid for video transcodes, not audio")]),
+    ("video", "av1", '{"hw_fallback": true, "speed": 4}', [("error", "hw_fallback", "hw_fallback has no effect without hw"), ("error", "speed", 'unknown transcode setting "speed"')]),
+    ("video", "av1", '{"hw": "cuda"}', [("error", "hw", 'invalid hw "cuda", expected one of: auto, nvenc, qsv, vaapi, videotoolbox, none')]),
+    ("video", "av1", '{"max_resolution": 1080, "preserve_hdr": "yes"}', [("error", "max_resolution", 'invalid max_resolution "1080", expected one of: 480p, 720p, 1080p, 1440p, 2160p, 4k, 8k'), ("error", "preserve_hdr", "preserve_hdr must be true or false")]),
+    ("video", "av1", '{"crop_threshold": 300, "crop_sample_count": 0}', [
+        ("error", "crop_threshold", "crop_threshold has no effect without crop: auto"), ("error", "crop_threshold", "crop_threshold must be from 0 to 255"),
+        ("error", "crop_sample_count", "crop_sample_count has no effect without crop: auto"), ("error", "crop_sample_count", "crop_sample_count must be greater than 0")]),
+    ("video", "av1", '{"crop": "auto", "crop_minimum": "x", "crop_aspect_lock": ["16/9", "4/0", 3]}', [
+        ("error", "crop_minimum", "crop_minimum must be an integer"), ("error", "crop_aspect_lock", 'invalid crop_aspect_lock ratio "4/0", expected WIDTH/HEIGHT'), ("error", "crop_aspect_lock", 'invalid crop_aspect_lock ratio "3", expected WIDTH/HEIGHT')]),
+    ("video", "av1", '{"target_vmaf": 59, "target_vmaf_when content.anime": 70, "target_vmaf_when genre": "x"}', [
+        ("error", "target_vmaf", "target_vmaf must be from 60 to 100"), ("warning", "target_vmaf_when content.anime", "target_vmaf_when value 70 is outside the typical 80-99 range"),
+        ("error", "target_vmaf_when genre", "target_vmaf_when requires a content.<type> path"), ("error", "target_vmaf_when genre", "target_vmaf_when must be an integer from 60 to 100")]),
+    ("video", "av1", '{"min_bitrate": "2M", "max_bitrate": "1999k"}', [("error", "min_bitrate", "min_bitrate must be less than or equal to max_bitrate")]),
+    ("video", "av1", '{"min_bitrate": "2 M", "max_bitrate": "99999999999999999999G"}', [("error", "min_bitrate", 'min_bitrate has invalid bitrate "2 M"'), ("error", "max_bitrate", 'max_bitrate has invalid bitrate "99999999999999999999G"')]),
+    ("video", "av1", '{"sample_strategy": {"scenes": {"count": "a"}}, "fallback": {"crf": 60}}', [
+        ("error", "sample_strategy", "scenes sample_strategy requires integer count"), ("error", "sample_strategy", "scenes sample_strategy requires duration"), ("error", "fallback", "fallback.crf must be from 0 to 51"), ("error", "fallback", "fallback requires preset")]),
+    ("video", "av1", '{"sample_strategy": "some", "fallback": 5}', [("error", "sample_strategy", "sample_strategy must be full, scenes(count, duration) or uniform(count, duration)"), ("error", "fallback", "fallback must be a nested block")]),
+    ("video", "av1", '{"sample_strategy": {"uniform": {"count": 3, "duration": "10s"}}, "fallback": {"crf": 20, "preset": "slow"}, "crop": "auto", "crop_aspect_lock": ["16/9"]}', []),
+    ("video", "unheard", '{"crop": "manual"}', [("error", "crop", "crop must be auto")]),
+    ("audio", "opus", '[1]', [("error", "", "settings are no JSON object")]),
+    ("video", "av1", '{"' + "k" * 65 + '": 1}', [("error", "k" * 65, 'transcode setting key too long: "' + "k" * 65 + '"')]),
+]
+_EXPECTED = ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in (k, *p)) + ")" for k, (*_, problems) in enumerate(SETTINGS) for p in problems)
+
+
+@query("l12_settings_problems", f"SELECT f.id AS rule, level, key, problem FROM files f JOIN (VALUES {_EXPECTED}) AS e(kind, level, key, problem) ON f.id % {len(SETTINGS)} = e.kind")
+def settings_problems(spark, d):
+    k = F.col("id")
+    pick = lambda i: L.pick([s[i] for s in SETTINGS], k)
+    return S.settings_problems(L.files(spark, d).select(k.alias("rule"), pick(0).alias("target"), pick(1).alias("codec"), pick(2).alias("settings")))

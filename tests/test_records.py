@@ -145,3 +145,18 @@ def test_nesting_takes_one_shuffle(spark):
     assert sorted((r.id, r.name, [tuple(x) for x in r.one], [tuple(x) for x in r.two]) for r in df.collect()) == [(1, "a", [(1, "x"), (2, "y")], []), (2, "b", [], [(5, 0.5)])]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_redaction_inside_documents(spark):
+    from cinemill.operators.measures import redacted_documents
+
+    rows = [
+        (1, 1, '{"path": "/m/My Film.mkv", "note": "see a.mkv, then \\"a.mkv\\" and b.mp4", "deep": [[{"password": "hunter2 and more", "a.mkv": [1.5, true, null, "hunter2 and more"]}]]}'),
+        (1, 2, '["b.mp4", ":", "x"]'), (1, 3, "7"), (1, 4, "{broken"), (2, 1, '{"t": "token=abc", "secret": 5, "apiKey": ""}'), (2, 2, None),
+    ]
+    got = {(r.report, r.line): r.document for r in redacted_documents(spark.createDataFrame(rows, "report int, line int, document string")).collect()}
+    deep = [[{"password": "secret000", "a.mkv": [1.5, True, None, "secret000"]}]]
+    assert json.loads(got[1, 1]) == {"path": "/m/My video002.mkv", "note": 'see video000.mkv, then "video000.mkv" and video001.mp4', "deep": deep}
+    assert "hunter2" not in got[1, 1] and '"a.mkv":' in got[1, 1] and got[1, 1].count("a.mkv") == 1
+    assert json.loads(got[1, 2])[1:] == [":", "x"] and "b.mp4" not in got[1, 2] and got[1, 3] == "7" and got[1, 4] is None
+    assert json.loads(got[2, 1]) == {"t": "token=secret000", "secret": 5, "apiKey": ""} and got[2, 2] is None
