@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+def stage(df: DataFrame, label: str = "stage", parts: int | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends there, and a lost
-    executor costs no recomputation of what lies before it."""
+    executor costs no recomputation of what lies before it. With parts, in so many files at most."""
     spark = df.sparkSession
+    df = df if parts is None else df.coalesce(parts)
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Have what is run in here hand over so many rows at once to Python; wide rows by the ten thousand take much memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete the files of tables made by stage() that no later action reads."""
     for df in staged:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinemill.llm.common import discard, doc_text, parts_for, release, stage, table
+from cinemill.llm.common import arrow_rows, discard, doc_text, parts_for, release, stage, table
 from cinemill.llm.graph import components
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -208,9 +208,9 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, hot: int = H
 SHARE_NUM, SHARE_DEN = 4, 5
 SAMPLE, COMMON = 8192, 100_000
 #: Shingles that meet in one cell of a text's counts, on average, in the coarse and the fine counts.
-COARSE, FINE = 4, 1
-#: Texts whose results a Python worker hands over at once.
-PART = 256
+COARSE, FINE = 4, 2
+#: Texts whose results a Python worker hands over at once, and texts a file of the tables in between.
+PART, PER_FILE = 256, 5_000
 
 
 def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
@@ -233,7 +233,7 @@ def _cells(grams: np.ndarray, share: int) -> bytes:
     them. Counts of twice as many cells, their halves added, are counts too: texts of nearly the same
     length can be compared.
     """
-    cells = 1 << min(13, max(5, (max(1, len(grams)) // share).bit_length()))
+    cells = 1 << min(12, max(5, (max(1, len(grams)) // share).bit_length()))
     return np.minimum(np.bincount(grams & (cells - 1), minlength=cells), 255).astype(np.uint8).tobytes()
 
 
@@ -300,7 +300,7 @@ def _prints(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, fp long, node long, n long, keys array<long>, cells binary, fine binary")
 
 
-def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, parts: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose shingles' Jaccard is 0.8 or more, by the shingles themselves."""
     ends = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"c{x}")) for x in "ab"]
     pairs = pairs.join(ends[0], "a").join(ends[1], "b").where(F.least("na", "nb") * SHARE_DEN >= F.greatest("na", "nb") * SHARE_NUM)
@@ -311,7 +311,7 @@ def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) ->
             both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             yield batch.filter(pa.array(unlike * (SHARE_NUM + SHARE_DEN) <= both * (SHARE_DEN - SHARE_NUM))).select(["a", "b", "na", "nb"])
 
-    pairs = stage(pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(may_be, "a long, b long, na long, nb long"), "pairs")
+    pairs = stage(pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(may_be, "a long, b long, na long, nb long"), "pairs", parts)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("_d"), F.col("th").alias("_h"))
     held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left_semi")
@@ -322,7 +322,7 @@ def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) ->
                 grams = [shingle_hashes(x.as_py(), words) for x in batch.column(0).slice(lo, 128)]
                 yield pa.RecordBatch.from_arrays([pa.array(map(_node, grams), pa.int64()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    sets = stage(held.select("text").mapInArrow(run, "node long, grams array<long>"), "sets").dropDuplicates(["node"])
+    sets = stage(held.select("text").mapInArrow(run, "node long, grams array<long>"), "sets", parts).dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.where(shared * SHARE_DEN >= (F.col("na") + F.col("nb") - shared) * SHARE_NUM).select("a", "b")
@@ -388,50 +388,50 @@ def _by_fingerprint(nodes: DataFrame, radius: int, hot: int) -> DataFrame:
 
 
 def copy_groups(df: DataFrame, words: int = 5, hot: int = HOT, radius: int = 3) -> DataFrame:
+    """_copy_groups() with few rows at once in Python, as texts and counts by cell are wide."""
+    with arrow_rows(df.sparkSession, 1000):
+        return _copy_groups(df, words, hot, radius)
+
+
+def _copy_groups(df: DataFrame, words: int, hot: int, radius: int) -> DataFrame:
     """(doc_id, th, root) of every row: root is the same for texts linked by exact Jaccard of 0.8 or more.
 
     Candidates come from the BK-trees over the texts' SimHash fingerprints, and, as no radius of a
     SimHash holds all links of 0.8, from their rarest shingles. First every text is held against one
-    text, the smallest head of its keys, which joins nearly all of a group; then against the smallest
-    of those heads that are in other components; then, under keys that still hold several components,
-    against each text of the others. All are decided by the shingles themselves.
+    text, the smallest head of its keys, which joins nearly all of a group; then, under keys that still
+    hold several components, against each text of the others. All are decided by the shingles themselves.
 
     Null text is empty and wordless texts are one group; a null id names no group unless it has no other.
     """
     texts = doc_text(df).withColumn("th", F.xxhash64("text"))
     prints = stage(_prints(texts, words), "prints")
+    parts = parts_for(prints.count(), PER_FILE)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("least")
     firsts = prints.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("fp", "n", "keys", "cells", "fine")))
-    firsts = stage(firsts.select("node", F.col("least.doc_id").alias("least"), F.col("least.th").alias("th"), "fp", "n", "keys", "cells", "fine"), "firsts")
+    firsts = stage(firsts.select("node", F.col("least.doc_id").alias("least"), F.col("least.th").alias("th"), "fp", "n", "keys", "cells", "fine"), "firsts", parts)
     docs = stage(prints.select("doc_id", "th", "node"), "rows")
     discard(prints)
     release(df.sparkSession)
     keyed = firsts.select("node", F.explode("keys").alias("key"))
-    heads = stage(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1"), "heads")
+    heads = stage(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1"), "heads", parts)
     release(df.sparkSession)
-    shared = stage(keyed.join(heads, "key"), "shared")
-    nodes = stage(firsts.drop("keys"), "nodes")
+    shared = stage(keyed.join(heads, "key"), "shared", parts)
+    nodes = stage(firsts.drop("keys"), "nodes", parts)
     discard(firsts, heads)
     release(df.sparkSession)
     star = shared.where("node <> head").groupBy("node").agg(F.min("head").alias("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
     near = _by_fingerprint(nodes, radius, hot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = stage(star.unionByName(near).distinct(), "tried")
-    links = stage(_alike(texts, nodes, tried, words), "alike")
-    roots = stage(components(links), "roots")
-    ends = shared.where("node <> head").select("node", "head").distinct().join(roots, "node", "left").withColumn("own", F.coalesce("root", "node")).drop("root")
-    ends = ends.join(roots.select(F.col("node").alias("head"), "root"), "head", "left").where(F.col("own") != F.coalesce("root", "head"))
-    second = ends.select(F.col("head").alias("a"), F.col("node").alias("b")).join(tried, ["a", "b"], "left_anti")
-    second = stage(second.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "second")
-    links = stage(links.unionByName(_alike(texts, nodes, second, words)), "alike")
-    rooted = shared.where("size > 2").join(components(links), "node", "left").select("key", "head", "node", "size", F.coalesce("root", "node").alias("root"))
+    tried = stage(star.unionByName(near).distinct(), "tried", parts)
+    links = stage(_alike(texts, nodes, tried, words, parts), "alike", parts)
+    rooted = shared.join(components(links, parts=parts), "node", "left").select("key", "head", "node", "size", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = stage(rooted.join(several, "key"), "rest")
+    rest = stage(rooted.join(several, "key"), "rest", parts)
     members = _blocks(rest.join(nodes.select("node", "n", "cells"), "node"), hot)
     rows = rest.agg(F.coalesce(F.sum(F.ceil(F.col("size") / hot)), F.lit(0))).first()[0]
-    more = _candidates(members, rows).join(tried.unionByName(second), ["a", "b"], "left_anti")
-    links = links.unionByName(_alike(texts, nodes, more, words))
-    roots = components(links)
-    discard(shared, tried, second, rest)
+    more = _candidates(members, rows).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(_alike(texts, nodes, more, words, parts))
+    roots = components(links, parts=parts)
+    discard(shared, tried, rest)
     release(df.sparkSession)
     return docs.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
