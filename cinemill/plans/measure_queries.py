@@ -99,7 +99,7 @@ def batch(spark, d):
     r AS (
       SELECT batch, count(*) FILTER (state = 'completed') AS completed,
         sum(seconds) FILTER (state = 'completed' OR p > 0) / sum(CASE WHEN state = 'completed' THEN weight ELSE weight * least(p, 0.98::DOUBLE) END) FILTER (state = 'completed' OR p > 0) AS rate FROM j GROUP BY 1),
-    g AS (SELECT j.*, rate, coalesce(least(p, 0.98::DOUBLE), least(seconds / (weight * rate), 0.98::DOUBLE)) AS done FROM j JOIN r USING (batch) WHERE state <> 'completed'),
+    g AS (SELECT j.*, rate, least(CASE WHEN p IS NULL THEN seconds / (weight * rate) ELSE p END, 0.98::DOUBLE) AS done FROM j JOIN r USING (batch) WHERE state <> 'completed'),
     l AS (
       SELECT batch, state, CASE WHEN state = 'queued' THEN weight ELSE weight * (1 - done) END AS w,
         CASE WHEN state = 'queued' THEN weight * rate WHEN done > 0 THEN greatest(greatest(seconds / done, weight * rate, seconds) - seconds, 0) ELSE greatest(weight * rate - seconds, 0) END AS x FROM g),
