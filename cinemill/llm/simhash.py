@@ -328,10 +328,11 @@ def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, par
     return both.where(shared * SHARE_DEN >= (F.col("na") + F.col("nb") - shared) * SHARE_NUM).select("a", "b")
 
 
-def _candidates(members: DataFrame, rows: int) -> DataFrame:
+def _candidates(members: DataFrame, rows: int, best: bool = False) -> DataFrame:
     """Pairs (a, b) of each group (part) of members (node, root, n, cells) under different roots that may be alike.
 
-    Where a group holds both sides 0 and 1, only pairs of one of each are compared.
+    Where a group holds both sides 0 and 1, only pairs of one of each are compared. With best, only
+    each node's pair that looks most alike.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -339,7 +340,7 @@ def _candidates(members: DataFrame, rows: int) -> DataFrame:
         part, node, root, n, side = (pdf[c].to_numpy() for c in ("part", "node", "root", "n", "side"))
         cells = pdf["cells"].to_numpy()
         cuts = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(part)]])
-        found = [np.zeros((0, 2), dtype=np.int64)]
+        found, unlike = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0)]
         for begin, end in zip(cuts[:-1], cuts[1:]):
             whole = side[begin:end].min() == side[begin:end].max()
             last = begin + np.searchsorted(n[begin:end], n[begin:end] * SHARE_DEN // SHARE_NUM, "right")  # of more shingles none is alike
@@ -355,16 +356,29 @@ def _candidates(members: DataFrame, rows: int) -> DataFrame:
                         j = np.arange(max(i + 1, first), min(last[i - begin], first + len(table)))
                         j = j[(root[j] != root[i]) if whole else (root[j] != root[i]) & (side[j] != side[i])]
                         # at Jaccard 0.8 a ninth of both counts together is not shared
-                        j = j[np.abs(table[j - first] - tables[k][i - lo]).sum(1, dtype=np.int64) * (SHARE_NUM + SHARE_DEN) <= (n[j] + n[i]) * (SHARE_DEN - SHARE_NUM)]
+                        apart = np.abs(table[j - first] - tables[k][i - lo]).sum(1, dtype=np.int64)
+                        near_enough = apart * (SHARE_NUM + SHARE_DEN) <= (n[j] + n[i]) * (SHARE_DEN - SHARE_NUM)
+                        j, apart = j[near_enough], apart[near_enough]
                         if len(j):
                             found.append(np.stack([np.broadcast_to(node[i], len(j)), node[j]], axis=1))
-        found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+                            if best:
+                                unlike.append(apart / (n[j] + n[i]))
+        found = np.concatenate(found)
+        if best:
+            both, far = np.concatenate([found, found[:, ::-1]]), np.tile(np.concatenate(unlike), 2)
+            order = np.lexsort((both[:, 1], far, both[:, 0]))
+            first = np.unique(both[order, 0], return_index=True)[1]
+            return pd.DataFrame({"a": both[order, 0][first], "b": both[order, 1][first], "far": far[order][first]})
+        found = np.unique(np.sort(found, axis=1), axis=0)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "far": 0.0})
 
     # keys of one passage have the same head and nearly the same members: in one shard they give a pair once
     shards = parts_for(rows, 20_000, 64)
     block = (F.least("mine", "other"), F.greatest("mine", "other"))
-    return members.withColumn("shard", F.pmod(F.xxhash64("head", *block), F.lit(shards))).groupBy("shard").applyInPandas(run, "a long, b long").distinct()
+    found = members.withColumn("shard", F.pmod(F.xxhash64("head", *block), F.lit(shards))).groupBy("shard").applyInPandas(run, "a long, b long, far double")
+    if best:
+        found = found.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _blocks(members: DataFrame, hot: int) -> DataFrame:
@@ -399,7 +413,8 @@ def _copy_groups(df: DataFrame, words: int, hot: int, radius: int) -> DataFrame:
     Candidates come from the BK-trees over the texts' SimHash fingerprints, and, as no radius of a
     SimHash holds all links of 0.8, from their rarest shingles. First every text is held against one
     text, the smallest head of its keys, which joins nearly all of a group; then, under keys that still
-    hold several components, against each text of the others. All are decided by the shingles themselves.
+    hold several components, against the text of another that looks most alike by its counts, and last,
+    where several are left, against each text of the others that its counts admit. All are decided by the shingles themselves.
 
     Null text is empty and wordless texts are one group; a null id names no group unless it has no other.
     """
@@ -423,15 +438,18 @@ def _copy_groups(df: DataFrame, words: int, hot: int, radius: int) -> DataFrame:
     near = _by_fingerprint(nodes, radius, hot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = stage(star.unionByName(near).distinct(), "tried", parts)
     links = stage(_alike(texts, nodes, tried, words, parts), "alike", parts)
-    rooted = shared.join(components(links, parts=parts), "node", "left").select("key", "head", "node", "size", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = stage(rooted.join(several, "key"), "rest", parts)
-    members = _blocks(rest.join(nodes.select("node", "n", "cells"), "node"), hot)
-    rows = rest.agg(F.coalesce(F.sum(F.ceil(F.col("size") / hot)), F.lit(0))).first()[0]
-    more = _candidates(members, rows).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_alike(texts, nodes, more, words, parts))
+    for best in (True, False):  # what looks most alike first, as most groups are joined by it
+        rooted = shared.join(components(links, parts=parts), "node", "left").select("key", "head", "node", "size", F.coalesce("root", "node").alias("root"))
+        several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        rest = stage(rooted.join(several, "key"), "rest", parts)
+        members = _blocks(rest.join(nodes.select("node", "n", "cells"), "node"), hot)
+        rows = rest.agg(F.coalesce(F.sum(F.ceil(F.col("size") / hot)), F.lit(0))).first()[0]
+        more = stage(_candidates(members, rows, best).join(tried, ["a", "b"], "left_anti"), "more", parts)
+        links = stage(links.unionByName(_alike(texts, nodes, more, words, parts)), "alike", parts)
+        tried = tried.unionByName(more)
+        discard(rest)
     roots = components(links, parts=parts)
-    discard(shared, tried, rest)
+    discard(shared)
     release(df.sparkSession)
     return docs.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
