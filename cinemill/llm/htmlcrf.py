@@ -141,6 +141,11 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     return out
 
 
+@lru_cache(maxsize=4096)
+def _cues(mark: str) -> tuple[str, ...]:
+    return tuple(f"cue:{c}" for c in CUES if c in mark)
+
+
 def _size(text: str) -> int:
     return min((text.count(" ") + 1).bit_length(), 7)
 
@@ -155,7 +160,7 @@ def features(blocks: list[tuple[str, tuple[str, ...], int]], k: int) -> list[str
     text, marks, _ = block = blocks[k]
     out = [*marks, f"words:{_size(text)}", f"links:{_linked(block)}", f"commas:{min(text.count(','), 3)}"]
     out.append("stop" if text[-1] in ".!?:…" else "open")
-    out += [f"cue:{c}" for c in CUES if any(c in m for m in marks)]
+    out += dict.fromkeys(c for m in marks for c in _cues(m))
     if text[-1] in ".!?…" and _size(text) > 3:
         out.append("sentence")
     if "©" in text or "copyright" in text[:200].lower():
