@@ -340,7 +340,8 @@ def _candidates(members: DataFrame, rows: int, best: bool = False) -> DataFrame:
         part, node, root, n, side = (pdf[c].to_numpy() for c in ("part", "node", "root", "n", "side"))
         cells = pdf["cells"].to_numpy()
         cuts = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(part)]])
-        found, unlike = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0)]
+        found, held = [np.zeros((0, 2), dtype=np.int64)], 0
+        least, other = np.full(len(pdf), np.inf), np.zeros(len(pdf), dtype=np.int64)
         for begin, end in zip(cuts[:-1], cuts[1:]):
             whole = side[begin:end].min() == side[begin:end].max()
             last = begin + np.searchsorted(n[begin:end], n[begin:end] * SHARE_DEN // SHARE_NUM, "right")  # of more shingles none is alike
@@ -359,17 +360,25 @@ def _candidates(members: DataFrame, rows: int, best: bool = False) -> DataFrame:
                         apart = np.abs(table[j - first] - tables[k][i - lo]).sum(1, dtype=np.int64)
                         near_enough = apart * (SHARE_NUM + SHARE_DEN) <= (n[j] + n[i]) * (SHARE_DEN - SHARE_NUM)
                         j, apart = j[near_enough], apart[near_enough]
-                        if len(j):
+                        if len(j) and best:  # of each row only the nearest is kept
+                            far = apart / (n[j] + n[i])
+                            at = far.argmin()
+                            if far[at] < least[i]:
+                                least[i], other[i] = far[at], node[j[at]]
+                            nearer = far < least[j]
+                            least[j[nearer]], other[j[nearer]] = far[nearer], node[i]
+                        elif len(j):
                             found.append(np.stack([np.broadcast_to(node[i], len(j)), node[j]], axis=1))
-                            if best:
-                                unlike.append(apart / (n[j] + n[i]))
-        found = np.concatenate(found)
+                            held += len(j)
+                        if held > 1_000_000:  # pairs repeat under the keys of a shard
+                            found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
+                            held = 0
         if best:
-            both, far = np.concatenate([found, found[:, ::-1]]), np.tile(np.concatenate(unlike), 2)
-            order = np.lexsort((both[:, 1], far, both[:, 0]))
-            first = np.unique(both[order, 0], return_index=True)[1]
-            return pd.DataFrame({"a": both[order, 0][first], "b": both[order, 1][first], "far": far[order][first]})
-        found = np.unique(np.sort(found, axis=1), axis=0)
+            order = np.lexsort((other, least, node))
+            order = order[np.isfinite(least[order])]
+            order = order[np.unique(node[order], return_index=True)[1]]
+            return pd.DataFrame({"a": node[order], "b": other[order], "far": least[order]})
+        found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "far": 0.0})
 
     # keys of one passage have the same head and nearly the same members: in one shard they give a pair once
