@@ -97,11 +97,20 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
 
 
+def _in_units(n: Column, bits: int, digits: int) -> Column:
+    """n / 2^bits in units of the last of so many digits, exactly, a tie to the even one; n counts as its nearest double."""
+    n, ten = n.cast("double").cast("long"), 10**digits
+    rest = n.bitwiseAND((1 << bits) - 1) * ten
+    whole, over = F.shiftright(n, bits) * ten + F.shiftright(rest, bits), rest.bitwiseAND((1 << bits) - 1)
+    half = 1 << (bits - 1)
+    return whole + F.when((over > half) | ((over == half) & (whole % 2 == 1)), 1).otherwise(0)
+
+
 def format_size(n: Column) -> Column:
-    d = n.cast("double")
+    gib, mib, kib = _in_units(n, 30, 2), _in_units(n, 20, 1), _in_units(n, 10, 0)
     return (
-        F.when(n >= 1 << 30, F.format_string("%.2f GiB", d / (1 << 30))).when(n >= 1 << 20, F.format_string("%.1f MiB", d / (1 << 20)))
-        .when(n >= 1 << 10, F.format_string("%.0f KiB", d / (1 << 10))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+        F.when(n >= 1 << 30, F.format_string("%d.%02d GiB", F.floor(gib / 100), gib % 100)).when(n >= 1 << 20, F.format_string("%d.%d MiB", F.floor(mib / 10), mib % 10))
+        .when(n >= 1 << 10, F.format_string("%d KiB", kib)).otherwise(F.concat(n.cast("string"), F.lit(" B")))
     )
 
 
