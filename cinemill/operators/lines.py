@@ -18,23 +18,31 @@ HARDWARE_NOISE = (
 
 
 def without_progress(output: Column) -> Column:
-    """Output without progress lines; where there were some, lines end in \\n and empty ones at both ends go."""
+    """Output without progress lines; where there were some, lines end in \n and empty ones at both ends go."""
     lines = F.split(output, BREAKS, -1)
-    kept = F.filter(lines, lambda x: ~x.rlike(PROGRESS))
-    full = F.filter(F.sequence(F.lit(1), F.size(kept)), lambda i: F.element_at(kept, i) != "")
-    inner = F.when((F.size(kept) == 0) | (F.size(full) == 0), F.array().cast("array<string>")).otherwise(F.slice(kept, F.array_min(full), F.array_max(full) - F.array_min(full) + 1))
-    return F.when(F.size(kept) == F.size(lines), output).otherwise(F.array_join(inner, "\n"))
+    # no line holds a line end, so trimming \n takes the empty lines at both ends
+    kept = F.btrim(F.array_join(F.filter(lines, lambda x: ~x.rlike(PROGRESS)), "\n"), F.lit("\n"))
+    return F.when(F.exists(lines, lambda x: x.rlike(PROGRESS)), kept).otherwise(output)
+
+
+def _named(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def progress_removed(result: Column) -> Column:
     """A JSON text with detail.stderr_tail rid of progress lines, its keys sorted; what has none, or is no such object, stays as it is."""
-    v = F.try_parse_json(result)
-    old = text(v, "$.detail.stderr_tail")
-    new = without_progress(old)
-    whole = F.try_variant_get(v, "$", "map<string,variant>")
-    detail = F.transform_values(F.try_variant_get(v, "$.detail", "map<string,variant>"), lambda k, x: F.when(k == "stderr_tail", new.cast("variant")).otherwise(x))
-    back = F.transform_values(whole, lambda k, x: F.when(k == "detail", F.parse_json(F.to_json(detail))).otherwise(x))
-    return F.when(new != old, F.to_json(back)).otherwise(result)
+
+    def put(v: Column, new: Column) -> Column:
+        whole = F.try_variant_get(v, "$", "map<string,variant>")
+        detail = F.transform_values(F.try_variant_get(v, "$.detail", "map<string,variant>"), lambda k, x: F.when(k == "stderr_tail", new.cast("variant")).otherwise(x))
+        return F.to_json(F.transform_values(whole, lambda k, x: F.when(k == "detail", F.parse_json(F.to_json(detail))).otherwise(x)))
+
+    def cleaned(r: Column, v: Column) -> Column:
+        old = text(v, "$.detail.stderr_tail")
+        return _named(F.struct(old.alias("old"), without_progress(old).alias("new")), lambda t: F.when(t["new"] != t["old"], put(v, t["new"])).otherwise(r))
+
+    return _named(result, lambda r: _named(F.try_parse_json(r), lambda v: cleaned(r, v)))
 
 
 def numbered(logs: DataFrame, log: str = "log", content: str = "text") -> DataFrame:

@@ -1,8 +1,12 @@
 """Ties of sizes, and steps whose work must not grow faster than their input."""
 
+import json
+import time
+
 from pyspark.sql import functions as F
 
 from cinemill.functions import media as M
+from cinemill.operators import lines as N
 
 
 def test_size_ties_go_to_the_even_digit(spark):
@@ -10,3 +14,15 @@ def test_size_ties_go_to_the_even_digit(spark):
     rows = [(2560,), (1536,), (mib + mib // 4,), (mib + mib // 4 * 3,), (gib + gib // 8,), (gib + gib // 8 * 5,), (mib - 1,), (gib - 1,), (1023,), ((1 << 63) - 1,), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "n long").select(M.format_size(F.col("n"))).collect()]
     assert got == ["2 KiB", "2 KiB", "1.2 MiB", "1.8 MiB", "1.12 GiB", "1.62 GiB", "1024 KiB", "1024.0 MiB", "1023 B", "8589934592.00 GiB", None]
+
+
+def test_progress_of_a_long_output_goes_in_one_pass(spark):
+    own = [f"line {i}" if i % 3 else "" for i in range(4000)]
+    text = "\r\n".join(x for i, line in enumerate(own) for x in (line, f"frame= {i} fps=25"))
+    result = json.dumps({"z": 1, "detail": {"stderr_tail": text, "exit_code": 0}})
+    df = spark.createDataFrame([(result,), (None,), ("no json",), (json.dumps({"detail": {"stderr_tail": "frame=1 fps=2\n\n"}}),)], "r string")
+    began = time.time()
+    got = [r[0] for r in df.select(N.progress_removed(F.col("r"))).collect()]
+    assert time.time() - began < 20
+    assert json.loads(got[0])["detail"]["stderr_tail"] == "\n".join(own).strip("\n") and got[1:3] == [None, "no json"]
+    assert json.loads(got[3])["detail"]["stderr_tail"] == ""
