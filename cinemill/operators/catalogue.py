@@ -160,20 +160,23 @@ def nest(parents: DataFrame, children: DataFrame, key: str, parent_key: str, ord
 def greedy_cover(features: DataFrame, most: int, budget: int) -> DataFrame:
     """(rank, item, size, gain): items that cover most new features, smaller first on ties, within count and size.
 
-    features: (item, size, feature). Each round is one aggregation over the features still uncovered;
-    the driver sees the winner only.
+    features: (item, size, feature), an item having one size. Of items with the same features only the
+    smallest can ever be picked, so the rows are read once, into one item a set of features; a round is
+    one pass over these. The driver sees the winners and their features only.
     """
-    spark, picked, left = features.sparkSession, [], budget
-    covered = features.select("feature").limit(0)
-    taken = features.select("item").limit(0)
-    while len(picked) < most:
-        open_ = features.where(F.col("size") <= left).join(covered, "feature", "left_anti").join(taken, "item", "left_anti")
-        best = open_.groupBy("item", "size").agg(F.countDistinct("feature").alias("gain")).orderBy(F.desc("gain"), "size", "item").first()
-        if best is None:
-            break
-        picked.append((len(picked) + 1, best["item"], best["size"], best["gain"]))
-        left -= best["size"]
-        chosen = [p[1] for p in picked]
-        covered = features.where(F.col("item").isin(chosen)).select("feature").distinct()
-        taken = features.where(F.col("item").isin(chosen)).select("item").distinct()
+    spark, picked, left, covered = features.sparkSession, [], budget, []
+    items = features.where(F.col("size") <= budget).groupBy("item", "size").agg(F.array_sort(F.collect_set("feature")).alias("features")).where(F.size("features") > 0)
+    sets = items.groupBy("features").agg(F.min(F.struct("size", "item")).alias("least")).select("features", "least.size", "least.item").persist()
+    try:
+        while len(picked) < most:
+            known = F.array(*map(F.lit, covered)).cast(sets.schema["features"].dataType)
+            gain = F.size(F.array_except("features", known)).cast("long")
+            best = sets.where(F.col("size") <= left).withColumn("gain", gain).where("gain > 0").orderBy(F.desc("gain"), "size", "item").first()
+            if best is None:
+                break
+            picked.append((len(picked) + 1, best["item"], best["size"], best["gain"]))
+            left -= best["size"]
+            covered += [f for f in best["features"] if f not in covered]
+    finally:
+        sets.unpersist()
     return spark.createDataFrame(picked, "rank int, item long, size long, gain long")

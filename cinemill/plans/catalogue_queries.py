@@ -256,7 +256,7 @@ def cover(spark, d):
     files = L.files(spark, d).where("status = 'active'").select(F.col("id").alias("file_id"), "size", "container")
     t = L.tracks(spark, d).join(files, "file_id")
     features = F.explode(F.array(F.concat(F.lit("codec:"), "codec"), F.concat(F.lit("lang:"), "language"), F.concat(F.lit("box:"), "container")))
-    return C.greedy_cover(t.select(F.col("file_id").alias("item"), "size", features.alias("feature")).distinct(), 6, 10**11)
+    return C.greedy_cover(t.select(F.col("file_id").alias("item"), "size", features.alias("feature")), 6, 10**11)
 
 
 _SIXTEENTH = "least(width, CAST(trunc(width * 9 / 16) AS INTEGER))"

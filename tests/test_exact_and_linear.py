@@ -26,3 +26,18 @@ def test_progress_of_a_long_output_goes_in_one_pass(spark):
     assert time.time() - began < 20
     assert json.loads(got[0])["detail"]["stderr_tail"] == "\n".join(own).strip("\n") and got[1:3] == [None, "no json"]
     assert json.loads(got[3])["detail"]["stderr_tail"] == ""
+
+
+def test_greedy_cover_reads_its_features_once(spark):
+    from cinemill.operators.catalogue import greedy_cover
+
+    read = spark.sparkContext.accumulator(0)
+
+    def touched(row):
+        read.add(1)
+        return row
+
+    rows = [(i, 10 + i % 7, f"{i % 50}{c}") for i in range(200) for c in "abc"[: 1 + i % 3]]
+    features = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4).map(touched), "item long, size long, feature string")
+    assert greedy_cover(features, 6, 1000).count() == 6
+    assert read.value == len(rows)
