@@ -41,3 +41,16 @@ def test_greedy_cover_reads_its_features_once(spark):
     features = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4).map(touched), "item long, size long, feature string")
     assert greedy_cover(features, 6, 1000).count() == 6
     assert read.value == len(rows)
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_probe_document_is_parsed_once(spark):
+    from cinemill.operators import probe as P
+
+    documents = spark.createDataFrame([("/a.mkv", "{}")], "path string, document string")
+    assert planned(P.probed_tracks(documents)).count("parseJson") == 1
+
+
