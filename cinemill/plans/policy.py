@@ -253,8 +253,8 @@ def operation(spec: dict, df: DataFrame) -> Column:
         return F.transform(F.array_sort(F.map_keys("tags")), lambda k: F.struct(F.lit("delete_tag").alias("op"), F.lit(None).cast("int").alias("track"), k.alias("value")))
     if name == "set_tag":
         text = printed(field(spec["field"]), df.select(field(spec["field"])).dtypes[0][1]) if "field" in spec else template(spec["value"])
-        made = F.struct(F.when(text.isNull(), "fail").otherwise("set_tag").alias("op"), F.lit(None).cast("int").alias("track"), F.concat(F.lit(arg + "="), F.coalesce(text, F.lit("?"))).alias("value"))
-        return F.array(made)
+        made = lambda x: F.struct(F.when(x.isNull(), "fail").otherwise("set_tag").alias("op"), F.lit(None).cast("int").alias("track"), F.concat(F.lit(arg + "="), F.coalesce(x, F.lit("?"))).alias("value"))
+        return F.transform(F.array(text), made)
     if name == "delete_tag":
         return F.when(F.map_contains_key("tags", arg), F.array(act("delete_tag", None, arg))).otherwise(none())
     if name == "when":
@@ -399,6 +399,13 @@ def capabilities(actions: Column, encoders: dict[str, list[str]], formats: list[
     return F.struct(warnings.alias("warnings"), F.when((F.size(codecs) > 0) & (F.size(able) == 1), F.element_at(able, 1)).alias("executor"))
 
 
+def may(specs, *names: str) -> bool:
+    """Whether an operation of one of these names is among specs, at any depth."""
+    if isinstance(specs, dict):
+        return any(n in specs for n in names) or may(list(specs.values()), *names)
+    return isinstance(specs, (list, tuple)) and any(may(s, *names) for s in specs)
+
+
 def evaluate(df: DataFrame, policy: dict) -> DataFrame:
     """(id, phase, status, reason, actions, warnings, violations): a policy's phases over every file, in dependency order.
 
@@ -407,7 +414,8 @@ def evaluate(df: DataFrame, policy: dict) -> DataFrame:
     also drops the actions before it) or an error under strategy skip; else Completed
     without actions, Pending with. Safeguards take back removals of all video or audio tracks, and a
     conversion to a container that cannot hold what would be in it; each is a violation and a warning.
-    Each phase's actions are columns of their own, so no expression repeats another.
+    Each phase's actions are columns of their own, so no expression repeats another, and a safeguard is
+    planned only for phases with operations that it could take back.
     """
     phases = ordered(policy["phases"])
     keep = df
@@ -419,21 +427,24 @@ def evaluate(df: DataFrame, policy: dict) -> DataFrame:
             met = F.col(f"_st_{other}") == "pending" if state == "modified" else F.col(f"_st_{other}") != "skipped"
             reason = F.coalesce(reason, F.when(~met, "run_if"))
         keep = keep.withColumn(f"_why_{n}", reason)
-        raw = F.when(F.col(f"_why_{n}").isNull(), halted(sequence(p["operations"], keep), p.get("on_error", "abort"))).otherwise(none())
-        keep = keep.withColumn(f"_all_{n}", raw)
-        dropped = F.filter(F.transform(f"_all_{n}", lambda a, i: F.struct((a["op"] == "drop_phase").alias("hit"), (i + 1).alias("at"), a["value"].alias("value"))), lambda x: x["hit"])
-        keep = keep.withColumn(f"_gone_{n}", F.try_element_at(dropped, F.lit(-1)))
-        last = F.col(f"_gone_{n}.at")
-        keep = keep.withColumn(f"_raw_{n}", F.when(last.isNull(), F.col(f"_all_{n}")).otherwise(F.slice(f"_all_{n}", F.coalesce(last, F.lit(0)) + 1, F.size(f"_all_{n}"))))
-        keep = keep.withColumn(f"_why_{n}", F.coalesce(f"_why_{n}", F.col(f"_gone_{n}.value"), F.try_element_at(F.filter(f"_raw_{n}", lambda a: a["op"] == "skip"), F.lit(1))["value"]))
+        ops, empty = p["operations"], F.array().cast("array<string>")
+        keep = keep.withColumn(f"_do_{n}", F.when(F.col(f"_why_{n}").isNull(), sequence(ops, keep)).otherwise(none()))
+        keep = keep.withColumn(f"_raw_{n}", halted(F.col(f"_do_{n}"), p.get("on_error", "abort")) if may(ops, "fail", "set_tag") else F.col(f"_do_{n}"))
+        if may(ops, "transcode"):
+            dropped = F.filter(F.transform(f"_raw_{n}", lambda a, i: F.struct((a["op"] == "drop_phase").alias("hit"), (i + 1).alias("at"), a["value"].alias("value"))), lambda x: x["hit"])
+            keep = keep.withColumn(f"_gone_{n}", F.try_element_at(dropped, F.lit(-1)))
+            last = F.col(f"_gone_{n}.at")
+            keep = keep.withColumn(f"_raw_{n}", F.when(last.isNull(), F.col(f"_raw_{n}")).otherwise(F.slice(f"_raw_{n}", F.coalesce(last, F.lit(0)) + 1, F.size(f"_raw_{n}"))))
+            keep = keep.withColumn(f"_why_{n}", F.coalesce(f"_why_{n}", f"_gone_{n}.value"))
+        keep = keep.withColumn(f"_why_{n}", F.coalesce(f"_why_{n}", F.try_element_at(F.filter(f"_raw_{n}", lambda a: a["op"] == "skip"), F.lit(1))["value"]))
         ran, raw = F.col(f"_why_{n}").isNull(), F.col(f"_raw_{n}")
-        keep = keep.withColumn(f"_safe_{n}", F.filter(F.when(ran, safeguarded(raw)).otherwise(raw), lambda a: ~a["op"].isin("skip", "warn")))
-        safe = F.col(f"_safe_{n}")
-        empty = F.array().cast("array<string>")
-        keep = keep.withColumns({f"_off_{n}": F.when(ran & conversion(safe).isNotNull(), offenders(conversion(safe), safe)).otherwise(empty), f"_lost_{n}": F.when(ran, lost_kinds(raw)).otherwise(empty)})
-        held = F.size(f"_off_{n}") == 0
-        keep = keep.withColumn(f"_act_{n}", F.when(held, safe).otherwise(F.filter(safe, lambda a: a["op"] != "convert_container")))
-        keep = keep.withColumn(f"_bad_{n}", violations(F.col(f"_lost_{n}"), conversion(safe), F.col(f"_off_{n}")))
+        removes, converts = may(ops, "keep", "remove", "normalize"), may(ops, "container")
+        keep = keep.withColumn(f"_safe_{n}", F.filter(F.when(ran, safeguarded(raw)).otherwise(raw) if removes else raw, lambda a: ~a["op"].isin("skip", "warn")))
+        safe, to, off = F.col(f"_safe_{n}"), F.col(f"_to_{n}"), F.col(f"_off_{n}")
+        keep = keep.withColumns({f"_to_{n}": conversion(safe) if converts else F.lit(None).cast("string"), f"_lost_{n}": F.when(ran, lost_kinds(raw)).otherwise(empty) if removes else empty})
+        keep = keep.withColumn(f"_off_{n}", F.when(ran & to.isNotNull(), offenders(to, safe)).otherwise(empty) if converts else empty)
+        keep = keep.withColumn(f"_act_{n}", F.when(F.size(off) == 0, safe).otherwise(F.filter(safe, lambda a: a["op"] != "convert_container")) if converts else safe)
+        keep = keep.withColumn(f"_bad_{n}", violations(F.col(f"_lost_{n}"), to, off) if removes or converts else F.array().cast(VIOLATION))
         said = F.transform(F.filter(raw, lambda a: a["op"] == "warn"), lambda a: a["value"])
         keep = keep.withColumn(f"_warn_{n}", F.concat(said, F.transform(f"_bad_{n}", lambda v: v["message"])))
         keep = keep.withColumn(f"_st_{n}", F.when(~ran, "skipped").when(F.size(f"_act_{n}") == 0, "completed").otherwise("pending"))

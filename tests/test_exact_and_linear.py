@@ -54,3 +54,13 @@ def test_a_probe_document_is_parsed_once(spark):
     assert planned(P.probed_tracks(documents)).count("parseJson") == 1
 
 
+def test_safeguards_are_planned_for_what_they_could_take_back(spark, sf_dir):
+    from cinemill.plans import policy as P
+    from cinemill.sources import library as L
+
+    df = L.with_tracks(spark, sf_dir)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 100_000)
+    plan = lambda *ops: planned(P.evaluate(df, {"phases": [{"name": "a", "operations": list(ops)}]}))
+    assert "remove_track" not in plan({"verify": "quick"}) and "convert_container" not in plan({"warn": "x"})
+    inner = {"when": {"field": "file.size", "is": [">", 0]}, "then": [{"remove": "audio"}, {"container": "mp4"}]}
+    assert "remove_track" in plan(inner) and "convert_container" in plan(inner)
