@@ -11,22 +11,26 @@ BUCKETS = ("video", "audio", "subtitle", "attachment")
 SCALARS = ("container", "duration", "bitrate", "content_hash", "size", "mtime")
 
 
-def nested(parents: DataFrame, key: str, **children: tuple[DataFrame, str]) -> DataFrame:
+def nested(parents: DataFrame, key: str, **children: tuple) -> DataFrame:
     """One row a parent with an array of structs for each child table, by the child's order column; no children give an empty array.
 
-    children: name -> (table with the key, its order column). All tables meet in one shuffle by key,
-    as rows of one union, however many they are. Children without a parent are left out.
+    children: name -> (table with the key, its order column), or (table, order column, condition, columns)
+    for a part of a table; parts of one table are taken in one pass over it. All tables meet in one
+    shuffle by key, as rows of one union, however many they are. Children without a parent are left out.
     """
     rows = parents.select(key, F.struct(*parents.columns).alias("_parent"))
-    for name, (df, order) in children.items():
-        fields = [c for c in df.columns if c != key]
-        rows = rows.unionByName(df.select(key, F.struct(F.col(order).alias("_order"), *fields).alias(name)), allowMissingColumns=True)
+    tables, columns = {}, {}
+    for name, (df, order, *part) in children.items():
+        where, columns[name] = part or (F.lit(True), [c for c in df.columns if c != key])
+        tables.setdefault(id(df), (df, []))[1].append(F.when(where, F.struct(F.col(order).alias("_order"), *columns[name])).alias(name))
+    for df, parts in tables.values():
+        rows = rows.unionByName(df.select(key, *parts), allowMissingColumns=True)
     gathered = rows.groupBy(key).agg(F.max("_parent").alias("_parent"), *(F.array_sort(F.collect_list(n)).alias(n) for n in children))
 
     def plain(name: str, fields: list[str]) -> Column:
         return F.transform(name, lambda x: F.struct(*(x[c].alias(c) for c in fields))).alias(name)
 
-    lists = [plain(n, [c for c in df.columns if c != key]) for n, (df, _) in children.items()]
+    lists = [plain(n, fields) for n, fields in columns.items()]
     return gathered.where("_parent IS NOT NULL").select("_parent.*", *lists)
 
 
@@ -64,7 +68,7 @@ def track_changes(left: Column, right: Column, fields: list[str]) -> Column:
         return F.when(a.isNull(), F.array(F.concat(F.lit("+"), name, codec(b)))).when(b.isNull(), F.array(F.concat(F.lit("-"), name, codec(a)))).otherwise(same)
 
     parts = F.flatten(F.transform(F.array_sort(F.map_entries(F.map_zip_with(by_index(left), by_index(right), at))), lambda e: e["value"]))
-    return F.when(F.size(parts) > 0, F.array_join(parts, "; "))
+    return F.nullif(F.array_join(parts, "; "), F.lit(""))
 
 
 def record_changes(left: DataFrame, right: DataFrame, ignored: str = "", key: str = "path", tolerance: float = 0.005) -> DataFrame:
@@ -91,21 +95,18 @@ def record_changes(left: DataFrame, right: DataFrame, ignored: str = "", key: st
     for c in buckets:
         of = lambda df: {f.name for f in df.schema[c].dataType.elementType.fields}  # noqa: E731, B023
         shared = (of(left) & of(right)) - {"index"} - inner.get(c, set())
-        details = track_changes(F.col(f"l.{c}"), F.col(f"r.{c}"), sorted(shared))
+        j = j.withColumn(f"_{c}", F.when(both, track_changes(F.col(f"l.{c}"), F.col(f"r.{c}"), sorted(shared))))
+        details = F.col(f"_{c}")
         rows.append(F.when(both & details.isNotNull(), F.struct(F.lit("both").alias("side"), F.lit(c).alias("field"), details.alias("details"))))
-    return j.select(key, F.explode(F.array_compact(F.array(*rows))).alias("d")).select(key, "d.*")
+    # outer: the filter that an inner one brings along would make every comparison twice
+    return j.select(key, F.explode_outer(F.array_compact(F.array(*rows))).alias("d")).where("d IS NOT NULL").select(key, "d.*")
 
 
-def bucketed(tracks: DataFrame, key: str = "file_id") -> dict[str, tuple[DataFrame, str]]:
-    """Tracks as children for nested(): one table a bucket with the columns that its kind has."""
+def bucketed(tracks: DataFrame, key: str = "file_id") -> dict[str, tuple]:
+    """Tracks as children for nested(): a part of their table a bucket, with the columns that its kind has."""
     common = ("codec", "language", "title", "is_default", "is_forced", "track_type")
     own = {
         "video": ("width", "height", "frame_rate", "is_vfr", "is_hdr", "hdr_format", "pixel_format"), "audio": ("channels", "channel_layout", "sample_rate", "bit_depth"), "subtitle": (), "attachment": (),
     }
-    out = {}
-    for name, more in own.items():
-        df = tracks.where(F.startswith("track_type", F.lit(name)))
-        out[name] = df.select(key, F.col("stream_index").alias("index"), *(c for c in (*common, *more) if c in tracks.columns)), "index"
-    return out
-
-
+    table = tracks.withColumnRenamed("stream_index", "index")
+    return {name: (table, "index", F.startswith("track_type", F.lit(name)), ["index", *(c for c in (*common, *more) if c in tracks.columns)]) for name, more in own.items()}

@@ -64,3 +64,14 @@ def test_safeguards_are_planned_for_what_they_could_take_back(spark, sf_dir):
     assert "remove_track" not in plan({"verify": "quick"}) and "convert_container" not in plan({"warn": "x"})
     inner = {"when": {"field": "file.size", "is": [">", 0]}, "then": [{"remove": "audio"}, {"container": "mp4"}]}
     assert "remove_track" in plan(inner) and "convert_container" in plan(inner)
+
+
+def test_buckets_take_one_pass_over_the_tracks(spark):
+    from cinemill.operators import records as R
+
+    tracks = spark.createDataFrame([(1, 0, "video", "h264"), (1, 1, "audio_main", "aac"), (1, 2, "audio_main", "ac3"), (2, 0, "subtitle_main", "ass")], "file_id long, stream_index int, track_type string, codec string")
+    parents = spark.createDataFrame([(1, "a"), (3, "c")], "file_id long, path string")
+    df = R.nested(parents, "file_id", **R.bucketed(tracks))
+    assert planned(df).count("LogicalRDD") == 2
+    got = {r.path: ([t.codec for t in r.video], [t["index"] for t in r.audio], r.subtitle) for r in df.collect()}
+    assert got == {"a": (["h264"], [1, 2], []), "c": ([], [], [])}
